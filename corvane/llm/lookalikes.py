@@ -30,7 +30,8 @@ SAME = {"<wide>", "<narrow>", "<noBreak>", "<compat>"}
 #: Unified look-alike punctuation (fixed values): dashes and quotes keep their differences, spaces become one.
 INVISIBLE = {0x00AD, 0x034F, 0x061C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180E, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
 PLAIN = re.compile("[\x20-\x7e\n一-鿿。《》「」『』【】—–…·℃°≥≤、‘’“”]*")
-LETTERS = re.compile(r"[^\W\d_]+")
+#: A token: letters of alphabets; Han, kana and hangul stand between tokens.
+LETTERS = re.compile("(?:(?![\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff])[^\\W\\d_])+")
 
 
 class _Width(dict):
