@@ -1,0 +1,252 @@
+"""Blocks to sections to chunks, and removal of repeated material."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+
+
+def running(df_order: list, by: list) -> Window:
+    return Window.partitionBy(*by).orderBy(*df_order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def gathered(value: str, order: str) -> Column:
+    """Values of a group in the given order, as an array."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), lambda x: x["v"])
+
+
+def style_sections(blocks: DataFrame) -> DataFrame:
+    """(doc_id, sec_ord, heading_path, blocks): a level-1 style names the title, a level-2 style opens a section, deeper ones are written into it."""
+    level = T.style_level(F.col("style"))
+    marked = blocks.filter(F.length(T.strip(F.col("text"))) > 0).withColumn("lv", level)
+    w = running(["seq", "block_id"], ["doc_id"])
+    marked = marked.withColumn("h1", F.last(F.when(F.col("lv") == 1, T.strip(F.col("text"))), True).over(w)).withColumn("sec", F.sum((F.col("lv") == 2).cast("int")).over(w))
+    marked = marked.withColumn("h2", F.first(F.when(F.col("lv") == 2, T.strip(F.col("text"))), True).over(Window.partitionBy("doc_id", "sec")))
+    body = marked.filter((F.col("lv") != 1) & (F.col("lv") != 2) & (F.col("sec") > 0)).withColumn("line", F.when(F.col("lv") >= 3, F.concat(F.expr("repeat('#', least(lv, 4))"), F.lit(" "), F.col("text"))).otherwise(F.col("text")))
+    return body.withColumn("o", F.struct("seq", "block_id")).groupBy("doc_id", F.col("sec").cast("int").alias("sec_ord")).agg(
+        F.array_compact(F.array(F.min_by("h1", "o"), F.min_by("h2", "o"))).alias("heading_path"), gathered("line", "o").alias("blocks"))
+
+
+def split_sections(blocks: DataFrame) -> DataFrame:
+    """The same from headings: layout titles where a document has font sizes, heading forms elsewhere. Text before the first heading is a section of its own."""
+    font = F.max(F.col("font_size").isNotNull()).over(Window.partitionBy("doc_id"))
+    marked = blocks.filter(F.length(T.strip(F.col("text"))) > 0).withColumn("has_font", font)
+    marked = marked.withColumn("opens", F.when(F.col("has_font"), F.coalesce("is_title", F.lit(False))).otherwise(T.is_heading(F.col("text"))))
+    marked = marked.withColumn("sec", F.sum(F.col("opens").cast("int")).over(running(["seq", "block_id"], ["doc_id"])))
+    o = F.struct("seq", "block_id")
+    return marked.withColumn("o", o).groupBy("doc_id", F.col("sec").cast("int").alias("sec_ord")).agg(
+        F.array_compact(F.array(F.min(F.when(F.col("opens"), T.strip(F.col("text")))))).alias("heading_path"), F.array_compact(F.transform(F.array_sort(F.collect_list(F.struct("o", F.when(~F.col("opens"), F.col("text")).alias("v")))), lambda x: x["v"])).alias("blocks"))
+
+
+def pack_sentences(text: Column, size: int = 800) -> Column:
+    """Sentences packed greedily into pieces of at most `size`, as an array; a longer sentence stays whole."""
+    parts = F.filter(F.split(text, r"(?<=[。！？\n])\s*"), lambda x: x != "")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+
+    def step(acc, s):
+        full = (acc["now"] != "") & (F.length(acc["now"]) + F.length(s) > size)
+        return F.struct(F.when(full, F.array_append(acc["done"], acc["now"])).otherwise(acc["done"]).alias("done"), F.when(full, s).otherwise(F.concat(acc["now"], s)).alias("now"))
+
+    return F.aggregate(parts, start, step, lambda acc: F.when(acc["now"] != "", F.array_append(acc["done"], acc["now"])).otherwise(acc["done"]))
+
+
+def length_sections(blocks: DataFrame, size: int = 800) -> DataFrame:
+    """The same in pieces of fixed length cut at sentences."""
+    o = F.struct("seq", "block_id")
+    whole = blocks.filter(F.length(T.strip(F.col("text"))) > 0).withColumn("o", o).groupBy("doc_id").agg(F.array_join(gathered("text", "o"), "\n").alias("t"))
+    return whole.select("doc_id", F.posexplode(pack_sentences(F.col("t"), size)).alias("sec_ord", "piece")).select("doc_id", "sec_ord", F.array().cast("array<string>").alias("heading_path"), F.array("piece").alias("blocks"))
+
+
+def sections(blocks: DataFrame) -> DataFrame:
+    """Each document's sections by the first of style, headings and length that gives at least two; length if none does."""
+    tiers = [style_sections(blocks).withColumn("tier", F.lit(1)), split_sections(blocks).withColumn("tier", F.lit(2)), length_sections(blocks).withColumn("tier", F.lit(3))]
+    every = tiers[0].unionByName(tiers[1]).unionByName(tiers[2])
+    n = every.groupBy("doc_id", "tier").agg(F.count("*").alias("n"))
+    best = n.filter("n >= 2 or tier = 3").groupBy("doc_id").agg(F.min("tier").alias("tier"))
+    return every.join(best, ["doc_id", "tier"])
+
+
+def islands(df: DataFrame, by: list[str], order: list[str], flag: Column) -> DataFrame:
+    """Adds island: neighbouring rows with the flag share a number, every other row has its own."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    opens = F.when(flag & F.lag(flag, 1, False).over(w), 0).otherwise(1)
+    return df.withColumn("_opens", opens).withColumn("island", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_opens")
+
+
+def merge_tables(secs: DataFrame) -> DataFrame:
+    """Neighbouring table sections become one, named by the first."""
+    marked = islands(secs.withColumn("body", F.array_join("blocks", "\n")), ["doc_id"], ["sec_ord"], T.is_table(F.array_join("blocks", "\n")))
+    return marked.groupBy("doc_id", "island").agg(F.min("sec_ord").alias("sec_ord"), F.min_by("heading_path", "sec_ord").alias("heading_path"), F.flatten(gathered("blocks", "sec_ord")).alias("blocks"), F.count("*").alias("merged")).drop("island")
+
+
+def judged_sections(secs: DataFrame, domain: str) -> DataFrame:
+    """Adds what the filter asks of each section: verdict of the first rule that holds, before any merging."""
+    body = T.strip(F.array_join("blocks", "\n"))
+    w = Window.partitionBy("doc_id").orderBy("sec_ord")
+    d = secs.withColumn("body", body).withColumn("following", F.lead("body").over(w))
+    b = F.col("body")
+    verdict = (
+        F.when(T.is_junk(b), "drop_junk").when(T.is_toc_section(b), "drop_toc").when(T.is_table(b), "table")
+        .when(F.length(b) < 50, "merge_title").when(T.is_transition(b), "merge_transition")
+        .when(T.is_complete_sentence(b) & (F.length(b) < 200), "keep_sentence")
+        .when(F.col("following").isNotNull() & T.is_fragment(b, F.col("following"), domain), "merge_fragment")
+        .when(T.is_short_fragment(b), "merge_short").otherwise("keep")
+    )
+    return d.withColumn("verdict", verdict)
+
+
+def filter_sections(secs: DataFrame, domain: str, mode: str = "carry") -> DataFrame:
+    """(doc_id, sec_ord, heading_path, blocks): dropped, merged and kept sections.
+
+    A merged section goes into the next one, whose own verdict is then taken anew with the added text. In mode `carry`
+    the receiving section goes on; in `reference_drop` it is lost with the merged one unless that was a table. One
+    document's sections are read in order, one after the other, since each merge changes what follows.
+    """
+    rx = {"domain": domain}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("sec_ord").to_dict("records")
+        out, i = [], 0
+        bodies = [[str(x) for x in r["blocks"]] for r in rows]
+        while i < len(rows):
+            text = "\n".join(bodies[i]).strip()
+            after = "\n".join(bodies[i + 1]).strip() if i + 1 < len(rows) else None
+            v = _verdict(text, after, rx["domain"])
+            if v.startswith("drop"):
+                i += 1
+                continue
+            if v == "table":
+                j = i + 1
+                while j < len(rows) and _verdict("\n".join(bodies[j]).strip(), None, rx["domain"]) == "table":
+                    bodies[i] = bodies[i] + bodies[j]
+                    j += 1
+                out.append((rows[i], bodies[i]))
+                i = j
+                continue
+            if v.startswith("merge") and after is not None:
+                bodies[i + 1] = bodies[i] + bodies[i + 1]
+                i += 2 if mode == "reference_drop" else 1
+                continue
+            if not (v == "merge_title" and after is None and not text):
+                out.append((rows[i], bodies[i]))
+            i += 1
+        return pd.DataFrame([(r["doc_id"], r["sec_ord"], list(r["heading_path"]), b) for r, b in out], columns=["doc_id", "sec_ord", "heading_path", "blocks"])
+
+    return secs.select("doc_id", "sec_ord", "heading_path", "blocks").groupBy("doc_id").applyInPandas(run, "doc_id string, sec_ord int, heading_path array<string>, blocks array<string>")
+
+
+def _verdict(text: str, after: str | None, domain: str) -> str:
+    import re
+
+    rows = [x.strip() for x in text.split("\n") if x.strip()]
+    if any(n in text for n in T.TEMPLATE_NOTES):
+        return "drop_junk"
+    toc = sum(bool(re.search(T.TOC_LINE, x)) for x in rows)
+    if toc and (len(rows) == 1 or toc / len(rows) > 0.4):
+        return "drop_toc"
+    digits = [bool(re.search(r"\d", x)) for x in rows]
+    ratio = sum(digits) / len(digits) if digits else 0
+    if text.count("|") > 3:
+        return "table"
+    if len(rows) >= 2:
+        best = now = 0
+        for d in digits:
+            now = now + 1 if d else 0
+            best = max(best, now)
+        score = 2 * any(re.match(T.CAPTION, x) for x in rows[:5]) + (2 if ratio >= 0.6 else 1 if ratio >= 0.5 else 0) + (len(re.findall(T.UNIT, text)) >= 2) + (best >= 5)
+        if ratio > 0.6 or score >= 4:
+            return "table"
+    if len(text) < 50:
+        return "merge_title"
+    if len(text) < 120 and (text[-1] in ":：" or any(p in text for p in T.TRANSITIONS)):
+        return "merge_transition"
+    if len(text) < 200 and text[-1] in "。！？":
+        return "keep"
+    open_end = text[-1] not in "。！？；：:;"
+    if after is not None and 50 < len(text) < 250 and open_end and re.search(domain, text) and (not after or after[0].islower() or after[0].isdigit() or "一" <= after[0] <= "鿿"):
+        return "merge_fragment"
+    if len(text) < 80 and open_end and not re.search(T.DEFINITION, text) and not re.match(T.LIST_ITEM, text):
+        return "merge_short"
+    return "keep"
+
+
+def chunks_of(secs: DataFrame, least: int = 20) -> DataFrame:
+    """(id, doc_id, content, type): a chunk for each section of at least `least` characters."""
+    content = T.strip(F.array_join("blocks", "\n\n"))
+    kind = F.when(T.is_table(F.array_join("blocks", "\n")), "table").when((F.length(content) < 50) & (F.size("heading_path") > 0), "heading").otherwise("text")
+    return secs.select(F.concat("doc_id", F.lit("_s"), F.col("sec_ord")).alias("id"), "doc_id", "sec_ord", "heading_path", content.alias("content"), kind.alias("type")).filter(F.length("content") >= least)
+
+
+def layout_titles(blocks: DataFrame) -> DataFrame:
+    """Adds title_score and layout_title: font size against the document's nearest-rank 70th and 90th percentile, bold, short."""
+    sizes = blocks.filter("font_size > 0").groupBy("doc_id", "font_size").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("doc_id").orderBy("font_size")
+    cum = sizes.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy("doc_id")))
+    marks = cum.filter("all >= 5").groupBy("doc_id").agg(*[F.min(F.when(F.col("upto") > F.floor(F.col("all") * F.lit(q)), F.col("font_size"))).alias(n) for q, n in ((0.7, "p70"), (0.9, "p90"))])
+    joined = blocks.join(marks, "doc_id", "left")
+    font = F.when(F.col("font_size") >= F.col("p90"), 0.5).when(F.col("font_size") >= F.col("p70"), 0.3).otherwise(0.0)
+    score = F.coalesce(font, F.lit(0.0)) + F.when(F.col("bold"), 0.1).otherwise(0.0) + F.when(F.length(T.strip(F.col("text"))) < 30, 0.2).otherwise(0.0)
+    score = F.when(F.col("p70").isNotNull(), score)
+    return joined.withColumn("title_score", score).withColumn("layout_title", F.coalesce(score > 0.6, F.lit(False)))
+
+
+def header_footer_noise(blocks: DataFrame) -> DataFrame:
+    """(doc_id, h): hashes of short texts among the first or last two by height of over max(3, 40 %) of a document's pages."""
+    return _edges(blocks).filter("length(t) < 100").groupBy("doc_id", "h").agg(F.countDistinct("page").alias("pages")).join(_pages(blocks), "doc_id").filter("n_pages >= 3 and pages > greatest(3.0D, n_pages * 0.4D)").select("doc_id", "h")
+
+
+def _pages(blocks: DataFrame) -> DataFrame:
+    return blocks.filter("page is not null").groupBy("doc_id").agg(F.countDistinct("page").alias("n_pages"))
+
+
+def _edges(blocks: DataFrame) -> DataFrame:
+    at = blocks.filter("page is not null and y0 is not null and text is not null").withColumn("t", T.strip(F.col("text"))).withColumn("h", F.md5(F.substring("t", 1, 100)))
+    w = Window.partitionBy("doc_id", "page")
+    up, down = w.orderBy("y0", "block_id"), w.orderBy(F.desc("y0"), F.desc("block_id"))
+    return at.withColumn("up", F.row_number().over(up)).withColumn("down", F.row_number().over(down)).filter("up <= 2 or down <= 2").select("doc_id", "page", "block_id", "t", "h")
+
+
+def without_headers_footers(blocks: DataFrame) -> DataFrame:
+    """Blocks without those noted texts at page edges; the same text elsewhere stays."""
+    gone = _edges(blocks).join(header_footer_noise(blocks), ["doc_id", "h"], "left_semi").select("block_id")
+    return blocks.join(gone, "block_id", "left_anti")
+
+
+def first_of(df: DataFrame, key: list, order: list) -> DataFrame:
+    """The first row of each key in the order: ranks, so equal rows are one."""
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_r = 1").drop("_r")
+
+
+def latest_parse(blocks: DataFrame) -> DataFrame:
+    """One row for each (doc_id, seq): the latest parse, then the smallest id; combined before the shuffle."""
+    cols = [c for c in blocks.columns if c not in ("doc_id", "seq")]
+    best = F.max_by(F.struct(*cols), F.struct(F.col("parsed_at"), -F.col("block_id")))
+    return blocks.groupBy("doc_id", "seq").agg(best.alias("b")).select("doc_id", "seq", "b.*")
+
+
+def same_start(df: DataFrame, key: str, text: str, chars: int = 200) -> DataFrame:
+    """(h, keep, copies): the smallest key of the rows whose first characters are the same."""
+    return df.filter(F.col(text).isNotNull()).groupBy(F.md5(F.substring(text, 1, chars)).alias("h")).agg(F.min(key).alias("keep"), F.count("*").alias("copies"))
+
+
+def cross_format(docs: DataFrame, group: list[str], name: str, size: str, ratio: float = 1.15) -> DataFrame:
+    """(group, name) of documents to leave out: the smaller of a docx and a pdf of one group where sizes differ by more than the ratio."""
+    sums = docs.groupBy(*group, name).agg(F.sum(size).alias("total"))
+    a = sums.filter(F.col(name).endswith(".docx")).withColumnsRenamed({name: "docx", "total": "ta"})
+    b = sums.filter(F.col(name).endswith(".pdf")).withColumnsRenamed({name: "pdf", "total": "tb"})
+    pairs = a.join(b, group).filter(F.greatest("ta", "tb") > F.lit(ratio) * F.least("ta", "tb"))
+    return pairs.select(*group, F.when(F.col("ta") > F.col("tb"), F.col("pdf")).otherwise(F.col("docx")).alias(name)).distinct()
+
+
+def page_blocks(df: DataFrame, key: str, text: str, least: int = 20) -> DataFrame:
+    """(key, para, part, text): heading lines alone, body lines of a paragraph joined; shorter bodies are left out."""
+    paras = df.select(key, F.posexplode(F.split(text, "\n\n")).alias("para", "p"))
+    rows = paras.select(key, "para", F.posexplode(F.split("p", "\n")).alias("at", "line")).withColumn("line", T.strip(F.col("line"))).filter("line <> ''").withColumn("head", T.is_heading(F.col("line")))
+    w = Window.partitionBy(key, "para").orderBy("at")
+    opens = F.when(F.col("head") | F.lag("head", 1, True).over(w), 1).otherwise(0)
+    rows = rows.withColumn("_o", opens).withColumn("part", F.sum("_o").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    out = rows.groupBy(key, "para", "part").agg(F.max("head").alias("head"), F.array_join(gathered("line", "at"), "").alias("text"))
+    return out.filter(F.col("head") | (F.length("text") >= least))
