@@ -167,15 +167,19 @@ def candidates(classes: DataFrame, texts: DataFrame, similarity: float, rows: in
     nib = classes.select("rep", "nib")
     close = near.join(nib.select(F.col("rep").alias("a"), F.col("nib").alias("x")), "a").join(nib.select(F.col("rep").alias("b"), F.col("nib").alias("y")), "b")
     close = close.filter(equal_nibbles("x", "y", t - t % 16) >= nibbles).select("a", "b")
-    large = shared.filter(F.col("n") > bucket).select("rep").distinct()
-    crowded = texts.join(large, "rep", "left_semi")
-    return close.unionByName(rare_shingle_pairs(crowded, similarity)).distinct()
+    large = shared.filter(F.col("n") > bucket).select("rep")
+    if large.isEmpty():
+        return close
+    return close.unionByName(rare_shingle_pairs(texts.join(large.distinct(), "rep", "left_semi"), similarity)).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b, similarity): pairs whose shingle sets reach the similarity exactly."""
     kind = dict(texts.dtypes)["rep"]
-    both = pairs.join(texts.select(F.col("rep").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("rep").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
+    # Texts meet the pairs' ends once; then only the texts of pairs travel on.
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("rep"))
+    both = ends.join(texts, "rep").groupBy("a", "b").agg(F.array_sort(F.collect_set(F.struct("rep", "t"))).alias("ts"))
+    both = both.select("a", "b", F.explode(F.filter("ts", lambda x: x["rep"] == F.col("a"))["t"]).alias("ta"), "ts").select("a", "b", "ta", F.explode(F.filter("ts", lambda x: x["rep"] == F.col("b"))["t"]).alias("tb"))
 
     def run(batches):
         kept: dict[str, np.ndarray] = {}
