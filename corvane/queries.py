@@ -1,4 +1,344 @@
-"""Queries over the test tables, and their SQL."""
+"""Queries over the test tables, and their SQL where it can say the same."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import chunks, evaluation, fusion, search, structure
+from .tables import materialise, table
 
 QUERIES: dict = {}
 SQL: dict = {}
+W = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql.replace("{W}", W)
+        return f
+
+    return add
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{W}+|{W}+$', '', 'g')"
+
+
+def lines(x: str) -> str:
+    return f"list_filter(list_transform(string_split({x}, chr(10)), lambda x: {strip('x')}), lambda x: x <> '')"
+
+
+HEADING = T.HEADING
+R6 = lambda c: F.round(c, 6)
+
+
+# Structure ----------------------------------------------------------------------------------------------------------
+@query(f"SELECT block_id, coalesce(regexp_matches({strip('text')}, '{HEADING}'), false) AS heading FROM blocks")
+def heading_lines(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "blocks").select("block_id", T.is_heading(F.col("text")).alias("heading"))
+
+
+@query(r"""SELECT style, CASE WHEN regexp_extract(style, '(?i)(?:heading|标题|TOC)\s*(\d+)', 1) <> '' THEN CAST(regexp_extract(style, '(?i)(?:heading|标题|TOC)\s*(\d+)', 1) AS INT)
+    WHEN regexp_matches(style, '(?i)heading|标题') THEN 1 ELSE 0 END AS level, count(*) AS n FROM blocks GROUP BY style""")
+def style_levels(spark, d):
+    return table(spark, d, "blocks").groupBy("style").agg(F.count("*").alias("n")).select("style", T.style_level(F.col("style")).alias("level"), "n")
+
+
+@query(f"""WITH b AS (SELECT block_id, coalesce({strip('text')}, '') AS t FROM blocks)
+    SELECT block_id, t <> '' AND NOT regexp_matches(t, '[。！？；：:;]$') AS mid, regexp_matches(t, '[。！？]$') AS complete,
+    t <> '' AND length(t) < 120 AND regexp_matches(t, '[:：]$|{'|'.join(T.TRANSITIONS)}') AS transition,
+    t <> '' AND length(t) < 80 AND NOT regexp_matches(t, '[。！？；：:;]$') AND NOT regexp_matches(t, '{T.DEFINITION}') AND NOT regexp_matches(t, '{T.LIST_ITEM}') AS fragment,
+    regexp_matches(t, '{'|'.join(T.TEMPLATE_NOTES)}') AS junk, length(t) < 50 AS empty_title FROM b""")
+def sentence_predicates(spark, d):
+    t = F.coalesce(T.strip(F.col("text")), F.lit(""))
+    return table(spark, d, "blocks").select("block_id", t.alias("t")).select("block_id", T.ends_mid_sentence(F.col("t")).alias("mid"), T.is_complete_sentence(F.col("t")).alias("complete"), T.is_transition(F.col("t")).alias("transition"), T.is_short_fragment(F.col("t")).alias("fragment"), T.is_junk(F.col("t")).alias("junk"), (F.length("t") < 50).alias("empty_title"))
+
+
+@query(f"""WITH b AS (SELECT block_id, doc_id, seq, {strip('text')} AS t FROM blocks), n AS (SELECT block_id, t, lead(t) OVER (PARTITION BY doc_id ORDER BY seq, block_id) AS f FROM b)
+    SELECT block_id, coalesce(f = '' OR regexp_matches(f, '^[\\p{{Ll}}\\p{{Nd}}\\x{{4e00}}-\\x{{9fff}}]'), true) AS goes_on FROM n""")
+def continuation(spark, d):
+    w = Window.partitionBy("doc_id").orderBy("seq", "block_id")
+    b = table(spark, d, "blocks").select("block_id", "doc_id", "seq", "text").withColumn("f", F.lead("text").over(w))
+    return b.select("block_id", T.starts_continuation(F.col("f")).alias("goes_on"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, {lines('text')} AS ls, text FROM documents WHERE text IS NOT NULL),
+    f AS (SELECT doc_id, ls, text, list_transform(ls, lambda x: regexp_matches(x, '\\d')) AS fl FROM l),
+    r AS (SELECT doc_id, text, ls, len(ls) AS n_lines, len(list_filter(fl, lambda x: x)) AS n_numeric, list_transform(fl, lambda x: CASE WHEN x THEN '1' ELSE '0' END) AS bits FROM f)
+    SELECT doc_id, n_lines, n_numeric, coalesce(list_max(list_transform(string_split(array_to_string(bits, ''), '0'), lambda x: length(x))), 0)::INT AS longest,
+    length(text) - length(replace(text, '|', '')) > 3 OR (n_lines >= 2 AND (n_numeric / n_lines > 0.6 OR
+      (CASE WHEN len(list_filter(ls[1:5], lambda x: regexp_matches(x, '{T.CAPTION}'))) > 0 THEN 2 ELSE 0 END + CASE WHEN n_numeric / n_lines >= 0.6 THEN 2 WHEN n_numeric / n_lines >= 0.5 THEN 1 ELSE 0 END
+       + CASE WHEN len(regexp_extract_all(text, '{T.UNIT}')) >= 2 THEN 1 ELSE 0 END
+       + CASE WHEN coalesce(list_max(list_transform(string_split(array_to_string(bits, ''), '0'), lambda x: length(x))), 0) >= 5 THEN 1 ELSE 0 END) >= 4)) AS is_table FROM r""")
+def table_blocks(spark, d):
+    t = table(spark, d, "documents").filter("text is not null")
+    flags = T.numeric_lines(F.col("text"))
+    return t.select("doc_id", F.size(flags).cast("long").alias("n_lines"), F.size(F.filter(flags, lambda x: x)).cast("long").alias("n_numeric"), T.longest_true_run(flags).alias("longest"), T.is_table(F.col("text")).alias("is_table"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, len(list_filter(ls, lambda x: regexp_matches({strip('x')}, '^[IVX]+$'))) > 0 OR len(list_filter(ls, lambda x: contains(x, '....') OR contains(x, '……'))) > len(ls) * 0.4::DOUBLE AS toc FROM p""")
+def toc_pages(spark, d):
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", T.is_toc_page(F.col("text")).alias("toc"))
+
+
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\n[IVX]+\n', chr(10), 'g'), '\n\d{1,3}\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS h FROM documents WHERE text IS NOT NULL""")
+def clean_pages(spark, d):
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.md5(T.clean_page_text(F.col("text"))).alias("h"))
+
+
+@query(r"""WITH b AS (SELECT doc_id, regexp_replace(text, '^{W}+|{W}+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+    q AS (SELECT concat_ws('; ', CASE WHEN length(t) < 50 THEN 'short' END, CASE WHEN regexp_matches(t, '^[#\s]*(?:目\s*录|Contents|Table of Contents)') THEN 'contents' END, CASE WHEN regexp_matches(t, '^[#\s]*(?:参考文献|References|参考书目)') THEN 'references' END) AS quality_reason FROM b)
+    SELECT quality_reason, CASE WHEN quality_reason = '' THEN 'high' ELSE 'low' END AS quality, count(*) AS n FROM q GROUP BY 1, 2""")
+def quality_tags(spark, d):
+    return chunks.quality(table(spark, d, "documents").filter("text is not null"), "text").groupBy("quality_reason", "quality").agg(F.count("*").alias("n"))
+
+
+@query("SELECT md5(substring(text, 1, 200)) AS h, min(doc_id) AS keep, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def prefix_copies(spark, d):
+    return structure.same_start(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, seq ORDER BY parsed_at DESC, block_id) AS k FROM blocks) SELECT doc_id, seq, block_id FROM r WHERE k = 1""")
+def latest_blocks(spark, d):
+    return structure.latest_parse(table(spark, d, "blocks").select("doc_id", "seq", "block_id", "parsed_at")).select("doc_id", "seq", "block_id")
+
+
+@query("""WITH s AS (SELECT doc_id AS g, source, sum(length(text)) AS total FROM blocks WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY 1, 2),
+    k AS (SELECT split_part(g, '-', 1) || substr(g, -1) AS grp, source, sum(total) AS total FROM s GROUP BY 1, 2)
+    SELECT DISTINCT a.grp, CASE WHEN a.total > b.total THEN b.source ELSE a.source END AS source FROM k a JOIN k b ON a.grp = b.grp AND a.source LIKE '%.docx' AND b.source LIKE '%.pdf'
+    WHERE greatest(a.total, b.total) > 1.15::DOUBLE * least(a.total, b.total)""")
+def format_twins(spark, d):
+    docs = table(spark, d, "blocks").filter("doc_id is not null and text is not null").withColumn("grp", F.concat(F.split("doc_id", "-")[0], F.expr("right(doc_id, 1)"))).withColumn("size", F.length("text"))
+    return structure.cross_format(docs, ["grp"], "source", "size")
+
+
+@query(f"""WITH b AS (SELECT doc_id, block_id, page, {strip('text')} AS t, y0 FROM blocks WHERE page IS NOT NULL AND y0 IS NOT NULL AND text IS NOT NULL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, block_id) AS u, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0 DESC, block_id DESC) AS v FROM b),
+    e AS (SELECT doc_id, page, md5(substring(t, 1, 100)) AS h, length(t) AS n FROM r WHERE u <= 2 OR v <= 2),
+    p AS (SELECT doc_id, count(DISTINCT page) AS n_pages FROM blocks WHERE page IS NOT NULL GROUP BY 1),
+    c AS (SELECT doc_id, h, count(DISTINCT page) AS pages FROM e WHERE n < 100 GROUP BY 1, 2)
+    SELECT c.doc_id, c.h FROM c JOIN p ON c.doc_id = p.doc_id WHERE n_pages >= 3 AND pages > greatest(3.0::DOUBLE, n_pages * 0.4::DOUBLE)""")
+def page_header_footer(spark, d):
+    return structure.header_footer_noise(table(spark, d, "blocks"))
+
+
+@query()
+def headers_removed(spark, d):
+    return structure.without_headers_footers(table(spark, d, "blocks")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH f AS (SELECT doc_id, list_sort(list(font_size)) AS s FROM blocks WHERE font_size > 0 GROUP BY 1),
+    m AS (SELECT doc_id, s[CAST(floor(len(s) * 0.7::DOUBLE) AS INT) + 1] AS p70, s[CAST(floor(len(s) * 0.9::DOUBLE) AS INT) + 1] AS p90 FROM f WHERE len(s) >= 5),
+    c AS (SELECT block_id, CASE WHEN p70 IS NOT NULL THEN (CASE WHEN font_size >= p90 THEN 0.5::DOUBLE WHEN font_size >= p70 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END) + (CASE WHEN bold THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END)
+      + (CASE WHEN length(regexp_replace(text, '^{W}+|{W}+$', '', 'g')) < 30 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END) END AS score FROM blocks LEFT JOIN m USING (doc_id))
+    SELECT block_id, round(score, 6) AS title_score, coalesce(score > 0.6::DOUBLE, false) AS layout_title FROM c""")
+def layout_titles(spark, d):
+    return structure.layout_titles(table(spark, d, "blocks")).select("block_id", R6("title_score").alias("title_score"), "layout_title")
+
+
+@query(f"""WITH b AS (SELECT doc_id, seq, block_id, {strip('text')} AS t FROM blocks WHERE {strip('text')} <> '' AND doc_id IS NOT NULL), f AS (SELECT doc_id, block_id, seq, regexp_matches(t, '\\|') AS tab FROM b),
+    o AS (SELECT *, CASE WHEN tab AND lag(tab, 1, false) OVER (PARTITION BY doc_id ORDER BY seq, block_id) THEN 0 ELSE 1 END AS opens FROM f),
+    i AS (SELECT doc_id, tab, sum(opens) OVER (PARTITION BY doc_id ORDER BY seq, block_id ROWS UNBOUNDED PRECEDING) AS island FROM o)
+    SELECT doc_id, CAST(count(DISTINCT island) AS BIGINT) AS islands, CAST(count(*) AS BIGINT) AS n FROM i GROUP BY 1""")
+def table_islands(spark, d):
+    b = table(spark, d, "blocks").filter("doc_id is not null").withColumn("t", T.strip(F.col("text"))).filter("t <> ''").select("doc_id", "seq", "block_id", F.col("t").contains("|").alias("tab"))
+    return structure.islands(b, ["doc_id"], ["seq", "block_id"], F.col("tab")).groupBy("doc_id").agg(F.countDistinct("island").alias("islands"), F.count("*").alias("n"))
+
+
+def _sections(spark, d) -> DataFrame:
+    return structure.sections(structure.latest_parse(table(spark, d, "blocks").filter("doc_id is not null")))
+
+
+@query()
+def document_sections(spark, d):
+    return _sections(spark, d).groupBy("doc_id", "tier").agg(F.count("*").alias("n"))
+
+
+@query()
+def section_verdicts(spark, d):
+    return structure.judged_sections(_sections(spark, d), "区划|风险|作物|指标|气候").groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query()
+def filtered_sections(spark, d):
+    return structure.chunks_of(structure.filter_sections(structure.merge_tables(_sections(spark, d)), "区划|风险|作物|指标|气候")).select("id", "doc_id", "type", F.length("content").alias("n"))
+
+
+@query()
+def page_text_blocks(spark, d):
+    return structure.page_blocks(table(spark, d, "documents").filter("text is not null"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("""SELECT source, lang, count(*) AS n, round(avg(length(text)), 6) AS mean_chars FROM documents GROUP BY 1, 2""")
+def corpus_counts(spark, d):
+    return table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), R6(F.avg(F.length("text"))).alias("mean_chars"))
+
+
+@query("""SELECT block_id, CASE WHEN contains(source, '年鉴') THEN 'yearbook' WHEN contains(source, '区划') THEN 'zoning' WHEN contains(source, 'Field') THEN 'field' ELSE 'other' END AS kind FROM blocks WHERE source IS NOT NULL""")
+def source_kinds(spark, d):
+    return table(spark, d, "blocks").filter("source is not null").select("block_id", T.ordered_match(F.col("source"), [("年鉴", "yearbook"), ("区划", "zoning"), ("Field", "field")], "other").alias("kind"))
+
+
+# Chunks -------------------------------------------------------------------------------------------------------------
+@query()
+def sentence_packs(spark, d):
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.posexplode(structure.pack_sentences(F.col("text"))).alias("part", "t"))
+    return docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("t")).alias("longest"))
+
+
+def _chunks(spark, d) -> DataFrame:
+    return chunks.parts(table(spark, d, "documents").filter("text is not null").select("doc_id", F.col("text").alias("content")))
+
+
+@query()
+def recursive_chunks(spark, d):
+    return _chunks(spark, d).select("doc_id", "part", F.length("part_text").alias("n"), F.md5("part_text").alias("h"))
+
+
+@query("""SELECT doc_id, seq, block_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq, block_id) - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS chunk_count,
+    CASE WHEN count(*) OVER (PARTITION BY doc_id) > 1 THEN doc_id || '_p' || (row_number() OVER (PARTITION BY doc_id ORDER BY seq, block_id) - 1) ELSE doc_id END AS id FROM blocks WHERE doc_id IS NOT NULL""")
+def chunk_numbers(spark, d):
+    b = chunks.numbered(table(spark, d, "blocks").filter("doc_id is not null").select("doc_id", "seq", "block_id"), "doc_id", ["seq", "block_id"])
+    return b.withColumn("chunk_index", F.col("chunk_index").cast("long")).withColumn("id", chunks.unique_id(F.col("doc_id"), F.col("chunk_index"), F.col("chunk_count")))
+
+
+FAMILIES = [("frost", "霜冻|倒春寒|frost"), ("drought", "干旱|旱|drought"), ("heat", "积温|temperature"), ("imagery", "NDVI|影像|pixels"), ("zoning", "区划|zoning|suitab"), ("soil", "土壤|topsoil|irrigation")]
+
+
+@query("WITH t AS (SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in FAMILIES) + """], lambda x: x IS NOT NULL) AS h FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, CASE WHEN len(h) > 0 THEN array_to_string(h[1:3], ',') ELSE '(none)' END AS topics FROM t""")
+def topic_tags(spark, d):
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.array_join(chunks.topics(F.col("text"), FAMILIES), ",").alias("topics"))
+
+
+@query("WITH t AS (SELECT doc_id, unnest(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in FAMILIES) + """], lambda x: x IS NOT NULL)[1:3]) AS topic FROM documents WHERE text IS NOT NULL) SELECT topic, count(*) AS n FROM t GROUP BY 1""")
+def topic_counts(spark, d):
+    t = table(spark, d, "documents").filter("text is not null").select(F.explode(chunks.topics(F.col("text"), FAMILIES)).alias("topic"))
+    return t.filter("topic <> '(none)'").groupBy("topic").agg(F.count("*").alias("n"))
+
+
+ENTITIES = [("percent", r"\d+\.\d%"), ("code", r"[A-K]\d-\d{4}")]
+
+
+@query(r"""WITH e AS (SELECT doc_id, list_concat(regexp_extract_all(text, '\d+\.\d%'), regexp_extract_all(text, '[A-K]\d-\d{4}')) AS l FROM documents WHERE text IS NOT NULL),
+    u AS (SELECT doc_id, list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN list_position(l, l[i]) = i THEN l[i] END), lambda x: x IS NOT NULL) AS l FROM e)
+    SELECT doc_id, array_to_string(l[1:5], '|') AS entities FROM u""")
+def entity_tags(spark, d):
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.array_join(chunks.entities(F.col("text"), ENTITIES), "|").alias("entities"))
+
+
+@query("""SELECT item_id, CASE WHEN coalesce(nullif(province, ''), nullif(crop, ''), nullif(zoning_type, '')) IS NULL THEN '' ELSE '[' || concat_ws(' ', nullif(province, ''), nullif(crop, ''), nullif(zoning_type, '')) || '] ' END AS header FROM golden_items""")
+def compact_headers(spark, d):
+    return table(spark, d, "golden_items").select("item_id", T.compact_header(F.col("province"), F.col("crop"), F.col("zoning_type")).alias("header"))
+
+
+@query()
+def heading_splits(spark, d):
+    return chunks.heading_split(table(spark, d, "documents").filter("text is not null"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("chars"))
+
+
+# Search -------------------------------------------------------------------------------------------------------------
+TERMS = r"""c AS (SELECT doc_id, regexp_extract_all(regexp_replace(replace(text, chr(10), ' '), '^{W}+|{W}+$', '', 'g'), '(?s).') AS cs FROM documents WHERE text IS NOT NULL),
+    tk AS (SELECT doc_id, unnest(list_concat(cs, list_transform(range(1, len(cs)), lambda i: CASE WHEN regexp_matches(cs[i], '{W}') OR regexp_matches(cs[i + 1], '{W}') THEN ' ' ELSE cs[i] || cs[i + 1] END))) AS term FROM c),
+    post AS (SELECT doc_id, term, count(*) AS tf FROM tk WHERE NOT regexp_matches(term, '^{W}$') GROUP BY 1, 2),
+    dl AS (SELECT doc_id, sum(tf) AS dl FROM post GROUP BY 1)"""
+
+
+@query("WITH " + TERMS + " SELECT doc_id, CAST(count(*) AS BIGINT) AS n_terms, CAST(sum(tf) AS BIGINT) AS dl FROM post GROUP BY 1")
+def postings_stats(spark, d):
+    p = search.postings(table(spark, d, "documents"), "doc_id", "text", technical=False)
+    return p.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("dl"))
+
+
+@query("WITH " + TERMS + """, n AS (SELECT (SELECT count(*) FROM documents) AS n), f AS (SELECT term, count(*) AS df FROM post GROUP BY 1), r AS (SELECT term, df, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS raw FROM f, n)
+    SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM r) ELSE raw END, 6) AS idf FROM r""")
+def term_weights(spark, d):
+    docs = table(spark, d, "documents")
+    p = materialise(search.postings(docs, "doc_id", "text", technical=False), "postings")
+    return search.okapi_weights(p, "doc_id", docs.agg(F.count("*").alias("n"))).withColumn("idf", R6("idf"))
+
+
+@query("WITH " + TERMS + r""", n AS (SELECT count(*) AS n, (SELECT sum(dl) FROM dl)::DOUBLE / count(*) AS avgdl FROM documents), f AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+    r AS (SELECT term, df, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS raw FROM f, n), w AS (SELECT term, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r),
+    qc AS (SELECT item_id, regexp_extract_all(regexp_replace(replace(question, chr(10), ' '), '^{W}+|{W}+$', '', 'g'), '(?s).') AS cs FROM golden_items WHERE question IS NOT NULL),
+    qt AS (SELECT item_id, unnest(list_concat(cs, list_transform(range(1, len(cs)), lambda i: CASE WHEN regexp_matches(cs[i], '{W}') OR regexp_matches(cs[i + 1], '{W}') THEN ' ' ELSE cs[i] || cs[i + 1] END))) AS term FROM qc),
+    q AS (SELECT item_id, term, count(*) AS qtf FROM qt WHERE NOT regexp_matches(term, '^{W}$') GROUP BY 1, 2),
+    s AS (SELECT q.item_id, p.doc_id, sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl.dl / avgdl))) AS score FROM q JOIN post p USING (term) JOIN w USING (term) JOIN dl ON dl.doc_id = p.doc_id, n GROUP BY 1, 2),
+    k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE abs(score) > 1e-12)
+    SELECT item_id, doc_id, round(score, 6) AS score, rank FROM k WHERE rank <= 10""")
+def bm25_topk(spark, d):
+    return search.bm25(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "golden_items"), "item_id", "question", 10, technical=False).withColumn("score", R6("score")).withColumn("rank", F.col("rank").cast("long"))
+
+
+def _asked(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").filter("vec_id % 100 = 0")
+
+
+SIMS = """e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, q.label AS ql, x.vec_id, x.label, list_dot_product(q.v, x.v) / sqrt(list_dot_product(q.v, q.v)) / sqrt(list_dot_product(x.v, x.v)) AS sim FROM e q JOIN e x ON q.vec_id % 100 = 0 AND q.vec_id <> x.vec_id),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, vec_id) AS rank FROM s)"""
+
+
+def _topk(spark, d, k=10) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return search.cosine_topk(e.select("vec_id", "embedding"), "vec_id", "embedding", _asked(spark, d), k)
+
+
+@query("WITH " + SIMS + " SELECT query_id, vec_id, round(sim, 6) AS sim, CAST(rank AS INT) AS rank FROM k WHERE rank <= 10")
+def cosine_topk(spark, d):
+    return _topk(spark, d).withColumn("sim", R6("sim"))
+
+
+def _ranked(spark, d, k=10) -> DataFrame:
+    e = table(spark, d, "embeddings").select("vec_id", "label")
+    t = _topk(spark, d, k)
+    return t.join(e, "vec_id").join(e.withColumnsRenamed({"vec_id": "query_id", "label": "ql"}), "query_id").withColumn("rel", (F.col("label") == F.col("ql")).cast("int"))
+
+
+@query("WITH " + SIMS + """, h AS (SELECT query_id, min(CASE WHEN label = ql THEN rank END) AS f, count(CASE WHEN label = ql THEN 1 END) AS h, count(CASE WHEN label = ql AND rank <= 5 THEN 1 END) AS h5 FROM k WHERE rank <= 10 GROUP BY 1)
+    SELECT query_id, round(coalesce(1.0::DOUBLE / f, 0), 6) AS rr, h5 > 0 AS recall_5, round(h5 / 5.0::DOUBLE, 6) AS precision_5, h AS hit_count FROM h""")
+def ranking_metrics(spark, d):
+    r = _ranked(spark, d)
+    gold = r.filter("rel = 1").select("query_id", "vec_id")
+    return evaluation.per_query(r.select("query_id"), r.select("query_id", "vec_id", "rank"), gold, "query_id", "vec_id").select("query_id", R6("rr").alias("rr"), "recall_5", R6("precision_5").alias("precision_5"), "hit_count")
+
+
+@query("WITH " + SIMS + """, h AS (SELECT query_id, ql, min(CASE WHEN label = ql THEN rank END) AS f FROM k WHERE rank <= 10 GROUP BY 1, 2)
+    SELECT ql AS label, count(*) AS n, round(avg(coalesce(1.0::DOUBLE / f, 0)), 6) AS mrr FROM h GROUP BY 1""")
+def mrr_by_label(spark, d):
+    r = _ranked(spark, d)
+    m = evaluation.per_query(r.select("query_id"), r.select("query_id", "vec_id", "rank"), r.filter("rel = 1"), "query_id", "vec_id").join(r.select("query_id", "ql").distinct(), "query_id")
+    return m.groupBy(F.col("ql").alias("label")).agg(F.count("*").alias("n"), R6(F.avg("rr")).alias("mrr"))
+
+
+@query("WITH " + SIMS + """, g AS (SELECT query_id, rank, CASE WHEN label = ql THEN 1 ELSE 0 END AS rel, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN label = ql THEN 1 ELSE 0 END DESC, rank) AS i FROM k WHERE rank <= 10),
+    n AS (SELECT query_id, sum(rel / log2(rank + 1)) AS dcg, sum(rel / log2(i + 1)) AS idcg FROM g GROUP BY 1) SELECT query_id, round(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END, 6) AS ndcg FROM n""")
+def ndcg_at_10(spark, d):
+    return evaluation.ndcg(_ranked(spark, d), "query_id", "rel", 10).withColumn("ndcg", R6("ndcg"))
+
+
+def _sims(spark, d) -> DataFrame:
+    """All similarities of the stated query set."""
+    e = table(spark, d, "embeddings").select("vec_id", "label")
+    t = search.cosine_topk(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", _asked(spark, d), 1 << 30)
+    return t.join(e, "vec_id").join(e.withColumnsRenamed({"vec_id": "query_id", "label": "ql"}), "query_id")
+
+
+@query("WITH " + SIMS + """, b AS (SELECT query_id, max(CASE WHEN label = ql THEN sim END) AS gs, max(CASE WHEN label <> ql THEN sim END) AS ts, count(*) AS n FROM s GROUP BY 1)
+    SELECT b.query_id, 1 + (SELECT count(*) FROM s WHERE s.query_id = b.query_id AND label <> ql AND sim > gs) AS gold_rank, n, round(gs, 6) AS gold_sim, round(ts, 6) AS top_sim, round(gs - ts, 6) AS margin FROM b WHERE gs IS NOT NULL""")
+def oracle_ranks(spark, d):
+    s = _sims(spark, d).withColumn("gold", F.col("label") == F.col("ql"))
+    o = search.oracle_rank(s, "query_id", "vec_id", "sim", "gold")
+    return o.select("query_id", "gold_rank", "n", *[R6(c).alias(c) for c in ("gold_sim", "top_sim", "margin")])
+
+
+@query("WITH " + SIMS + """, g AS (SELECT query_id, max(sim) AS top FROM s GROUP BY 1) SELECT CASE WHEN top >= 0.65 THEN 'high' WHEN top >= 0.55 THEN 'middle' ELSE 'low' END AS band, count(*) AS n FROM g GROUP BY 1""")
+def cosine_bands(spark, d):
+    top = _topk(spark, d, 1)
+    return top.groupBy(F.when(F.col("sim") >= 0.65, "high").when(F.col("sim") >= 0.55, "middle").otherwise("low").alias("band")).agg(F.count("*").alias("n"))
