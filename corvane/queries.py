@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import chunks, evaluation, fusion, search, structure
+from .operators import chunks, evaluation, linearise, search, structure
 from .tables import materialise, table
 
 QUERIES: dict = {}
@@ -244,6 +244,19 @@ def heading_splits(spark, d):
     return chunks.heading_split(table(spark, d, "documents").filter("text is not null"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("chars"))
 
 
+@query()
+def linear_tables(spark, d):
+    b = table(spark, d, "blocks").filter(F.col("text").contains("|"))
+    return linearise.linearise(b.select("block_id", "text"), "text").select("block_id", (F.col("linear") != F.col("text")).alias("changed"), F.length("linear").alias("n"))
+
+
+@query(f"""SELECT DISTINCT cell, regexp_replace(regexp_replace(translate(CASE WHEN cell IN ('——', '—', '---', '--', '…', '...', '/', '无') THEN '' ELSE cell END, '０１２３４５６７８９', '0123456789'), '[\\[（(]([^\\]）)]+)[\\]）)]', '\\1', 'g'), '[～~]', '至', 'g') AS clean
+    FROM (SELECT {strip('x')} AS cell FROM (SELECT unnest(string_split(text, '|')) AS x FROM blocks WHERE contains(text, '|')))""")
+def clean_cells(spark, d):
+    cells = table(spark, d, "blocks").filter(F.col("text").contains("|")).select(F.explode(F.split("text", r"\|")).alias("x")).select(T.strip(F.col("x")).alias("cell")).distinct()
+    return cells.select("cell", T.clean_cell(F.col("cell")).alias("clean"))
+
+
 # Search -------------------------------------------------------------------------------------------------------------
 TERMS = r"""c AS (SELECT doc_id, regexp_extract_all(regexp_replace(replace(text, chr(10), ' '), '^{W}+|{W}+$', '', 'g'), '(?s).') AS cs FROM documents WHERE text IS NOT NULL),
     tk AS (SELECT doc_id, unnest(list_concat(cs, list_transform(range(1, len(cs)), lambda i: CASE WHEN regexp_matches(cs[i], '{W}') OR regexp_matches(cs[i + 1], '{W}') THEN ' ' ELSE cs[i] || cs[i + 1] END))) AS term FROM c),
@@ -342,3 +355,6 @@ def oracle_ranks(spark, d):
 def cosine_bands(spark, d):
     top = _topk(spark, d, 1)
     return top.groupBy(F.when(F.col("sim") >= 0.65, "high").when(F.col("sim") >= 0.55, "middle").otherwise("low").alias("band")).agg(F.count("*").alias("n"))
+
+
+from . import queries_ranking, queries_relational  # noqa: E402,F401  they register their queries
