@@ -12,11 +12,12 @@ import os
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .batches import slices
+
 #: Folder of the vocabulary files; they are read in place.
 TOKENIZERS = os.environ.get("CORVANE_TOKENIZERS", "/opt/tokenizers")
 #: Pieces that a worker keeps; older ones are dropped together when the number is passed.
@@ -236,9 +237,10 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabu
     def run(batches):
         coder = encoder(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids, sizes = coder.batch([t or "" for t in part.column(1).to_pylist()])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for at, stop in slices(texts, 512):
+                part = batch.slice(at, stop - at)
+                ids, sizes = coder.batch(texts[at:stop])
                 offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], [key, "ids"])

@@ -21,7 +21,7 @@ def with_gold_ranks(candidates: DataFrame, failures: DataFrame) -> DataFrame:
         .agg(F.min(F.nullif(F.col("g.global_union.prior_rank"), F.lit(MISS))).alias("_gold"))
     )
     rank = F.nullif(F.col("prior_rank"), F.lit(MISS))
-    return candidates.join(gold, ["root_id", "chunk_id"], "left").withColumn("prior_rank", F.coalesce(rank, "_gold")).drop("_gold")
+    return candidates.select("root_id", "chunk_id", *SCORES).join(gold, ["root_id", "chunk_id"], "left").withColumn("prior_rank", F.coalesce(rank, "_gold")).drop("_gold")
 
 
 def percentiles(df: DataFrame, query: str, item: str, scores: dict[str, bool] = SCORES) -> DataFrame:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
+
 #: Encodings a text may wrongly have been decoded with; each byte has a character in the single-byte ones.
 SINGLE = ("cp1252", "latin-1", "cp1251", "cp437", "mac_roman", "cp850", "cp866", "koi8_r", "cp1250", "iso8859_15")
 #: (wrong, right) pairs of two-byte encodings whose characters exchange one by one.
@@ -267,9 +269,15 @@ def character_counts(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            whole = "".join(t for f in fields for t in b[f].tolist() if t)
-            points, n = np.unique(np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True) if whole else ((), ())
-            yield pd.DataFrame({"point": np.array(points, np.int32), "n": np.array(n, np.int64)})
+            n = np.zeros(0x110000, np.int64)
+            for f in fields:
+                texts = b[f].tolist()
+                for at, stop in slices(texts):
+                    whole = "".join(t for t in texts[at:stop] if t)
+                    seen = np.bincount(np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32))
+                    n[: len(seen)] += seen
+            points = np.flatnonzero(n)
+            yield pd.DataFrame({"point": points.astype(np.int32), "n": n[points]})
 
     return df.select(*fields).mapInPandas(run, "point int, n long").groupBy("point").agg(F.sum("n").alias("n"))
 
@@ -282,7 +290,7 @@ def repaired(df: DataFrame, key: str = "block_id", fields: tuple[str, ...] = ("t
 
     restored is the text after up to four layers of wrong decoding are undone; whole is false where bytes were lost, so
     that part stays garbled. A repair is taken when strict decoding works and the garbling cost, measured with the
-    characters of the whole corpus, drops. Null and empty fields give no row; repeated rows are each looked at. Names
+    characters of the whole corpus, drops. Null and empty fields and rows without a key give no row; repeated rows are each looked at. Names
     with accents are left alone.
     """
     counts = {r["point"]: r["n"] for r in character_counts(df, fields).collect()}  # bounded by Unicode
@@ -300,10 +308,11 @@ def repaired(df: DataFrame, key: str = "block_id", fields: tuple[str, ...] = ("t
             keys = b[key].tolist()
             for f in fields:
                 texts = [t or "" for t in b[f].tolist()]
-                for i in repair.suspects(texts):
-                    garbled, now = repair.cached(texts[i])
-                    if garbled:
-                        out.append((keys[i], f, texts[i], now, not LOST.search(now)))
+                for at, stop in slices(texts):
+                    for i in repair.suspects(texts[at:stop]):
+                        garbled, now = repair.cached(texts[at + i])
+                        if garbled:
+                            out.append((keys[at + i], f, texts[at + i], now, not LOST.search(now)))
             yield pd.DataFrame(out, columns=[key, "field", "original", "restored", "whole"])
 
-    return df.select(key, *fields).mapInPandas(run, f"`{key}` {kind}, field string, original string, restored string, whole boolean")
+    return df.filter(F.col(key).isNotNull()).select(key, *fields).mapInPandas(run, f"`{key}` {kind}, field string, original string, restored string, whole boolean")

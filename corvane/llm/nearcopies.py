@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import materialise
+from .batches import slices
 
 SHINGLE, SIMILARITY, LEAST_CHARS = 5, 0.7, 100
 #: Bands of coordinates: a pair at similarity 0.7 shares no band with probability (1 - 0.7 ** 4) ** 24 < 0.0014.
@@ -17,7 +18,7 @@ ROWS, BANDS = 4, 24
 #: Of 64 one-bit coordinates, a pair at 0.7 agrees in 54 on average (deviation 2.9); of all 96 four-bit ones in 69 (4.4).
 SAME_BITS, SAME_NIBBLES = 43, 50
 #: Texts in a bucket that are paired directly; larger buckets go the exact way of rare shingles.
-BUCKET = 200
+BUCKET = 1000
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -113,8 +114,8 @@ def sketched(rows: DataFrame, count: int, per_band: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for at in range(0, len(b), 1000):
-                part = b.iloc[at : at + 1000]
+            for at, stop in slices(b["t"].tolist()):
+                part = b.iloc[at:stop]
                 texts = part["t"].tolist()
                 c = sketches(*shingles_of(texts), len(texts), t)
                 yield pd.DataFrame({"k": part["k"].to_numpy(), "h1": part["h1"].to_numpy(), "h2": part["h2"].to_numpy(), "bit": packed(c, 1, 64)[:, 0], "nib": list(packed(c, 4, t - t % 16)), "bands": list(band_keys(c, per_band))})
@@ -164,13 +165,12 @@ def candidates(classes: DataFrame, texts: DataFrame, similarity: float, rows: in
     small = shared.filter(F.col("n") <= bucket)
     a, b = small.select("band", F.col("rep").alias("a"), F.col("bit").alias("x")), small.select("band", F.col("rep").alias("b"), F.col("bit").alias("y"))
     near = a.join(b, "band").filter((F.col("a") < F.col("b")) & (64 - F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) >= bits)).select("a", "b").distinct()
+    large = shared.filter(F.col("n") > bucket).select("rep")
+    if not large.isEmpty():
+        near = near.unionByName(rare_shingle_pairs(texts.join(large.distinct(), "rep", "left_semi"), similarity)).distinct()
     nib = classes.select("rep", "nib")
     close = near.join(nib.select(F.col("rep").alias("a"), F.col("nib").alias("x")), "a").join(nib.select(F.col("rep").alias("b"), F.col("nib").alias("y")), "b")
-    close = close.filter(equal_nibbles("x", "y", t - t % 16) >= nibbles).select("a", "b")
-    large = shared.filter(F.col("n") > bucket).select("rep")
-    if large.isEmpty():
-        return close
-    return close.unionByName(rare_shingle_pairs(texts.join(large.distinct(), "rep", "left_semi"), similarity)).distinct()
+    return close.filter(equal_nibbles("x", "y", t - t % 16) >= nibbles).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -90,7 +90,7 @@ def pieces(text: str, style: str | None, size: int = SIZE, overlap: int = OVERLA
 
 
 def _run(df: DataFrame, schema: str, each, key: str, text: str, style: str, size: int) -> DataFrame:
-    rows = df.filter(F.length(text) > size).select(key, text, F.col(style).cast("string").alias(style) if style in df.columns else F.lit(None).cast("string").alias(style))
+    rows = df.filter((F.length(text) > size) & F.col(key).isNotNull()).select(key, text, F.col(style).cast("string").alias(style) if style in df.columns else F.lit(None).cast("string").alias(style))
 
     def run(batches):
         for batch in batches:
@@ -103,7 +103,7 @@ def split_oversized(df: DataFrame, key: str = "block_id", text: str = "text", st
     """(key, piece, start, stop, natural, text, cut_kind): the pieces of every text longer than `size`, in order.
 
     start and stop are code points of the stored text; the pieces cover it whole. cut_kind is `hard` where some stretch
-    between natural boundaries is itself too long, else `natural`. Shorter, empty and null texts give no row; repeated
+    between natural boundaries is itself too long, else `natural`. Shorter, empty and null texts and rows without a key give no row; repeated
     rows are cut again. Tables are cut after line breaks only.
     """
     kind = df.schema[key].dataType.simpleString()

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
+
 #: Hashed term dimensions, leaves, and the share of a document's sentences that makes a subject one of its own.
 DIMS, LEAVES, SHARE = 1024, 192, 0.25
 #: Bounds of the sample that the clusters are fitted on: labelled documents, and sentences of them.
@@ -238,8 +240,8 @@ def assign(documents: DataFrame, areas: DataFrame, labels: DataFrame, key: str =
     def run(batches):
         m = shared.value
         for b in batches:
-            for at in range(0, len(b), 512):
-                part = b.iloc[at : at + 512]
+            for at, stop in slices(b[text].tolist(), 512):
+                part = b.iloc[at:stop]
                 s = m.shares(part[text].tolist())
                 i, j = np.nonzero(s >= share - 1e-9)
                 yield pd.DataFrame({key: part[key].to_numpy()[i], "subject": [m.subjects[k] for k in j], "share": s[i, j]})
