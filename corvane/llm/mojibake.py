@@ -22,6 +22,8 @@ MARKS = re.compile("锟斤|斤拷|烫烫烫|屯屯屯")
 LAYERS = 4
 #: Bits by which the garbling cost of a text must drop for a repair to be taken, and bits a repaired character.
 LEAST_GAIN, GAIN_EACH = 6.0, 2.0
+#: Share of the characters of a two-byte reading that the corpus must hold elsewhere.
+SEEN = 0.6
 COMMON = 1 << 16
 #: Characters in a row whose exchange must pay for a text to be looked at.
 SPAN = 6
@@ -84,6 +86,8 @@ PRIVATE = re.compile("[\ue000-\uf8ff\x80-\x84\x86-\x9f\ufffd]")
 HINT = re.compile("[\x80-˿Ͱ-׿Ḁ-⿟-ﬀ-ﭏ]{2}")
 
 
+#: What two- and three-byte sequences may stand for: Latin letters and marks and anything from U+2000 on, or Cyrillic or Greek words.
+PLAUSIBLE = re.compile("[\\x00-\\u024f\\u0300-\\u036f\\u2000-\\U0010ffff]+|[\\x00-\\x7f\\u0400-\\u045f\\u2000-\\u206f]{3,}|[\\x00-\\x7f\\u0370-\\u03ff\\u2000-\\u206f]{3,}")
 #: The Han character that GBK shows for the two UTF-8 bytes of an accented Latin letter -> the letter.
 ACCENTS = {h: chr(p) for p in range(0xC0, 0x180) if chr(p).isalpha() and len(h := chr(p).encode().decode("gbk", "ignore")) == 1}
 ACCENT_IN_GBK = re.compile(f"(?<=[A-Za-z])[{''.join(ACCENTS)}](?=[A-Za-z])|(?<![^\\x00-\\x7f])[{''.join(ACCENTS)}](?=[a-z])")
@@ -99,6 +103,7 @@ class Repair:
                 table[point] = n
         total = max(table.sum(), 1.0)
         self.bits = -np.log2((table + 0.5) / (total + 0.5 * COMMON))
+        self.unseen = float(self.bits.max()) - 0.5
         odd = [p for p in range(0x80, 0xA0)] + list(range(0xE000, 0xF900)) + [0xFFFD]
         self.bits[odd] = self.bits.max() + 4
         self.each = self.bits.tolist()
@@ -117,6 +122,10 @@ class Repair:
         except IndexError:
             return sum(self.each[min(p, 0xFFFD)] for p in map(ord, text))
 
+    def seen(self, text: str) -> bool:
+        high = [c for c in text if c > "\x7f"]
+        return sum(self.each[min(ord(c), 0xFFFD)] < self.unseen for c in high) >= SEEN * len(high)
+
     def better(self, old: str, new: str | None) -> float:
         """Gain of a replacement, 0 where it isn't taken."""
         if not new or PRIVATE.search(new):
@@ -133,7 +142,16 @@ class Repair:
                 gained, parts, at = 0.0, [], 0
                 for m in pattern.finditer(text):
                     new = codec.back(m.group(), right)
-                    gain = self.better(m.group(), new)
+                    for _ in range(LAYERS):  # control characters inside are a deeper layer of the same kind
+                        if not new or right != "utf-8" or not PRIVATE.search(new):
+                            break
+                        deeper = codec.utf8.sub(lambda x: codec.back(x.group(), "utf-8") or x.group(), new)
+                        if deeper == new:
+                            break
+                        new = deeper
+                    gain = self.better(m.group(), new) if right != "utf-8" or new and PLAUSIBLE.fullmatch(new) else 0.0
+                    if right == "gbk" and gain and not self.seen(new):
+                        gain = 0.0
                     if right == "gbk" and gain and not all("\u3000" <= c <= "\u9fff" or c <= "~" or "\uff00" <= c <= "\uffef" or c in "℃°—–·≥≤“”‘’…ⅠⅡⅢ×" for c in new):
                         gain = 0.0
                     if gain:

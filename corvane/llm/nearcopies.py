@@ -159,10 +159,10 @@ def candidates(classes: DataFrame, texts: DataFrame, similarity: float, rows: in
     t = rows * count
     scale = min(1.0, max(0.0, (similarity - 0.2) / 0.5))
     bits, nibbles = int(SAME_BITS * (1 + similarity) / 1.7), int(SAME_NIBBLES * scale * t / 96)
-    banded = classes.select("rep", "bit", F.explode("bands").alias("band"))
+    banded = classes.select("rep", F.explode("bands").alias("band"))
     sizes = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = materialise(banded.join(sizes, "band"), "bands")
-    small = shared.filter(F.col("n") <= bucket)
+    shared = materialise(banded.join(sizes, "band"), "bands")  # what shares a band with anything: a small part
+    small = shared.filter(F.col("n") <= bucket).join(classes.select("rep", "bit"), "rep")
     a, b = small.select("band", F.col("rep").alias("a"), F.col("bit").alias("x")), small.select("band", F.col("rep").alias("b"), F.col("bit").alias("y"))
     near = a.join(b, "band").filter((F.col("a") < F.col("b")) & (64 - F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) >= bits)).select("a", "b").distinct()
     large = shared.filter(F.col("n") > bucket).select("rep")
@@ -219,8 +219,10 @@ def near_copies(df: DataFrame, key: str = "block_id", text: str = "text", simila
     table = materialise(sketched(hashed, count, rows), "sketches")
     named = table.groupBy("h1", "h2").agg(F.min("k").alias("rep"))
     members = table.select("k", "h1", "h2").distinct().join(named, ["h1", "h2"]).select(F.col("k").alias(key), "rep")
-    classes = table.join(named, ["h1", "h2"]).filter("k = rep").select("rep", "h1", "bit", "nib", "bands").dropDuplicates(["rep", "h1"])
-    pairs = materialise(candidates(classes, source.join(classes.select("rep"), "rep", "left_semi"), similarity, rows, count, bucket), "pairs")
+    # Copies leave before the sketches travel; written first, so that a small set of them is seen to be small.
+    copies = materialise(table.select("k", "h1", "h2").join(named, ["h1", "h2"]).filter("k <> rep").select("k", "h1").distinct(), "copies")
+    classes = table.join(copies, ["k", "h1"], "left_anti").select(F.col("k").alias("rep"), "bit", "nib", "bands")
+    pairs = materialise(candidates(classes, source, similarity, rows, count, bucket), "pairs")
     return members, verified(pairs, source, similarity)
 
 
