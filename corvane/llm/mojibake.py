@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import slices
+from .lookalikes import TO_LATIN
 
 #: Encodings a text may wrongly have been decoded with; each byte has a character in the single-byte ones.
 SINGLE = ("cp1252", "latin-1", "cp1251", "cp437", "mac_roman", "cp850", "cp866", "koi8_r", "cp1250", "iso8859_15")
@@ -46,6 +47,7 @@ class Single:
         self.chars = _byte_chars(codec)
         self.byte = {c: b for b, c in enumerate(self.chars)}
         self.high = frozenset(self.chars[128:])
+        self.letters = codec in ("cp1251", "cp866", "koi8_r")  # sound words of another alphabet look like its outcome
         cls = lambda a, b: "[" + "".join(re.escape(self.chars[x]) for x in range(a, b + 1)) + "]"
         tail = cls(0x80, 0xBF)
         self.utf8 = re.compile(f"(?:{cls(0xC2, 0xDF)}{tail}|{cls(0xE0, 0xEF)}{tail}{{2}}|{cls(0xF0, 0xF4)}{tail}{{3}})+")
@@ -75,7 +77,7 @@ def exchange(wrong: str, right: str) -> np.ndarray:
                 x, y = raw.decode(wrong), raw.decode(right)
             except UnicodeDecodeError:
                 continue
-            if len(x) == len(y) == 1 and ord(x) < COMMON and x != y:
+            if len(x) == len(y) == 1 and 0x2000 <= ord(x) < COMMON and x != y:
                 out[ord(x)] = ord(y)
     return out
 
@@ -86,8 +88,8 @@ PRIVATE = re.compile("[\ue000-\uf8ff\x80-\x84\x86-\x9f\ufffd]")
 HINT = re.compile("[\x80-˿Ͱ-׿Ḁ-⿟-ﬀ-ﭏ]{2}")
 
 
-#: What two- and three-byte sequences may stand for: Latin letters and marks and anything from U+2000 on, or Cyrillic or Greek words.
-PLAUSIBLE = re.compile("[\\x00-\\u024f\\u0300-\\u036f\\u2000-\\U0010ffff]+|[\\x00-\\x7f\\u0400-\\u045f\\u2000-\\u206f]{3,}|[\\x00-\\x7f\\u0370-\\u03ff\\u2000-\\u206f]{3,}")
+#: What two- and three-byte sequences may stand for: Latin letters, usual marks and East Asian characters, or Cyrillic or Greek words.
+PLAUSIBLE = re.compile("[\x00-ɏ̀-ͯ‐-›€℀-↏∀-⋿①-⓿■-◿⺀-鿿가-힯豈-﫿＀-￯\U00020000-\U0003ffff]+|[\x00-\x7fЀ-џ -⁯]{3,}|[\x00-\x7fͰ-Ͽ -⁯]{3,}")
 #: The Han character that GBK shows for the two UTF-8 bytes of an accented Latin letter -> the letter.
 ACCENTS = {h: chr(p) for p in range(0xC0, 0x180) if chr(p).isalpha() and len(h := chr(p).encode().decode("gbk", "ignore")) == 1}
 ACCENT_IN_GBK = re.compile(f"(?<=[A-Za-z])[{''.join(ACCENTS)}](?=[A-Za-z])|(?<![^\\x00-\\x7f])[{''.join(ACCENTS)}](?=[a-z])")
@@ -141,6 +143,8 @@ class Repair:
             for pattern, right in ((codec.utf8, "utf-8"), (codec.gbk, "gbk")):
                 gained, parts, at = 0.0, [], 0
                 for m in pattern.finditer(text):
+                    if all(c in TO_LATIN for c in m.group() if c > "\x7f"):
+                        continue  # letters chosen for their looks
                     new = codec.back(m.group(), right)
                     for _ in range(LAYERS):  # control characters inside are a deeper layer of the same kind
                         if not new or right != "utf-8" or not PRIVATE.search(new):
@@ -150,7 +154,7 @@ class Repair:
                             break
                         new = deeper
                     gain = self.better(m.group(), new) if right != "utf-8" or new and PLAUSIBLE.fullmatch(new) else 0.0
-                    if right == "gbk" and gain and not self.seen(new):
+                    if (right == "gbk" or codec.letters) and gain and not self.seen(new):
                         gain = 0.0
                     if right == "gbk" and gain and not all("\u3000" <= c <= "\u9fff" or c <= "~" or "\uff00" <= c <= "\uffef" or c in "℃°—–·≥≤“”‘’…ⅠⅡⅢ×" for c in new):
                         gain = 0.0
