@@ -44,7 +44,7 @@ def postings(df: DataFrame, key: str, text: str, technical: bool = True) -> Data
                 part = b.iloc[at : at + 200]
                 counts = [Counter(tokens(t, technical)) for t in part[text].tolist()]
                 n = [len(c) for c in counts]
-                yield pd.DataFrame({key: np.repeat(part[key].to_numpy(), n), "term": [t for c in counts for t in c], "tf": np.array([v for c in counts for v in c.values()], np.int32), "dl": np.repeat(np.array([sum(c.values()) for c in counts], np.int32), n)})
+                yield pd.DataFrame({key: np.repeat(part[key].to_numpy(), n), "term": pd.Series([t for c in counts for t in c], dtype=object), "tf": np.array([v for c in counts for v in c.values()], np.int32), "dl": np.repeat(np.array([sum(c.values()) for c in counts], np.int32), n)})
 
     return df.select(key, text).mapInPandas(run, f"`{key}` {kind}, term string, tf int, dl int")
 

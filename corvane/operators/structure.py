@@ -237,7 +237,7 @@ def cross_format(docs: DataFrame, group: list[str], name: str, size: str, ratio:
     sums = docs.groupBy(*group, name).agg(F.sum(size).alias("total"))
     a = sums.filter(F.col(name).endswith(".docx")).withColumnsRenamed({name: "docx", "total": "ta"})
     b = sums.filter(F.col(name).endswith(".pdf")).withColumnsRenamed({name: "pdf", "total": "tb"})
-    pairs = a.join(b, group).filter(F.greatest("ta", "tb") > F.lit(ratio) * F.least("ta", "tb"))
+    pairs = a.join(b, group).filter(F.greatest("ta", "tb") / F.nullif(F.least("ta", "tb"), F.lit(0)) > ratio)
     return pairs.select(*group, F.when(F.col("ta") > F.col("tb"), F.col("pdf")).otherwise(F.col("docx")).alias(name)).distinct()
 
 

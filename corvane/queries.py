@@ -113,7 +113,7 @@ def latest_blocks(spark, d):
 @query("""WITH s AS (SELECT doc_id AS g, source, sum(length(text)) AS total FROM blocks WHERE doc_id IS NOT NULL AND text IS NOT NULL GROUP BY 1, 2),
     k AS (SELECT split_part(g, '-', 1) || substr(g, -1) AS grp, source, sum(total) AS total FROM s GROUP BY 1, 2)
     SELECT DISTINCT a.grp, CASE WHEN a.total > b.total THEN b.source ELSE a.source END AS source FROM k a JOIN k b ON a.grp = b.grp AND a.source LIKE '%.docx' AND b.source LIKE '%.pdf'
-    WHERE greatest(a.total, b.total) > 1.15::DOUBLE * least(a.total, b.total)""")
+    WHERE greatest(a.total, b.total)::DOUBLE / nullif(least(a.total, b.total), 0)::DOUBLE > 1.15::DOUBLE""")
 def format_twins(spark, d):
     docs = table(spark, d, "blocks").filter("doc_id is not null and text is not null").withColumn("grp", F.concat(F.split("doc_id", "-")[0], F.expr("right(doc_id, 1)"))).withColumn("size", F.length("text"))
     return structure.cross_format(docs, ["grp"], "source", "size")
