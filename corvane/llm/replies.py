@@ -228,7 +228,7 @@ def defects(results: DataFrame, key: str = "result_id", query: str = "query", an
                 kind.append(found)
                 state.append("no" if found else unfinished(a))
                 size.append(len(a) if a else 0)
-            yield pd.DataFrame({"k": b["k"], "kind": kind, "state": state, "n_chars": np.array(size, np.int32), "a": b["a"]})
+            yield pd.DataFrame({"k": b["k"].to_numpy(), "kind": pd.Series(kind, dtype=object), "state": pd.Series(state, dtype=object), "n_chars": np.array(size, np.int32), "a": b["a"].to_numpy()})
 
     kinds = dict(results.dtypes)
     looked = materialise(rows.mapInPandas(look, f"k {kinds[key]}, kind string, state string, n_chars int, a string"), "replies")

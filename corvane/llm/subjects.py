@@ -214,7 +214,7 @@ def fit(texts: list[str], labels: list[set[str]], descriptions: dict[str, str],
     centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
     rest = sums[leaf] - x  # each sentence against the others of its leaf
     near = ((x * rest).sum(1) / np.maximum(np.linalg.norm(rest, axis=1), 1e-9))[np.bincount(leaf)[leaf] > 2]
-    return Model(subjects, weight, centres, mixture, float(np.quantile(near, 0.02)) * STRANGE if len(near) else 0.1, terms)
+    return Model(subjects, weight, centres, mixture, min(float(np.quantile(near, 0.02)), 0.5) * STRANGE if len(near) else 0.1, terms)
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS) -> list:
@@ -244,6 +244,6 @@ def assign(documents: DataFrame, areas: DataFrame, labels: DataFrame, key: str =
                 part = b.iloc[at:stop]
                 s = m.shares(part[text].tolist())
                 i, j = np.nonzero(s >= share - 1e-9)
-                yield pd.DataFrame({key: part[key].to_numpy()[i], "subject": [m.subjects[k] for k in j], "share": s[i, j]})
+                yield pd.DataFrame({key: part[key].to_numpy()[i], "subject": pd.Series([m.subjects[k] for k in j], dtype=object), "share": s[i, j]})
 
     return documents.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text).mapInPandas(run, f"`{key}` {kind}, subject string, share double")
