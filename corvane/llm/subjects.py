@@ -165,8 +165,8 @@ def top_terms(parts: list[str], leaf: np.ndarray, leaves: int, n: int = 8) -> li
     return [sorted(c, key=lambda t: (-c[t] * c[t] / every[t], t))[:n] for c in counts]
 
 
-def fit(texts: list[str], labels: list[set[str]], descriptions: dict[str, str], leaves: int = LEAVES) -> Model:
-    """Clusters the sentences of labelled texts and labels each leaf with a mixture of subjects.
+def fit(parts: list[str], labels: list[set[str]], descriptions: dict[str, str], leaves: int = LEAVES) -> Model:
+    """Clusters sentences of labelled texts, given with their texts' labels, and labels each leaf with a mixture of subjects.
 
     A leaf starts from the labels of the texts its sentences come from, each text's vote shared among its labels and
     set against how common the label is, and with the subjects whose description has the leaf's discriminative terms;
@@ -174,25 +174,16 @@ def fit(texts: list[str], labels: list[set[str]], descriptions: dict[str, str],
     """
     subjects = sorted(descriptions)
     index = {s: i for i, s in enumerate(subjects)}
-    parts, owner = [], []
-    for i, t in enumerate(texts):
-        s = sentences(t)
-        parts += s
-        owner += [i] * len(s)
-    if len(parts) > FIT_SENTENCES:
-        keep = np.sort(np.random.default_rng(7).permutation(len(parts))[:FIT_SENTENCES])
-        parts, owner = [parts[i] for i in keep], [owner[i] for i in keep]
     if not parts:
         return Model(subjects, np.ones(DIMS, np.float32), np.zeros((1, DIMS), np.float32), np.zeros((1, len(subjects))), 2.0)
-    owner_ = np.array(owner)
     raw = vectors(parts)
     weight = np.log((1 + len(raw)) / (1 + (raw > 0).sum(0))).astype(np.float32)
     x = vectors(parts, weight)
     leaf = bisecting_kmeans(x, min(leaves, max(1, len(parts) // 4)))
     n = int(leaf.max()) + 1
     allowed = np.zeros((len(parts), len(subjects)))
-    for r, i in enumerate(owner):
-        for s in labels[i]:
+    for r, names in enumerate(labels):
+        for s in names:
             if s in index:
                 allowed[r, index[s]] = 1
     terms = top_terms(parts, leaf, n)
@@ -217,11 +208,19 @@ def fit(texts: list[str], labels: list[set[str]], descriptions: dict[str, str],
     return Model(subjects, weight, centres, mixture, min(float(np.quantile(near, 0.02)), 0.5) * STRANGE if len(near) else 0.1, terms)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, limit: int = FIT_DOCUMENTS) -> list:
-    """At most `limit` labelled documents, those with the smallest hashed ids, with all their labels."""
-    sets = labels.filter("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("subjects"))
-    chosen = sets.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter("text is not null").collect()
+def labelled_sample(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", limit: int = FIT_DOCUMENTS, most: int = FIT_SENTENCES) -> list:
+    """At most `most` sentences of at most `limit` labelled documents, those first by hash, with all labels of their documents."""
+    sets = labels.filter("doc_id is not null and subject is not null").groupBy(F.col("doc_id").alias("k")).agg(F.array_sort(F.collect_set("subject")).alias("names"))
+    chosen = sets.orderBy(F.xxhash64("k"), "k").limit(limit)
+    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").filter("t is not null")
+
+    def run(batches):
+        for b in batches:
+            found = [(n, s) for n, t in zip(b["names"].tolist(), b["t"].tolist()) for s in sentences(t)]
+            yield pd.DataFrame({"names": pd.Series([list(n) for n, _ in found], dtype=object), "s": pd.Series([s for _, s in found], dtype=object)})
+
+    every = rows.select("names", "t").mapInPandas(run, "names array<string>, s string")
+    return every.orderBy(F.xxhash64("s"), "s", "names").limit(most).collect()
 
 
 def assign(documents: DataFrame, areas: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
@@ -232,8 +231,8 @@ def assign(documents: DataFrame, areas: DataFrame, labels: DataFrame, key: str =
     again. Without labels nothing is assigned.
     """
     descriptions = {r["subject"]: r["description"] or "" for r in areas.filter("subject is not null").limit(1000).collect()}
-    sample = labelled_sample(documents, labels)
-    model = fit([r["text"] for r in sample], [set(r["subjects"]) for r in sample], descriptions)
+    sample = labelled_sample(documents, labels, key, text)
+    model = fit([r["s"] for r in sample], [set(r["names"]) for r in sample], descriptions)
     shared = documents.sparkSession.sparkContext.broadcast(model)  # of fixed size: leaves x dimensions
     kind = dict(documents.dtypes)[key]
 
