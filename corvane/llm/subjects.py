@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,9 +18,10 @@ DIMS, LEAVES, SHARE = 1024, 192, 0.25
 #: Bounds of the sample that the clusters are fitted on: labelled documents, and sentences of them.
 FIT_DOCUMENTS, FIT_SENTENCES = 3000, 14_000
 #: A sentence farther from every leaf than this multiple of the fitted sentences' second percentile has no subject.
-STRANGE = 1.0
-END = re.compile(r"[。！？!?；;]+|\.(?=\s|$)|[\r\n]+")
+STRANGE = 1.15
+END = re.compile(r"[。！？!?；;]+|(?<!\bcf)(?<!\bvs)(?<!\bNo)\.(?=\s|$)|[\r\n]+")
 MARKUP = re.compile(r"<[^<>]{0,200}>|&[a-z]{2,6};|[*_#`>]+")
+WIDE = re.compile("[\uff21-\uff5a]")
 NO_LETTER, HAN = re.compile(r"[\W\d_]+"), re.compile("[一-鿿]")
 BLANKED = re.compile(r"\([^()]{0,40}\)|\d[\d.,:%—–-]*")
 
@@ -30,6 +32,8 @@ def sentences(text: str | None) -> list[str]:
     if not text:
         return out
     text = MARKUP.sub(" ", text)
+    if WIDE.search(text):
+        text = unicodedata.normalize("NFKC", text)
     at = 0
     for m in END.finditer(text + "\n"):
         part, closed = text[at : m.start()].strip(), m.group()[0] not in "\r\n"
