@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .operators import evaluation, fusion, rewrite
+from .operators import diagnosis, evaluation, fusion, rewrite
+from .plans import pipeline
 from .queries import R6, SIMS, query, table, _ranked, _topk
 
 #: Candidates once, without repeated rows, with a miss as null.
@@ -365,3 +366,64 @@ def replay_parity(spark, d):
     a = fused(spark, d).select("root_id", "chunk_id", F.col("final_rank").alias("rank"))
     b = fused(spark, d).repartition(7, "chunk_id").select("root_id", "chunk_id", F.col("final_rank").alias("rank"))
     return evaluation.same_order(a, b, "root_id", "chunk_id")
+
+
+# Diagnoses ----------------------------------------------------------------------------------------------------------
+@query("WITH " + SIMS + ", b AS (SELECT query_id, max(sim) AS best FROM k WHERE rank <= 10 GROUP BY 1) SELECT count(*) AS n, round(avg(best), 6) AS mean_best, round(avg((best > 0.6)::INT), 6) AS above_60, round(avg((best > 0.7)::INT), 6) AS above_70 FROM b")
+def semantic_relevance(spark, d):
+    r = diagnosis.semantic_relevance(_topk(spark, d), "query_id", "sim")
+    return r.select("n", *[R6(c).alias(c) for c in ("mean_best", "above_60", "above_70")])
+
+
+@query("WITH " + CAND + ", " + GOLD + ", b AS (SELECT root_id, min(prior_rank) AS best_rank, true AS found FROM c JOIN gold USING (root_id, chunk_id) GROUP BY 1) SELECT q.root_id, coalesce(found, false) AS found, best_rank, coalesce(best_rank > 50, false) AS far FROM (SELECT DISTINCT root_id FROM gold) q LEFT JOIN b USING (root_id)")
+def retrievability(spark, d):
+    return diagnosis.retrievability(cand(spark, d), gold(spark, d), "root_id", "chunk_id", "prior_rank")
+
+
+@query("WITH " + FUSED + ", " + GOLD + """, s AS (SELECT c.root_id, min(dense_rank) + 1 AS dr, min(bm25_rank) + 1 AS br, min(prior_rank) AS fr, min(final_rank) AS lr, max(cosine_sim) AS cs FROM c JOIN gold USING (root_id, chunk_id) JOIN r USING (root_id, chunk_id) GROUP BY 1),
+    q AS (SELECT DISTINCT root_id FROM gold) SELECT CASE WHEN coalesce(lr, 999) <= 10 THEN 'A_found' WHEN coalesce(fr, 999) <= 10 THEN 'B_lost_in_rerank' WHEN coalesce(dr, 999) <= 10 OR coalesce(br, 999) <= 10 THEN 'C_lost_in_fusion' WHEN coalesce(dr, 999) <= 30 OR coalesce(br, 999) <= 30 THEN 'D_ranked_low'
+    WHEN cs >= 0.65 THEN 'E_close_not_retrieved' WHEN cs >= 0.55 THEN 'F_middling' ELSE 'G_far' END AS layer, count(*) AS n FROM q LEFT JOIN s USING (root_id) GROUP BY 1""")
+def layered_diagnosis(spark, d):
+    g = gold(spark, d)
+    s = fused(spark, d).join(g, ["root_id", "chunk_id"], "left_semi").groupBy("root_id").agg((F.min("dense_rank") + 1).alias("dr"), (F.min("bm25_rank") + 1).alias("br"), F.min("prior_rank").alias("fr"), F.min("final_rank").alias("lr"), F.max("cosine_sim").alias("cs"))
+    j = g.select("root_id").distinct().join(s, "root_id", "left")
+    return j.groupBy(diagnosis.layer(F.col("dr"), F.col("br"), F.col("fr"), F.col("lr"), F.col("cs")).alias("layer")).agg(F.count("*").alias("n"))
+
+
+@query("WITH " + CAND + ", " + GOLD + """, k AS (SELECT root_id, chunk_id, row_number() OVER (PARTITION BY root_id ORDER BY retrieval_prior DESC NULLS LAST, chunk_id) AS k FROM c), f AS (SELECT q.root_id, min(k) AS k FROM (SELECT DISTINCT root_id FROM gold) q LEFT JOIN (SELECT k.* FROM k JOIN gold USING (root_id, chunk_id)) x USING (root_id) GROUP BY 1)
+    SELECT s.size, count(*) AS n, count(CASE WHEN k <= s.size THEN 1 END) AS found FROM f, (VALUES (10), (20), (50)) s(size) GROUP BY 1""")
+def pool_size_scan(spark, d):
+    return diagnosis.pool_sizes(cand(spark, d), gold(spark, d), "root_id", "chunk_id", [F.desc_nulls_last("retrieval_prior"), "chunk_id"], (10, 20, 50))
+
+
+@query("WITH " + FUSED + """, k AS (SELECT DISTINCT section_id, chunk_id FROM candidates), fs AS (SELECT r.root_id, c.section_id, min(final_rank) AS m FROM r JOIN c USING (root_id, chunk_id) WHERE final_rank <= 5 GROUP BY 1, 2), x AS (SELECT fs.root_id, k.chunk_id, row_number() OVER (PARTITION BY fs.root_id ORDER BY m, k.section_id, k.chunk_id) AS rank FROM fs JOIN k USING (section_id))
+    SELECT root_id, chunk_id, CAST(rank AS INT) AS rank FROM x WHERE rank <= 10""")
+def flattened_sections(spark, d):
+    s = _sections_of(spark, d)
+    top = fused(spark, d).filter("final_rank <= 5").select("root_id", "section_id", F.col("final_rank").alias("rank"))
+    firsts = top.groupBy("root_id", "section_id").agg(F.min("rank").alias("rank"))
+    order = s.withColumn("chunk_index", F.struct("section_id", "chunk_id"))
+    return diagnosis.section_flattened(firsts, order, "root_id", "section_id", "chunk_id", 10)
+
+
+@query("SELECT doc_id, round(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND regexp_matches(x, '[^ \\t\\n\\r\\f](?: {2,}|\\t)[^ \\t\\n\\r\\f]'))) / nullif(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')), 0)::DOUBLE, 6) AS ratio FROM documents WHERE text IS NOT NULL".replace("\\\\", "\\"))
+def column_split(spark, d):
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", R6(diagnosis.column_split_ratio(F.col("text"))).alias("ratio"))
+
+
+@query("WITH k AS (SELECT item_id, coalesce(question_type, '-') AS t, row_number() OVER (PARTITION BY coalesce(question_type, '-') ORDER BY item_id) AS k FROM golden_items), n AS (SELECT greatest(floor(60.0 / count(DISTINCT t)), 1) AS n FROM k) SELECT t AS question_type, item_id FROM k, n WHERE k <= n")
+def even_quota(spark, d):
+    g = table(spark, d, "golden_items").select(F.coalesce("question_type", F.lit("-")).alias("question_type"), "item_id")
+    return diagnosis.quota_by_group(g, "question_type", ["item_id"], 60)
+
+
+@query("WITH r AS (SELECT DISTINCT result_id, decision, answer FROM rag_results) SELECT result_id, CASE WHEN decision = 'answer' THEN answer WHEN decision = 'fallback' THEN 'The answer could not be checked. Please ask again later.' ELSE 'No answer was found in the collection. ' END AS said FROM r")
+def final_answers(spark, d):
+    r = table(spark, d, "rag_results").select("result_id", "decision", "answer").distinct()
+    return r.select("result_id", diagnosis.answer_or_reason(F.col("decision"), F.col("answer"), F.lit(None).cast("string")).alias("said"))
+
+
+@query()
+def retrieval_pipeline(spark, d):
+    """Chunks of all documents, both channels, fusion and decision for every held-out question."""
+    return pipeline.answer(pipeline.index(table(spark, d, "documents"), "doc_id", "text"), table(spark, d, "golden_items"), "item_id", "question").select("root_id", "section_id", "lo", "hi", "rank", "decision")
