@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import materialise
 from .batches import slices
 
 #: Hashed term dimensions, leaves, and the share of a document's sentences that makes a subject one of its own.
@@ -224,7 +225,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, key: str = "doc_id"
             yield pd.DataFrame({"names": pd.Series([list(n) for n, _ in found], dtype=object), "s": pd.Series([s for _, s in found], dtype=object)})
 
     every = rows.select("names", "t").mapInPandas(run, "names array<string>, s string")
-    return every.orderBy(F.xxhash64("s"), "s", "names").limit(most).collect()
+    # Written first: the limit is then taken over a shuffle, not over rows of all tasks on the driver.
+    return materialise(every.orderBy(F.xxhash64("s"), "s", "names").limit(most), "sample").collect()
 
 
 def assign(documents: DataFrame, areas: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
