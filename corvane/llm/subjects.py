@@ -20,6 +20,7 @@ DIMS, LEAVES, SHARE = 1024, 192, 0.25
 FIT_DOCUMENTS, FIT_SENTENCES = 3000, 14_000
 #: A sentence farther from every leaf than this multiple of the fitted sentences' second percentile has no subject.
 STRANGE = 1.15
+SHARPEN = 3
 END = re.compile(r"[。！？!?；;]+|(?<!\bcf)(?<!\bvs)(?<!\bNo)\.(?=\s|$)|[\r\n]+")
 MARKUP = re.compile(r"<[^<>]{0,200}>|&[a-z]{2,6};|[*_#`>]+")
 WIDE = re.compile("[\uff21-\uff5a]")
@@ -205,6 +206,8 @@ def fit(parts: list[str], labels: list[set[str]], descriptions: dict[str, str],
         mixture = members @ vote + 1e-3
         mixture = (mixture / mixture.sum(1, keepdims=True)) ** 1.3
         mixture /= mixture.sum(1, keepdims=True)
+    mixture = mixture**SHARPEN  # a leaf of one subject counts for it alone, one of several keeps them
+    mixture /= mixture.sum(1, keepdims=True)
     sums = np.zeros((n, DIMS), np.float32)
     np.add.at(sums, leaf, x)
     centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
@@ -248,7 +251,7 @@ def assign(documents: DataFrame, areas: DataFrame, labels: DataFrame, key: str =
             for at, stop in slices(b[text].tolist(), 512):
                 part = b.iloc[at:stop]
                 s = m.shares(part[text].tolist())
-                i, j = np.nonzero(s >= share - 1e-9)
+                i, j = np.nonzero(s >= share * 0.98)  # a leaf's mixture is never quite one
                 yield pd.DataFrame({key: part[key].to_numpy()[i], "subject": pd.Series([m.subjects[k] for k in j], dtype=object), "share": s[i, j]})
 
     return documents.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text).mapInPandas(run, f"`{key}` {kind}, subject string, share double")
