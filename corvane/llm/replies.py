@@ -18,9 +18,9 @@ LABELS = r"(?:答案|回答|回复|答复|答|answer|reply|response|output|assis
 WRAPPERS = {"", "问", "问题", "提问", "您的问题是", "你的问题是", "您想了解的是", "你想了解的是", "您问的是", "你问的是", "您是问", "您是想问", "关于", "q", "question", "query", "youasked", "yourquestionis", "yourquestionwas", "youaskedabout", "youwanttoknow", "youwouldliketoknow", "regarding"}
 TAILS = {"", "对吗", "是吗", "对吧", "是这样吗", "是这个问题吗", "right", "isthatso", "isthatright", "correct", "isthatyourquestion", "吗", "呢"}
 REFUSAL = re.compile(
-    r"无法(?:回答|作答|提供|给出|确定|判断|答复|处理|帮)|不能(?:作答|回答|提供|答复|给出)|难以(?:给出|回答|作答|提供)|恕难|恕不|不便(?:对此|回答|作答|给出|发表|答复|提供)|帮不上|不作回答|不予(?:回答|作答)|超出了?.{0,12}(?:范围|覆盖|内容)|与问题无关|没有(?:涉及|相关|找到|检索|足够)|未(?:检索|找到|涉及|包含|收录|覆盖)|不掌握|暂不(?:能|便)|拒绝|不清楚|不知道|不了解"
+    r"无法(?:回答|作答|提供|给出|确定|判断|答复|处理|帮)|不能(?:作答|回答|提供|答复|给出)|难以(?:给出|回答|作答|提供)|恕难|恕不|不便(?:对此|回答|作答|给出|发表|答复|提供)|帮不上|不作回答|不予(?:回答|作答)|超出了?.{0,12}(?:范围|覆盖|内容)|与问题无关|没有(?:涉及|相关|找到|检索|足够)|未(?:检索|找到|涉及|包含|收录|覆盖)|不掌握|暂不(?:能|便)|拒绝|不清楚|不知道|不了解|没有?办法(?:提供|回答|给出|作答)|查不到|找不到|答不上|回答不了|给不出|提供不了|不在.{0,10}范围|爱莫能助"
     r"|\b(?:can ?not|can't|cannot|unable to|not able to|won't|will not|decline to|refuse to|must decline|am not in a position)\b.{0,40}\b(?:answer|help|respond|comment|assist|provide|say|give|reply|address|tell|determine|speak|do that)"
-    r"|(?:don't|do not) have (?:enough|sufficient|any|the)|outside (?:the|my|our)|beyond (?:the|my|our)|not (?:covered|related|relevant|in the|contain|enough)|no (?:relevant|related|information|data|material)|unrelated to|have no (?:information|data|material|answer)|nothing (?:about|on|relevant)|insufficient (?:information|data)|not qualified|as an? (?:ai|assistant|language model)|作为.{0,8}(?:助手|模型|人工智能)",
+    r"|(?:don't|do not) have (?:enough|sufficient|any|the)|outside (?:the|my|our)|beyond (?:the|my|our)|not (?:covered|related|relevant|in the|contain|enough)|no (?:relevant|related|information|data|material)|unrelated to|have no (?:information|data|material|answer)|nothing (?:about|on|relevant)|no way (?:of|to)\b|not possible (?:for me )?to (?:answer|say|tell|help|respond)|insufficient (?:information|data)|not qualified|as an? (?:ai|assistant|language model)|作为.{0,8}(?:助手|模型|人工智能)",
     re.I,
 )
 COURTESY = re.compile(
@@ -28,6 +28,7 @@ COURTESY = re.compile(
     r"|^(?:(?:i'?m|i am|we are|very|so|terribly)?\s*(?:sorry|apolog\w*|regret\w*|unfortunately|afraid)|my apologies|hello|hi|dear user|please\b.*|thank\w*.*|feel free.*|you (?:may|might|could|can)\b.*|try (?:re|another|asking)\w*.*|let me know.*|if you have .*|is there anything.*)[\s,.:;!?–-]*(?:about (?:this|that)|for (?:the|any) (?:delay|inconvenience|wait))?[\s,.:;!?]*$",
     re.I,
 )
+QUOTED = re.compile(r"(?:关于|对于|针对|regarding|about|as to)\s*[“\"「『][^”\"」』]{2,200}[”\"」』][，,]?", re.I)
 ENGLISH = {"the", "of", "and", "to", "in", "is", "was", "for", "at", "by", "on", "with", "as", "are", "were", "from", "that", "this", "it", "be", "has", "have", "not", "after", "before", "than", "near", "its", "an", "or", "per", "yes", "no"}
 OTHER_LATIN = {
     "fr": {"le", "la", "les", "des", "du", "et", "en", "est", "dans", "une", "un", "pour", "sur", "avec", "cette", "ce", "se", "pas", "mal", "plus", "au", "aux", "il", "qui"},
@@ -91,7 +92,7 @@ def sentences(text: str) -> list[str]:
 def is_refusal(query: str, answer: str) -> bool:
     """Declines somewhere, and no sentence beyond courtesies and the question answers."""
     q = query.strip()
-    text = answer.replace(q, "") if q else answer
+    text = QUOTED.sub("", answer.replace(q, "") if q else answer)
     while (m := CITED.search(text.rstrip())) and m.start():
         text = text[: m.start()]
     declined = False
@@ -102,7 +103,7 @@ def is_refusal(query: str, answer: str) -> bool:
             if after and not REFUSAL.search(after) and not COURTESY.match(after) and len(bare(after)) > 6 or re.search(r"\d", re.sub(r"[\[【(（].*?[\]】)）]", "", s)):
                 return False
             declined = True
-        elif not COURTESY.match(s):
+        elif not COURTESY.match(s) and bare(s) not in bare(q):
             return False
     return declined
 
