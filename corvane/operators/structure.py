@@ -102,7 +102,7 @@ def filter_sections(secs: DataFrame, domain: str, mode: str = "carry") -> DataFr
     """(doc_id, sec_ord, heading_path, blocks): dropped, merged and kept sections.
 
     A merged section goes into the next one, whose own verdict is then taken anew with the added text. In mode `carry`
-    the receiving section goes on; in `reference_drop` it is lost with the merged one unless that was a table. One
+    the receiving section goes on; in `drop_both` it is lost with the merged one unless that was a table. One
     document's sections are read in order, one after the other, since each merge changes what follows.
     """
     rx = {"domain": domain}
@@ -128,7 +128,7 @@ def filter_sections(secs: DataFrame, domain: str, mode: str = "carry") -> DataFr
                 continue
             if v.startswith("merge") and after is not None:
                 bodies[i + 1] = bodies[i] + bodies[i + 1]
-                i += 2 if mode == "reference_drop" else 1
+                i += 2 if mode == "drop_both" else 1
                 continue
             if not (v == "merge_title" and after is None and not text):
                 out.append((rows[i], bodies[i]))

@@ -44,7 +44,7 @@ def test_sections_merge_and_filter(spark):
     secs = spark.createDataFrame([("d", 1, ["t"], ["短标题"]), ("d", 2, ["u"], [body + "完。"]), ("d", 3, ["v"], ["a|b|c|d|e"]), ("d", 4, ["w"], ["1|2|3|4|5"]), ("d", 5, ["x"], ["仅供参考"])], "doc_id string, sec_ord int, heading_path array<string>, blocks array<string>")
     kept = {r.sec_ord: r.blocks for r in structure.filter_sections(secs, "气候").collect()}
     assert kept == {2: ["短标题", body + "完。"], 3: ["a|b|c|d|e", "1|2|3|4|5"]}
-    dropped = {r.sec_ord for r in structure.filter_sections(secs, "气候", "reference_drop").collect()}
+    dropped = {r.sec_ord for r in structure.filter_sections(secs, "气候", "drop_both").collect()}
     assert dropped == {3}
     merged = {r.sec_ord: r.merged for r in structure.merge_tables(secs).collect()}
     assert merged == {1: 1, 2: 1, 3: 2, 5: 1}
