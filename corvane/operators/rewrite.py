@@ -114,6 +114,17 @@ def without_fences(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"^\s*```[^\n]*\n", ""), r"\n```\s*$", "")
 
 
+def with_keywords(q: Column, keywords: Column) -> Column:
+    """The question and its keywords, for lexical search."""
+    return F.concat_ws(" ", q, F.array_join(keywords, " "))
+
+
+def with_structure_note(prompt: Column, note: str, mark: str) -> Column:
+    """The note put before the last mark of a prompt; at the end where it has none."""
+    at = F.length(prompt) - F.locate(mark[::-1], F.reverse(prompt)) - len(mark) + 2
+    return F.when(prompt.contains(mark), F.concat(prompt.substr(F.lit(1), at - 1), F.lit(note), prompt.substr(at, F.length(prompt)))).otherwise(F.concat(prompt, F.lit(note)))
+
+
 def pool(terms: Column, synonyms: Column, generated: Column, most: int = 6) -> Column:
     """Keywords in the order dictionary, synonyms, generated: distinct, at most six."""
     empty = F.array().cast("array<string>")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .operators import diagnosis, evaluation, fusion, rewrite
+from .operators import chunks, diagnosis, evaluation, fusion, rewrite
 from .plans import pipeline
-from .queries import R6, SIMS, query, table, _ranked, _topk
+from .queries import R6, SIMS, _ranked, _topk, query, table
+from .tables import below_counts
 
 #: Candidates once, without repeated rows, with a miss as null.
 CAND = """c AS (SELECT DISTINCT root_id, chunk_id, text_len, section_id, sources, query_hits, dense_rank, bm25_rank, bm25_kw_rank, rrf_prior, cosine_sim, evidence_score, retrieval_prior, ce_raw, nullif(prior_rank, 999) AS prior_rank FROM candidates)"""
@@ -427,3 +428,73 @@ def final_answers(spark, d):
 def retrieval_pipeline(spark, d):
     """Chunks of all documents, both channels, fusion and decision for every held-out question."""
     return pipeline.answer(pipeline.index(table(spark, d, "documents"), "doc_id", "text"), table(spark, d, "golden_items"), "item_id", "question").select("root_id", "section_id", "lo", "hi", "rank", "decision")
+
+
+@query("SELECT result_id, confidence, CAST(ntile(8) OVER (ORDER BY result_id) AS INT) AS part FROM (SELECT DISTINCT result_id, confidence FROM rag_results WHERE confidence IS NOT NULL)")
+def score_groups(spark, d):
+    """Results in eight groups of equal size by id: counts over range partitions in place of one global window."""
+    r = table(spark, d, "rag_results").filter("confidence is not null").select("result_id", "confidence").distinct()
+    placed = below_counts(r.withColumn("all", F.lit(1)), ["all"], "result_id").select("result_id", "below")
+    n = r.agg(F.count("*").alias("n"))
+    size, more = F.floor(F.col("n") / 8), F.col("n") % 8
+    part = F.when(F.col("below") < more * (size + 1), F.floor(F.col("below") / (size + 1))).otherwise(more + F.floor((F.col("below") - more * (size + 1)) / F.greatest(size, F.lit(1))))
+    return r.join(placed, "result_id").crossJoin(n).select("result_id", "confidence", (part + 1).cast("int").alias("part"))
+
+
+@query("WITH " + CAND + ", " + GOLD + """, k AS (SELECT root_id, chunk_id, row_number() OVER (PARTITION BY root_id ORDER BY retrieval_prior DESC NULLS LAST, chunk_id) AS pos FROM c) SELECT root_id, CAST(min(pos) AS INT) AS first_gold FROM k JOIN gold USING (root_id, chunk_id) WHERE pos <= 50 GROUP BY 1""")
+def gold_rank_in_pool(spark, d):
+    w = Window.partitionBy("root_id").orderBy(F.desc_nulls_last("retrieval_prior"), "chunk_id")
+    k = cand(spark, d).withColumn("pos", F.row_number().over(w)).filter("pos <= 50")
+    return k.join(gold(spark, d), ["root_id", "chunk_id"], "left_semi").groupBy("root_id").agg(F.min("pos").alias("first_gold"))
+
+
+@query("WITH r AS (SELECT DISTINCT result_id, confidence, elapsed_ms FROM rag_results) SELECT result_id FROM r WHERE elapsed_ms IS NOT NULL AND abs(confidence - least(elapsed_ms / 5000, 1)) > 0.3")
+def judge_outliers(spark, d):
+    r = table(spark, d, "rag_results").select("result_id", (F.col("confidence") * 10).alias("said"), F.when(F.col("elapsed_ms").isNotNull(), F.least(F.col("elapsed_ms") / 5000, F.lit(1.0))).alias("measured"), "confidence", "elapsed_ms").distinct()
+    return diagnosis.outliers(r, "said", "measured").select("result_id")
+
+
+@query("WITH t AS (SELECT capability, unnest(gold_chunks) AS g FROM pool_failures) SELECT capability AS tier, round(sum((g.pool50.in_pool)::INT) / nullif(count(g.global_union.in_union), 0)::DOUBLE, 6) AS rate FROM t GROUP BY 1")
+def micro_tiers(spark, d):
+    t = table(spark, d, "pool_failures").select(F.col("capability").alias("tier"), F.explode("gold_chunks").alias("g")).select("tier", F.col("g.pool50.in_pool").cast("int").alias("hit"), F.col("g.global_union.in_union").isNotNull().cast("int").alias("one"))
+    return diagnosis.micro_rate(t, "tier", "hit", "one").withColumn("rate", R6("rate"))
+
+
+@query("SELECT item_id, concat_ws(' ', question, array_to_string(list_filter([province, crop], lambda x: x IS NOT NULL), ' ')) AS q FROM golden_items WHERE question IS NOT NULL")
+def keyword_questions(spark, d):
+    return table(spark, d, "golden_items").filter("question is not null").select("item_id", rewrite.with_keywords(F.col("question"), F.array_compact(F.array("province", "crop"))).alias("q"))
+
+
+@query("SELECT item_id, CASE WHEN starts_with(answer, h) THEN answer ELSE h || answer END AS restored FROM (SELECT item_id, answer, '[' || coalesce(province, '') || '] ' AS h FROM golden_items) x")
+def header_restored(spark, d):
+    g = table(spark, d, "golden_items").withColumn("h", F.concat(F.lit("["), F.coalesce("province", F.lit("")), F.lit("] ")))
+    return g.select("item_id", chunks.with_header(F.col("answer"), F.col("h")).alias("restored"))
+
+
+@query("""WITH n AS (SELECT block_id, lower(regexp_replace(source, '[《》“”「」 　()（）]', '', 'g')) AS s FROM blocks WHERE source IS NOT NULL), g AS (SELECT DISTINCT lower(crop) AS c FROM golden_items WHERE crop IS NOT NULL) SELECT c AS crop, count(DISTINCT s) AS sources FROM g JOIN n ON contains(s, c) GROUP BY 1""")
+def source_match(spark, d):
+    clean = F.lower(F.regexp_replace("source", "[《》“”「」 　()（）]", ""))
+    n = table(spark, d, "blocks").filter("source is not null").select(clean.alias("s")).distinct()
+    g = table(spark, d, "golden_items").filter("crop is not null").select(F.lower("crop").alias("crop")).distinct()  # names of a fixed set
+    return n.join(g, F.col("s").contains(F.col("crop"))).groupBy("crop").agg(F.count("*").alias("sources"))
+
+
+@query("WITH " + CAND + """, t AS (SELECT root_id, max(cosine_sim) AS top1, count(*) AS n FROM c GROUP BY 1) SELECT CASE WHEN top1 < 0.72 THEN 'rewrite' ELSE 'keep' END AS gate, count(*) AS n, CAST(sum(n) AS BIGINT) AS candidates FROM t GROUP BY 1""")
+def gate_statistics(spark, d):
+    t = cand(spark, d).groupBy("root_id").agg(F.max("cosine_sim").alias("top1"), F.count("*").alias("k"))
+    g = rewrite.gate(F.lit("a question of some length"), F.lit(False), F.col("top1"), F.lit(1.0))
+    return t.groupBy(F.when(g, "rewrite").otherwise("keep").alias("gate")).agg(F.count("*").alias("n"), F.sum("k").alias("candidates"))
+
+
+@query("WITH " + SIMS + """, p AS (SELECT query_id, vec_id, label, sim FROM k WHERE rank <= 20), f AS (SELECT label, vec_id, max(sim) AS m FROM p GROUP BY 1, 2), b AS (SELECT label, query_id, max(sim) AS m FROM p GROUP BY 1, 2)
+    SELECT x.label, round(x.f, 6) AS forward, round(y.b, 6) AS backward FROM (SELECT label, avg(m) AS f FROM f GROUP BY 1) x JOIN (SELECT label, avg(m) AS b FROM b GROUP BY 1) y USING (label)""")
+def both_way_similarity(spark, d):
+    s = _ranked(spark, d, 20).select("label", "vec_id", "query_id", "sim")
+    return diagnosis.best_both_ways(s, "vec_id", "query_id", "label").select("label", R6("forward").alias("forward"), R6("backward").alias("backward"))
+
+
+@query("WITH " + CAND + ", m AS (SELECT chunk_id, min(root_id) AS root FROM c GROUP BY 1) SELECT g.item_id, coalesce(m.chunk_id, substring(g.answer, 1, 80)) AS key FROM golden_items g LEFT JOIN m ON m.chunk_id = g.source_chunk_id")
+def result_keys(spark, d):
+    m = table(spark, d, "candidates").select(F.col("chunk_id").alias("known")).distinct()
+    g = table(spark, d, "golden_items")
+    return g.join(m, g.source_chunk_id == m.known, "left").select("item_id", F.coalesce("known", F.substring("answer", 1, 80)).alias("key"))

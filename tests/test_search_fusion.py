@@ -132,3 +132,8 @@ def test_ranks_across_ranges(spark):
 def test_blank_texts_have_no_postings(spark):
     d = spark.createDataFrame([(1, " "), (2, None)], "id int, t string")
     assert search.postings(d, "id", "t").count() == 0
+
+
+def test_note_goes_before_the_last_mark(spark):
+    d = spark.createDataFrame([("a Q: b Q: c",), ("none",)], "p string")
+    assert [r[0] for r in d.select(rewrite.with_structure_note(F.col("p"), "[n]", "Q:")).collect()] == ["a Q: b [n]Q: c", "none[n]"]
