@@ -12,26 +12,23 @@ from pyspark.sql import functions as F
 
 from ..tables import materialise
 
-# Cyrillic and Greek letters that look like Latin ones, in the order of the Latin letters below them.
+# Letters of other alphabets that look like Latin ones, each line with the Latin letters in the same order.
 LOOKS = (
     ("аеорсухіѕјһԁԛԝӏ", "aeopcyxisjhdqwl"),
     ("АВЕКМНОРСТУХЅІЈҺԌԚԜӀ", "ABEKMHOPCTYXSIJhGQWI"),
-    ("ονινυα", "ovivua"),
+    ("ονιυα", "oviua"),
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳ", "ABEZHIKMNOPTYXCj"),
     ("օսոհզցԱՕ", "ounhqgUO"),
-    ("ɑɡıꓐꓑꓒꓓꓔꓖꓗꓘꓙꓚꓝꓞꓟꓠꓡꓢꓣꓤꓥꓦꓧꓨꓩꓪꓫꓬꓭꓮꓯꓰꓱꓲꓳꓴꓵꓶꓷ", "agi"),
+    ("ɑɡ", "ag"),
 )
-TO_LATIN = {a: b for xs, ys in LOOKS[:5] for a, b in zip(xs, ys)} | dict(zip("ɑɡ", "ag"))
-FROM_LATIN: dict[str, dict[str, str]] = {}
-for _a, _b in TO_LATIN.items():
-    FROM_LATIN.setdefault("GREEK" if "Ͱ" <= _a <= "Ͽ" else "CYRILLIC" if "Ѐ" <= _a <= "ӿ" else "OTHER", {}).setdefault(_b, _a)
+TO_LATIN = {a: b for xs, ys in LOOKS for a, b in zip(xs, ys)}
 #: Compatibility kinds whose characters look the same as what they stand for; raised, circled and such ones do not.
 SAME = {"<wide>", "<narrow>", "<noBreak>", "<compat>"}
 #: Unified look-alike punctuation (fixed values): dashes and quotes keep their differences, spaces become one.
 INVISIBLE = {0x00AD, 0x034F, 0x061C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180E, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
 PLAIN = re.compile("[\x20-\x7e\n一-鿿。《》「」『』【】—–…·℃°≥≤、‘’“”]*")
-#: A token: letters of alphabets; Han, kana and hangul stand between tokens.
-LETTERS = re.compile("(?:(?![\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff])[^\\W\\d_])+")
+#: A token: letters of alphabets with their accents; Han, kana and hangul stand between tokens.
+LETTERS = re.compile("(?:(?![\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff])[^\\W\\d_]|[\u0300-\u036f])+")
 
 
 class _Width(dict):
@@ -73,28 +70,23 @@ def tidy(text: str) -> str:
 
 
 def repair_token(token: str, alone: bool = False) -> str | None:
-    """The token in its dominant script where all letters of other scripts have a look-alike there, else None.
+    """A token of mixed script in its dominant one, None where it isn't repaired.
 
-    Of equally many letters, those that could not be substitutes decide, then Latin. A token of one script only is
-    mended where alone is true and every letter has a Latin look-alike.
+    The letters that could not be substitutes say which script dominates: where all letters of other scripts have a Latin
+    look-alike it is Latin, else the token stays. A token of one script only is mended where alone is true and every
+    letter has a Latin look-alike.
     """
     bare = [c for c in unicodedata.normalize("NFD", token) if not unicodedata.combining(c)]
     counts: dict[str, int] = {}
     for c in bare:
         counts[script(c)] = counts.get(script(c), 0) + 1
+    latin = unicodedata.normalize("NFC", "".join(TO_LATIN.get(c, c) for c in token))
+    foreign = [c for c in bare if script(c) != "LATIN"]
+    if not foreign or not all(c in TO_LATIN for c in foreign):
+        return None
     if len(counts) == 1:
-        new = "".join(TO_LATIN.get(c, c) for c in token)
-        return new if alone and "LATIN" not in counts and all(c in TO_LATIN for c in bare) else None
-    if "LATIN" not in counts:
-        whole = "".join(TO_LATIN.get(c, "?") for c in token)
-        return None if "?" in whole else whole
-    others = [s for s in counts if s != "LATIN"]
-    if all(c in TO_LATIN for c in bare if script(c) != "LATIN"):
-        firm = any(c not in FROM_LATIN.get(others[0], {}) for c in bare if script(c) == "LATIN")
-        if firm or counts["LATIN"] >= sum(counts[s] for s in others):
-            return "".join(TO_LATIN.get(c, c) if script(c) != "LATIN" else c for c in token)
-        return "".join(TO_LATIN.get(c, c) for c in token)
-    return None
+        return latin if alone else None
+    return latin
 
 
 def foreign_tokens(text: str) -> list[str]:
@@ -129,7 +121,7 @@ def forms(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
                         continue
                     tokens: list = []
                     if not PLAIN.fullmatch(tidied) and (found := foreign_tokens(tidied)):
-                        firm = {script(c) for x in found for c in x if c not in TO_LATIN} | {script(c) for x in LETTERS.findall(tidied) for c in x if c not in TO_LATIN and script(c) in ("CYRILLIC", "GREEK", "ARMENIAN")}
+                        firm = {script(c) for x in found for c in x if c not in TO_LATIN and not unicodedata.combining(c)} | {script(c) for x in LETTERS.findall(tidied) for c in x if c not in TO_LATIN and script(c) in ("CYRILLIC", "GREEK", "ARMENIAN")}
                         for x in found:
                             new = repair_token(x, alone=script(x[0]) not in firm)
                             if new and new != x:

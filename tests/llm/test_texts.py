@@ -21,6 +21,10 @@ def test_repair_token():
     assert lookalikes.repair_token("А", alone=True) == "A" and lookalikes.repair_token("А") is None
 
 
+def test_accent_on_a_look_alike():
+    assert lookalikes.repair_token("Bе\u0301randol") == "Bérandol"
+
+
 def test_alike_pairs(spark):
     a = "Figure 3 Water balance"
     rows = [(1, a), (2, a), (3, "Fіgurе 3 Wаter balance"), (4, "Ｆｉｇｕｒｅ ３ Water balance"), (5, "figure 3 water balance"), (6, None), (7, ""), (8, "Figure 3 Wa​ter balance"), (9, "слово русское целое"), (10, "short"), (11, "ѕhort"), (8, "Figure 3 Wa​ter balance")]
