@@ -28,6 +28,7 @@ SAME = {"<wide>", "<narrow>", "<noBreak>", "<compat>"}
 INVISIBLE = {0x00AD, 0x034F, 0x061C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180E, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
 PLAIN = re.compile("[\x20-\x7e\n一-鿿。《》「」『』【】—–…·℃°≥≤、‘’“”]*")
 #: A token: letters of alphabets with their accents; Han, kana and hangul stand between tokens.
+BLANKS, BREAKS = re.compile(" {2,}"), re.compile(" ?\n[ \n]*")
 LETTERS = re.compile("(?:(?![\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff])[^\\W\\d_]|[\u0300-\u036f])+")
 
 
@@ -40,7 +41,9 @@ class _Width(dict):
         out: str | None = ch
         if point in INVISIBLE or kind in ("Cf", "Cc") and ch not in "\t\n\r\x0b\x0c\x85":
             out = None
-        elif kind in ("Zs", "Zl", "Zp") or ch in "\t\n\r\x0b\x0c\x85":
+        elif kind in ("Zl", "Zp") or ch in "\r\x0b\x0c\x85":
+            out = "\n"
+        elif kind == "Zs" or ch == "\t":
             out = " "
         else:
             parts = unicodedata.decomposition(ch).split()
@@ -62,11 +65,11 @@ def script(ch: str) -> str:
 
 
 def tidy(text: str) -> str:
-    """One width, composed accents, no invisible characters, single plain spaces, none at the ends."""
+    """One width, composed accents, no invisible characters, single plain spaces and line breaks, none at the ends."""
     if not PLAIN.fullmatch(text):
         text = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).translate(WIDTH))
         text = unicodedata.normalize("NFC", text)
-    return " ".join(text.split())
+    return BREAKS.sub("\n", BLANKS.sub(" ", text)).strip()
 
 
 def repair_token(token: str, alone: bool = False) -> str | None:
@@ -95,7 +98,7 @@ def foreign_tokens(text: str) -> list[str]:
 
 
 def visible(text: str) -> int:
-    return len(text) - text.count(" ")
+    return len(text) - text.count(" ") - text.count("\n")
 
 
 def forms(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
@@ -164,7 +167,7 @@ def alike(formed: DataFrame, key: str, least: int = 0) -> DataFrame:
     Only forms with several stored strings go on. Their strings are paired first and rows joined to these pairs, so the
     work is that of the rows returned: equal strings, however many, are never compared.
     """
-    rows = formed.filter(F.length(F.replace("form", F.lit(" "), F.lit(""))) >= least).select(
+    rows = formed.filter(F.length(F.translate("form", " \n", "")) >= least).select(
         F.col(key).alias("k"), "field", F.xxhash64("field", "form").alias("h"), F.xxhash64(F.lit("form"), "form").alias("f"), F.xxhash64("original").alias("o"))
     group = ["h", "f", "field"]
     several = rows.groupBy(*group).agg(F.min("o").alias("lo"), F.max("o").alias("hi")).filter("lo <> hi").select(*group)
