@@ -75,8 +75,8 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query: str, q
     return scored.filter(F.abs("score") > 1e-12).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("q").alias(query), key, "score", "rank")
 
 
-def blocks_of(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
-    """Rows packed into blocks of vectors: (ids array, data array); each partition packs its own."""
+def blocks_of(df: DataFrame, key: str, vector: str, size: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Rows packed into blocks of vectors: (ids array, data array, an array for each extra number); each partition packs its own."""
     kind = dict(df.dtypes)[key]
 
     def run(batches):
@@ -84,9 +84,16 @@ def blocks_of(df: DataFrame, key: str, vector: str, size: int) -> DataFrame:
             for at in range(0, len(b), size):
                 part = b.iloc[at : at + size]
                 m = np.vstack([np.asarray(v, np.float64) for v in part[vector]])
-                yield pd.DataFrame({"ids": [part[key].tolist()], "data": [m.ravel()], "dim": [m.shape[1]]})
+                yield pd.DataFrame({"ids": [part[key].tolist()], "data": [m.ravel()], "dim": [m.shape[1]]} | {f"x_{c}": [part[c].to_numpy(np.float64)] for c in extra})
 
-    return df.filter(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(key, vector).mapInPandas(run, f"ids array<{kind}>, data array<double>, dim int")
+    return df.filter(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(key, vector, *extra).mapInPandas(run, f"ids array<{kind}>, data array<double>, dim int" + "".join(f", x_{c} array<double>" for c in extra))
+
+
+def unit(data, dim: int) -> np.ndarray:
+    """Rows of unit length; zero rows stay zero."""
+    m = np.asarray(data, np.float64).reshape(-1, dim)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
 def cosine_topk(rows: DataFrame, key: str, vector: str, asked: DataFrame, k: int = 10, include_self: bool = False, query: str = "query_id", block: int = 2048) -> DataFrame:
@@ -98,11 +105,6 @@ def cosine_topk(rows: DataFrame, key: str, vector: str, asked: DataFrame, k: int
     kind = dict(rows.dtypes)[key]
     pairs = blocks_of(rows, key, vector, block).crossJoin(blocks_of(asked, key, vector, block).withColumnsRenamed({"ids": "qids", "data": "qdata", "dim": "qdim"}))
 
-    def unit(data, dim):
-        m = np.asarray(data, np.float64).reshape(-1, dim)
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
     def run(batches):
         for b in batches:
             for r in b.itertuples(index=False):
@@ -142,6 +144,46 @@ def embed(df: DataFrame, text: str, to: str = "embedding", model=None) -> DataFr
     return df.withColumn(to, run(F.col(text)))
 
 
+def label_ranks(rows: DataFrame, key: str, vector: str, label: str, asked: DataFrame, query: str = "query_id", block: int = 2048) -> DataFrame:
+    """(query, gold_rank, n, gold_sim, top_sim, margin): where the nearest row of a query's own label stands among all other rows.
+
+    Two passes over pairs of blocks: the first keeps each query's best similarity with its label and without, the second
+    counts the rows before the former. Only one row for each query and block is shuffled, never the similarities.
+    """
+    kind = dict(rows.dtypes)[key]
+    data = blocks_of(rows, key, vector, block, (label,))
+
+    def pairs(q: DataFrame, extra: tuple[str, ...]) -> DataFrame:
+        b = blocks_of(q, key, vector, block, extra)
+        return data.crossJoin(b.select(*(F.col(c).alias(f"q_{c}") for c in b.columns)))
+
+    def parts(r):
+        ids, qids = np.asarray(r.ids), np.asarray(r.q_ids)
+        sim = unit(r.q_data, r.q_dim) @ unit(r.data, r.dim).T
+        other = qids[:, None] != ids[None, :]
+        own = np.asarray(getattr(r, f"q_x_{label}"))[:, None] == np.asarray(getattr(r, f"x_{label}"))[None, :]
+        return qids, sim, other, own
+
+    def best(batches):
+        for b in batches:
+            for r in b.itertuples(index=False):
+                qids, sim, other, own = parts(r)
+                yield pd.DataFrame({query: qids, "g": np.where(other & own, sim, -2.0).max(1), "t": np.where(other & ~own, sim, -2.0).max(1), "n": other.sum(1)})
+
+    def ahead(batches):
+        for b in batches:
+            for r in b.itertuples(index=False):
+                qids, sim, other, own = parts(r)
+                yield pd.DataFrame({query: qids, "ahead": (other & ~own & (sim > np.asarray(r.q_x_g)[:, None] + 1e-12)).sum(1)})
+
+    tops = pairs(asked, (label,)).mapInPandas(best, f"{query} {kind}, g double, t double, n long").groupBy(query).agg(F.max("g").alias("g"), F.max("t").alias("t"), F.sum("n").alias("n")).filter("g > -2")
+    tops = materialise(tops, "tops")
+    again = asked.join(tops.select(F.col(query).alias(key), "g"), key)
+    counts = pairs(again, (label, "g")).mapInPandas(ahead, f"{query} {kind}, ahead long").groupBy(query).agg(F.sum("ahead").alias("ahead"))
+    top = F.when(F.col("t") > -2, F.col("t"))
+    return tops.join(counts, query).select(query, (F.col("ahead") + 1).alias("gold_rank"), "n", F.col("g").alias("gold_sim"), top.alias("top_sim"), (F.col("g") - top).alias("margin"))
+
+
 def oracle_rank(sims: DataFrame, query: str, item: str, sim: str, gold: str) -> DataFrame:
     """(query, gold_rank, n, gold_sim, top_sim, margin): where the best gold item stands among all, 1 being the head."""
     g = F.max(F.when(F.col(gold), F.col(sim)))

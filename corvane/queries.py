@@ -336,18 +336,10 @@ def ndcg_at_10(spark, d):
     return evaluation.ndcg(_ranked(spark, d), "query_id", "rel", 10).withColumn("ndcg", R6("ndcg"))
 
 
-def _sims(spark, d) -> DataFrame:
-    """All similarities of the stated query set."""
-    e = table(spark, d, "embeddings").select("vec_id", "label")
-    t = search.cosine_topk(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", _asked(spark, d), 1 << 30)
-    return t.join(e, "vec_id").join(e.withColumnsRenamed({"vec_id": "query_id", "label": "ql"}), "query_id")
-
-
 @query("WITH " + SIMS + """, b AS (SELECT query_id, max(CASE WHEN label = ql THEN sim END) AS gs, max(CASE WHEN label <> ql THEN sim END) AS ts, count(*) AS n FROM s GROUP BY 1)
     SELECT b.query_id, 1 + (SELECT count(*) FROM s WHERE s.query_id = b.query_id AND label <> ql AND sim > gs) AS gold_rank, n, round(gs, 6) AS gold_sim, round(ts, 6) AS top_sim, round(gs - ts, 6) AS margin FROM b WHERE gs IS NOT NULL""")
 def oracle_ranks(spark, d):
-    s = _sims(spark, d).withColumn("gold", F.col("label") == F.col("ql"))
-    o = search.oracle_rank(s, "query_id", "vec_id", "sim", "gold")
+    o = search.label_ranks(table(spark, d, "embeddings"), "vec_id", "embedding", "label", _asked(spark, d))
     return o.select("query_id", "gold_rank", "n", *[R6(c).alias(c) for c in ("gold_sim", "top_sim", "margin")])
 
 
