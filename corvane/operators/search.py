@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import materialise
@@ -123,6 +123,12 @@ def cosine_topk(rows: DataFrame, key: str, vector: str, asked: DataFrame, k: int
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def cosine(a: Column, b: Column) -> Column:
+    """Of two vectors of one length; 0 where either is zero."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda s, u: s + u)
+    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + 1e-8)
+
+
 def hashed_vector(text: str | None, dims: int = 64) -> list[float] | None:
     """Stand-in embedding: hashed neighbouring pairs, of unit length; for use where no model is given."""
     if not text:

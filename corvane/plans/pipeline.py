@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import chunks, fusion, search
+from ..tables import materialise
 
 
 def index(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -16,14 +17,21 @@ def index(documents: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def answer(indexed: DataFrame, questions: DataFrame, key: str, text: str, k: int = 5, scorer: Column | None = None) -> DataFrame:
-    """(key, section, lo, hi, rank, context, decision) of the best windows of each question. Without a scorer, cosine stands in for the cross-encoder."""
+    """(key, section, lo, hi, rank, context, decision) of the best windows of each question. Without a scorer, cosine stands in for the cross-encoder. Candidates that only BM25 found get their cosine too."""
     q = search.embed(questions.select(F.col(key).cast("string").alias("root_id"), F.col(text).alias("q")).filter("q is not null"), "q", "vec")
     dense = search.cosine_topk(indexed.select("chunk_id", "vec"), "chunk_id", "vec", q.select(F.col("root_id").alias("chunk_id"), "vec"), 30, include_self=True, query="root_id")
     words = search.bm25(indexed, "chunk_id", "content", q, "root_id", "q", 20)
     hits = dense.select("root_id", "chunk_id", F.lit(0).alias("qid"), F.lit("Dense").alias("channel"), (F.col("rank") - 1).alias("rank0"), F.col("sim").alias("score")).unionByName(
         words.select("root_id", "chunk_id", F.lit(0).alias("qid"), F.lit("BM25o").alias("channel"), (F.col("rank") - 1).alias("rank0"), F.lit(None).cast("double").alias("score")))
-    merged = fusion.merged(hits).join(fusion.multi_rrf(hits), ["root_id", "chunk_id"]).withColumn("evidence_score", fusion.evidence(F.col("query_hits")))
-    ranked = fusion.prior(merged).withColumn("ce", F.coalesce(scorer if scorer is not None else F.col("cosine_sim"), F.lit(0.0)))
+    hits = materialise(hits, "hits")  # at most 50 a question; read several times
+    found = fusion.merged(hits)
+    lexical = found.filter("dense_rank is null").select("root_id", "chunk_id").join(q.select("root_id", F.col("vec").alias("asked")), "root_id")
+    filled = lexical.join(indexed.select("chunk_id", "vec"), "chunk_id").groupBy("root_id", "chunk_id").agg(F.max(search.cosine(F.col("asked"), F.col("vec"))).alias("filled"))
+    found = found.join(filled, ["root_id", "chunk_id"], "left").withColumn("cosine_sim", F.coalesce("cosine_sim", "filled")).drop("filled")
+    merged = found.join(fusion.multi_rrf(hits), ["root_id", "chunk_id"]).withColumn("evidence_score", fusion.evidence(F.col("query_hits")))
+    placed = fusion.prior(merged)
+    pool = fusion.quota_pool(placed, prior_col="prior", n_rw=0, n_sq=0).select("root_id", "chunk_id")
+    ranked = placed.join(pool, ["root_id", "chunk_id"]).withColumn("ce", F.coalesce(scorer if scorer is not None else F.col("cosine_sim"), F.lit(0.0)))
     final = fusion.fuse(ranked, ["root_id"], "prior", "ce", "chunk_id").filter(F.col("final_rank") <= k)
     placed = final.join(indexed.select("chunk_id", "section_id", "chunk_index"), "chunk_id").withColumn("rank", F.col("final_rank"))
     decision = final.groupBy("root_id").agg(fusion.judge(F.max("cosine_sim"), F.lit(None).cast("string")).alias("decision"))

@@ -1,10 +1,12 @@
 import math
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corvane.operators import evaluation, fusion, rewrite, search
+from corvane.plans import pipeline
 from corvane.tables import below_counts
 
 
@@ -137,3 +139,20 @@ def test_blank_texts_have_no_postings(spark):
 def test_note_goes_before_the_last_mark(spark):
     d = spark.createDataFrame([("a Q: b Q: c",), ("none",)], "p string")
     assert [r[0] for r in d.select(rewrite.with_structure_note(F.col("p"), "[n]", "Q:")).collect()] == ["a Q: b [n]Q: c", "none[n]"]
+
+
+def test_lexical_only_chunk_wins(spark):
+    question = "霜冻指标"
+    v = np.array(search.hashed_vector(question))
+    side = np.eye(64)[int(np.argmin(v))]
+    side = side - (side @ v) * v
+    side /= np.linalg.norm(side)
+    at = lambda c: (c * v + math.sqrt(1 - c * c) * side).tolist()
+    # The dense channel ends before `z`, whose similarity is hardly lower; `y` is like the question only in a word.
+    chunks = [(f"f{i:02}", "霜冻" + "乙丙丁" * 5 if i == 0 else "乙丙丁" * 5, at(0.5 - i * 1e-5)) for i in range(30)] + [("z", "霜冻指标", at(0.4996)), ("y", "霜" + "乙丙丁" * 9, at(-0.5))]
+    indexed = spark.createDataFrame([(f"{s}_p0", s, 0, t, x) for s, t, x in chunks], "chunk_id string, section_id string, chunk_index int, content string, vec array<double>")
+    asked = spark.createDataFrame([("q", question), ("none", None)], "item_id string, question string")
+    got = {r["rank"]: r for r in pipeline.answer(indexed, asked, "item_id", "question").collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5] and got[1].section_id == "z" and got[1].root_id == "q" and got[1].decision == "reject"
+    pairs = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
+    assert [round(r[0], 6) for r in pairs.select(search.cosine(F.col("a"), F.col("b"))).collect()] == [0.707107, 0.0]
