@@ -26,8 +26,6 @@ LEAST_GAIN, GAIN_EACH = 6.0, 2.0
 #: Share of the characters of a two-byte reading that the corpus must hold elsewhere.
 SEEN = 0.6
 COMMON = 1 << 16
-#: Characters in a row whose exchange must pay for a text to be looked at.
-SPAN = 6
 
 
 def _byte_chars(codec: str) -> list[str]:
@@ -256,10 +254,14 @@ class Repair:
         odd = hints()[points]
         for at in (np.flatnonzero(odd[1:] & odd[:-1]) + 1, np.flatnonzero(points == 0xFFFD)):
             hit[np.searchsorted(ends, at, "right")] = True
+        spaced, marks = np.insert(points, starts, 0), starts + np.arange(len(starts))
         for gain, _ in self.gains.values():
-            total = np.cumsum(np.maximum(gain[points], -8), dtype=np.float64)
-            dense = np.flatnonzero(total[SPAN:] - total[:-SPAN] >= 3 * LEAST_GAIN) + SPAN
-            hit[np.searchsorted(ends, dense, "right")] = True
+            # _double's own best stretch of each text; the mark before a text costs more than all texts gain
+            g = gain[spaced].astype(np.float64)
+            g[marks] = -1.0 - np.maximum(g, 0).sum()
+            total = np.cumsum(g)
+            pays = np.flatnonzero(total - np.minimum.accumulate(total) >= 4 * LEAST_GAIN - 0.01)
+            hit[filled[np.searchsorted(marks, pays, "right") - 1]] = True
         for pattern in (MARKS, ACCENT_IN_GBK):
             for m in pattern.finditer(whole):
                 hit[np.searchsorted(ends, m.start(), "right")] = True

@@ -142,6 +142,17 @@ def test_nested_partial_and_exchanged():
     assert r.fix("Å½itnÃ¡var Station") == (True, "Žitnávar Station") and r.fix("S茫o Verd茫o") == (True, "São Verdão")
 
 
+def test_short_and_scattered_exchanges_are_suspects():
+    r, clean = repair_of(), "土壤相对湿度降到五成，需要在下旬补墒；气候区划指标与权重。"
+    garbled = []
+    for a in range(len(clean) - 4):
+        bad = clean[a : a + 4].encode("gbk").decode("big5", "ignore")
+        garbled += [t for t in (bad, " 1234 5".join(bad)) if r.fix(t)[0]]
+    assert garbled
+    for t in garbled:
+        assert r.suspects([clean, t, clean]) == [1] and r.suspects([t, clean]) == [0], t
+
+
 def test_sound_texts_stay():
     r = repair_of()
     for t in ("Hälvik São Verdão VERDÃO Çelikar", "土壤湿度℃ ≥10℃·d —— “引文”", "Σχήμα 28", "слово русское", "plain", "m² Ñandelo É"):
