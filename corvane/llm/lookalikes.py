@@ -64,6 +64,14 @@ def script(ch: str) -> str:
     return unicodedata.name(ch, "?").split()[0]
 
 
+#: Script -> Latin letter -> its look-alike there; of several the first.
+FROM_LATIN: dict[str, dict[str, str]] = {}
+for _a, _b in TO_LATIN.items():
+    if script(_a) != "LATIN":
+        FROM_LATIN.setdefault(script(_a), {}).setdefault(_b, _a)
+LATIN_ALIKE = frozenset(b for found in FROM_LATIN.values() for b in found)
+
+
 def tidy(text: str) -> str:
     """One width, composed accents, no invisible characters, single plain spaces and line breaks, none at the ends."""
     if not PLAIN.fullmatch(text):
@@ -73,10 +81,10 @@ def tidy(text: str) -> str:
 
 
 def repair_token(token: str, alone: bool = False) -> str | None:
-    """A token of mixed script in its dominant one, None where it isn't repaired.
+    """A token of mixed script in Latin, None where that isn't its dominant one.
 
     The letters that could not be substitutes say which script dominates: where all letters of other scripts have a Latin
-    look-alike it is Latin, else the token stays. A token of one script only is mended where alone is true and every
+    look-alike it is Latin, else see repairs(). A token of one script only is mended where alone is true and every
     letter has a Latin look-alike.
     """
     bare = [c for c in unicodedata.normalize("NFD", token) if not unicodedata.combining(c)]
@@ -92,9 +100,32 @@ def repair_token(token: str, alone: bool = False) -> str | None:
     return latin
 
 
-def foreign_tokens(text: str) -> list[str]:
-    """Tokens of a tidied text with letters that have a Latin look-alike in another script."""
-    return [t for t in set(LETTERS.findall(text)) if any(c in TO_LATIN for c in t)]
+def repairs(token: str, alone: bool = False) -> list[str]:
+    """What a token may stand for, the likeliest first: its Latin form, then that in each of its other scripts.
+
+    A script is left out where a letter of another one has no look-alike in it, so firm letters decide; a token of
+    look-alikes only may have several forms, and the vocabulary decides.
+    """
+    out = [latin] if (latin := repair_token(token, alone)) else []
+    marks = unicodedata.normalize("NFD", token)
+    bare = [c for c in marks if not unicodedata.combining(c)]
+    found = {script(c) for c in bare}
+    for target in sorted(found & FROM_LATIN.keys()) if len(found) > 1 else ():
+        to = FROM_LATIN[target]
+        if all(script(c) == target or TO_LATIN.get(c, c) in to for c in bare):
+            out.append(unicodedata.normalize("NFC", "".join(c if unicodedata.combining(c) or script(c) == target else to[TO_LATIN.get(c, c)] for c in marks)))
+    return out
+
+
+def one_script(token: str) -> bool:
+    """Whether a token is a whole word of another alphabet than Latin."""
+    first = script(token[0])
+    return first in FROM_LATIN and all(script(c) == first or unicodedata.combining(c) for c in token)
+
+
+def foreign_tokens(tokens: set[str]) -> list[str]:
+    """Those of a tidied text's tokens with letters that have a look-alike in another script of theirs."""
+    return [t for t in tokens if not t.isascii() and (any(c in TO_LATIN for c in t) or any(c in LATIN_ALIKE for c in unicodedata.normalize("NFD", t)) and any(script(c) in FROM_LATIN for c in t))]
 
 
 def visible(text: str) -> int:
@@ -105,12 +136,13 @@ def forms(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
     """(key, field, original, form): every non-blank value in its consistent form.
 
     Widths, accents, invisible characters and spaces are settled value by value. Letters of another script inside a
-    token are replaced by look-alikes of its dominant script only where the result is a token of the corpus vocabulary,
-    which all values make up; a token all of whose letters have Latin look-alikes is treated the same way in values
-    that have no firm letters of that script. Null and blank values give no row; repeated rows each give one.
+    token are replaced by look-alikes of its dominant script, Latin or not, only where the result is a token of the
+    corpus vocabulary, which all values make up; where letters alone leave several scripts, Latin goes first. A token of
+    one script all of whose letters have Latin look-alikes is treated the same way, towards Latin only, in values that
+    have no firm letters of that script. Null and blank values give no row; repeated rows each give one.
     """
     kind = dict(df.dtypes)[key]
-    schema = f"k {kind}, field string, original string, tidied string, tokens array<struct<old: string, new: string>>, word string"
+    schema = f"k {kind}, field string, original string, tidied string, tokens array<struct<old: string, at: int, new: string>>, word string"
 
     def run(batches):
         for b in batches:
@@ -123,12 +155,14 @@ def forms(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
                     if not tidied:
                         continue
                     tokens: list = []
-                    if not PLAIN.fullmatch(tidied) and (found := foreign_tokens(tidied)):
-                        firm = {script(c) for x in found for c in x if c not in TO_LATIN and not unicodedata.combining(c)} | {script(c) for x in LETTERS.findall(tidied) for c in x if c not in TO_LATIN and script(c) in ("CYRILLIC", "GREEK", "ARMENIAN")}
+                    every = set() if PLAIN.fullmatch(tidied) else set(LETTERS.findall(tidied))
+                    words.update(x for x in every if not x.isascii() and one_script(x))
+                    if found := foreign_tokens(every):
+                        firm = {script(c) for x in found for c in x if c not in TO_LATIN and not unicodedata.combining(c)} | {script(c) for x in every for c in x if c not in TO_LATIN and script(c) in ("CYRILLIC", "GREEK", "ARMENIAN")}
                         for x in found:
-                            new = repair_token(x, alone=script(x[0]) not in firm)
-                            if new and new != x:
-                                tokens.append({"old": x, "new": new})
+                            for at, new in enumerate(repairs(x, alone=script(x[0]) not in firm)):
+                                if new != x:
+                                    tokens.append({"old": x, "at": at, "new": new})
                     rows.append((k, f, t, tidied if tidied != t else None, tokens or None, None))
                     words.update(w for w in WORDS.findall(tidied))
             yield pd.DataFrame(rows + [(None, None, None, None, None, w) for w in words], columns=["k", "field", "original", "tidied", "tokens", "word"]).astype({"k": "Int64"} if kind in ("bigint", "int") else {})
@@ -137,15 +171,17 @@ def forms(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
     values = staged.filter("field is not null").withColumn("tidied", F.coalesce("tidied", "original"))
     wanted = values.filter("tokens is not null").select("k", "field", "original", "tidied", F.explode("tokens").alias("t"))
     known = staged.filter("word is not null").select(F.col("word").alias("new")).distinct()
-    accepted = wanted.select("k", "field", "original", F.col("t.old").alias("old"), F.col("t.new").alias("new")).join(known, "new", "left_semi")
-    swaps = accepted.groupBy("k", "field", "original").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("old", "new")))).alias("swap"))
+    accepted = wanted.select("k", "field", "original", F.col("t.old").alias("old"), F.col("t.at").alias("at"), F.col("t.new").alias("new")).join(known, "new", "left_semi")
+    swaps = accepted.groupBy("k", "field", "original").agg(F.array_sort(F.collect_set(F.struct("old", "at", "new"))).alias("s"))
+    first = F.filter("s", lambda x, i: (i == 0) | (F.get("s", i - 1)["old"] != x["old"]))
+    swaps = swaps.select("k", "field", "original", F.map_from_entries(F.transform(first, lambda x: F.struct(x["old"], x["new"]))).alias("swap"))
     mended = values.filter("tokens is not null").join(swaps, ["k", "field", "original"], "left").withColumn("form", _swap("tidied", "swap"))
     plain = values.filter("tokens is null").withColumn("form", F.col("tidied"))
     cols = [F.col("k").alias(key), "field", "original", "form"]
     return plain.select(cols).unionByName(mended.select(cols))
 
 
-#: Words of the vocabulary: runs of Latin letters, accented ones included.
+#: Latin words of the vocabulary: runs of Latin letters, accented ones included. Those of other alphabets are whole tokens.
 WORDS = re.compile("[A-Za-zÀ-ɏḀ-ỿ]+")
 
 

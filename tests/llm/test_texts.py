@@ -40,6 +40,14 @@ def test_unknown_words_stay(spark):
     assert got == {1: "Хyzzу Table", 2: "other Table"}
 
 
+def test_dominant_script_other_than_latin(spark):
+    assert lookalikes.repairs("тeмператур") == ["температур"] and lookalikes.repairs("тeпл") == ["тепл"] and lookalikes.repairs("σχoλή") == ["σχολή"]
+    assert lookalikes.repairs("Fіgurе") == ["Figure"] and lookalikes.repairs("словоf") == [] and lookalikes.repairs("слово") == []
+    rows = [(1, "средних температур"), (2, "средних тeмператур"), (3, "тёплый сaхар"), (4, "тёплый сахар"), (5, "тëплый сахар"), (6, "нeт слова"), (7, "cоcоa слова"), (8, "cocoa")]
+    got = {r.block_id: r.form for r in lookalikes.forms(spark.createDataFrame(rows, "block_id long, text string"), "block_id", ("text",)).collect()}
+    assert got == dict(rows) | {2: rows[0][1], 3: rows[3][1], 5: rows[3][1], 7: "cocoa слова"}
+
+
 # Segments ------------------------------------------------------------------------------------------------------------
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 1200), st.sampled_from(["。", "\n", ". ", "，", "", "; "])), min_size=1, max_size=12), st.sampled_from(["Table", None, "Normal"]))
