@@ -190,9 +190,10 @@ def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     that every task gets; documents are read once, whole, and never shuffled. Repeated documents of one key give a row
     once per text.
     """
-    rows = [(r[0], p) for r in items.select(item_key, *passages).limit(MOST_ITEMS + 1).collect() for p in r[1:] if p]
-    if len(rows) > MOST_ITEMS * len(passages):
+    held_out = items.select(item_key, *passages).limit(MOST_ITEMS + 1).collect()
+    if len(held_out) > MOST_ITEMS:
         raise ValueError(f"more than {MOST_ITEMS} items: split them")
+    rows = [(r[0], p) for r in held_out for p in r[1:] if p]
     token = hash((tuple(rows), budget))
     shared = documents.sparkSession.sparkContext.broadcast(rows)
     kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields} | {f.name: f.dataType.simpleString() for f in items.schema.fields}

@@ -251,6 +251,13 @@ def test_leaks_against_brute_force(spark, budget):
     assert leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, question string, answer string")).count() == 0
 
 
+def test_too_many_items_of_few_passages(spark):
+    items = spark.range(leakage.MOST_ITEMS + 1).selectExpr("id AS item_id", "'x' AS question", "CAST(NULL AS STRING) AS answer")
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="more than"):
+        leakage.leaks(docs, items)
+
+
 # Subjects ------------------------------------------------------------------------------------------------------------
 def test_subjects(spark):
     rng = random.Random(6)
