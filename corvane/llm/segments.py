@@ -57,8 +57,7 @@ def cut_kind(text: str, style: str | None, size: int = SIZE) -> str:
 def pieces(text: str, style: str | None, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[int, int, bool]]:
     """(start, end, natural end) of each piece: at most `size` long, sharing at most `overlap` with the one before.
 
-    Of the boundaries that fit, the one in the deepest valley of the window's second half is taken, else the last one;
-    where none fits, the text is cut at the last white space or comma, else anywhere.
+    Of the boundaries that fit, the one in the deepest valley is taken, of equal ones the last; where none fits, the text is cut at the last white space or comma, else anywhere.
     """
     if len(text) <= size:
         return [(0, len(text), True)] if text else []
@@ -76,8 +75,7 @@ def pieces(text: str, style: str | None, size: int = SIZE, overlap: int = OVERLA
             start = covered  # the next stretch fits only without overlap
             continue
         if len(fit):
-            late = fit[fit > start + size // 2]
-            end = int(max(late, key=lambda x: (depth.get(int(x), 0.0), x))) if len(late) else int(fit[-1])
+            end = int(max(fit, key=lambda x: (depth.get(int(x), 0.0), x)))
         else:
             end = start + size
             soft = [m.end() for m in SOFT.finditer(text, start + size // 2, end)]

@@ -73,6 +73,11 @@ def test_valley_is_chosen():
     assert segments.pieces(one + two, None)[0][1] == len(one)
 
 
+def test_valley_in_the_first_half():
+    one, two = "太阳辐射随海拔升高而增加。" * 20, "市场收购价格同比上涨明显。" * 60
+    assert segments.pieces(one + two, None)[0][1] == len(one)
+
+
 # Near copies ---------------------------------------------------------------------------------------------------------
 def texts_for_copies():
     rng = random.Random(1)
