@@ -246,8 +246,8 @@ def heading_splits(spark, d):
 
 @query()
 def linear_tables(spark, d):
-    b = table(spark, d, "blocks").filter(F.col("text").contains("|"))
-    return linearise.linearise(b.select("block_id", "text"), "text").select("block_id", (F.col("linear") != F.col("text")).alias("changed"), F.length("linear").alias("n"))
+    b = table(spark, d, "blocks")
+    return linearise.linearise(b.select("block_id", "text"), "text").select("block_id", (~F.col("linear").eqNullSafe(F.col("text"))).alias("changed"), F.length("linear").alias("n"))
 
 
 @query(f"""SELECT DISTINCT cell, regexp_replace(regexp_replace(translate(CASE WHEN cell IN ('——', '—', '---', '--', '…', '...', '/', '无') THEN '' ELSE cell END, '０１２３４５６７８９', '0123456789'), '[\\[（(]([^\\]）)]+)[\\]）)]', '\\1', 'g'), '[～~]', '至', 'g') AS clean

@@ -104,3 +104,13 @@ def test_linearised():
 def test_empty_frames(spark):
     b = spark.createDataFrame([], "doc_id string, seq long, block_id long, text string, style string, font_size double, bold boolean, is_title boolean, page int, y0 double")
     assert structure.sections(b).count() == 0 and structure.without_headers_footers(b).count() == 0 and structure.layout_titles(b).count() == 0
+
+
+def test_linear_tables_without_pipes(spark, tmp_path):
+    from corvane import queries
+
+    flat = "表1 指标\n甲\n1.5\n2.5\n乙\n3.5\n4.5"
+    rows = [(1, flat), (2, "| a | b |\n| 甲 | 2 |"), (3, "正文"), (4, None)]
+    spark.createDataFrame(rows, "block_id long, text string").write.parquet(f"{tmp_path}/blocks.parquet")
+    got = {r.block_id: (r.changed, r.n) for r in queries.linear_tables(spark, str(tmp_path)).collect()}
+    assert got == {1: (True, len("表1 指标：甲为1.5、2.5；乙为3.5、4.5。")), 2: got[2], 3: (False, 2), 4: (False, None)}
