@@ -20,6 +20,8 @@ DIMS, LEAVES, SHARE = 1024, 192, 0.25
 FIT_DOCUMENTS, FIT_SENTENCES = 3000, 14_000
 #: A sentence farther from every leaf than this multiple of the fitted sentences' second percentile has no subject.
 STRANGE = 1.15
+#: Most subject areas.
+MOST_SUBJECTS = 1000
 SHARPEN = 3
 END = re.compile(r"[。！？!?；;]+|(?<!\bcf)(?<!\bvs)(?<!\bNo)\.(?=\s|$)|[\r\n]+")
 MARKUP = re.compile(r"<[^<>]{0,200}>|&[a-z]{2,6};|[*_#`>]+")
@@ -237,9 +239,12 @@ def assign(documents: DataFrame, areas: DataFrame, labels: DataFrame, key: str =
 
     The clusters are fitted on a bounded sample of labelled documents; every document is then read whole. Null, empty
     and blank texts, and texts all of whose sentences lie far from every leaf, have no row. Repeated rows give theirs
-    again. Without labels nothing is assigned.
+    again. Without labels nothing is assigned. At most MOST_SUBJECTS rows of areas are taken; more are an error.
     """
-    descriptions = {r["subject"]: r["description"] or "" for r in areas.filter("subject is not null").limit(1000).collect()}
+    named = areas.filter("subject is not null").limit(MOST_SUBJECTS + 1).collect()
+    if len(named) > MOST_SUBJECTS:
+        raise ValueError(f"more than {MOST_SUBJECTS} subjects: split them")
+    descriptions = {r["subject"]: r["description"] or "" for r in named}
     sample = labelled_sample(documents, labels, key, text)
     model = fit([r["s"] for r in sample], [set(r["names"]) for r in sample], descriptions)
     shared = documents.sparkSession.sparkContext.broadcast(model)  # of fixed size: leaves x dimensions

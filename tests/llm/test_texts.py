@@ -283,6 +283,13 @@ def test_subjects(spark):
     assert subjects.assign(docs, areas, labels.limit(0)).count() == 0 and subjects.assign(docs.limit(0), areas, labels).count() == 0
 
 
+def test_too_many_subjects(spark):
+    areas = spark.range(subjects.MOST_SUBJECTS + 1).selectExpr("CAST(id AS STRING) AS subject", "'x' AS description")
+    docs, labels = spark.createDataFrame([(1, "x")], "doc_id long, text string"), spark.createDataFrame([(1, "0")], "doc_id long, subject string")
+    with pytest.raises(ValueError, match="more than"):
+        subjects.assign(docs, areas, labels)
+
+
 def test_bisecting_kmeans_separates():
     rng = np.random.default_rng(1)
     x = np.repeat(np.eye(6, 40), 20, 0) + rng.normal(0, 0.03, (120, 40))
