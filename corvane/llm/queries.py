@@ -10,11 +10,12 @@ from . import bpe, leakage, leximin, lookalikes, mojibake, nearcopies, replies,
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return replies.defects(table(spark, d, "rag_results"))
+    return replies.defects(table(spark, d, "rag_results")).select("result_id", "defect")
 
 
 def p1_mix(spark: SparkSession, d: str) -> DataFrame:
-    return p1_found(spark, d).groupBy("defect").agg(F.count("*").alias("n"))
+    """How many replies have each defect, and on what evidence."""
+    return replies.defects(table(spark, d, "rag_results")).groupBy("defect", "evidence").agg(F.count("*").alias("n"))
 
 
 def _percentiles(spark: SparkSession, d: str) -> DataFrame:

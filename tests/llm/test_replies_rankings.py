@@ -27,14 +27,14 @@ def test_each_defect(spark):
 def test_null_query_and_empty_table(spark):
     schema = "result_id long, query string, answer string, decision string, defect string, a string"
     d = spark.createDataFrame([(1, None, "完整的句子。", "answer", "x", "y"), (2, None, None, "answer", "x", "y"), (3, None, "字" * 20000, "answer", None, None)], schema)
-    assert {tuple(r) for r in R.defects(d).collect()} == {(2, "empty"), (3, "truncated")}
+    assert {tuple(r) for r in R.defects(d).collect()} == {(2, "empty", "rule"), (3, "truncated", "end")}
     assert R.defects(d.limit(0)).count() == 0
 
 
 def test_longer_twin_shows_the_cut(spark):
     a = ["the yield rose by 3.", "the yield rose by 3.75 tonnes in the valley.", "the yield rose by 4.", "完整。", "完整。下一句。"]
     d = spark.createDataFrame([(i, EQ if x.isascii() else ZQ, x, "answer") for i, x in enumerate(a)], "result_id long, query string, answer string, decision string")
-    assert {tuple(r) for r in R.defects(d).collect()} == {(0, "truncated")}
+    assert {tuple(r) for r in R.defects(d).collect()} == {(0, "truncated", "prefix")}
 
 
 def test_shortened_over_ranges(spark):
@@ -47,8 +47,8 @@ def test_shortened_over_ranges(spark):
 
 def test_length_limit(spark):
     rows = [(i, EQ, ("word%02d " % i * 12)[:78] + "7.", "answer") for i in range(8)] + [(100 + i, EQ, "The site has %d zones in the north%s." % (i, "x" * (i % 30)), "answer") for i in range(60)]
-    got = {r.result_id for r in R.defects(spark.createDataFrame(rows, "result_id long, query string, answer string, decision string")).collect()}
-    assert got == set(range(8))
+    got = {(r.result_id, r.evidence) for r in R.defects(spark.createDataFrame(rows, "result_id long, query string, answer string, decision string")).collect()}
+    assert got == {(i, "limit") for i in range(8)}
 
 
 SCHEMA = "root_id string, chunk_id string, prior_rank int, rrf_prior double, retrieval_prior double, cosine_sim double, ce_raw double, vec int, _q string"
@@ -101,4 +101,5 @@ def test_range_does_not_dominate(spark):
 def test_gold_rank_fills_a_miss(spark):
     c = spark.createDataFrame([("q", "x", 999, .1, .1, .1, .1, 0, ""), ("q", "y", None, .1, .1, .1, .1, 0, ""), ("q", "z", 3, .1, .1, .1, .1, 0, "")], SCHEMA)
     f = spark.createDataFrame([("q", [("x", (True, 2)), ("y", (False, 1)), ("z", (True, 9))])], "qid string, gold_chunks array<struct<chunk_id string, global_union struct<in_union boolean, prior_rank int>>>")
-    assert {r.chunk_id: r.prior_rank for r in leximin.with_gold_ranks(c, f).collect()} == {"x": 2, "y": None, "z": 3}
+    got = {r.chunk_id: list(r.vec) for r in leximin.percentiles(leximin.with_gold_ranks(c, f), "root_id", "chunk_id").collect()}
+    assert got == {"x": [0.5] * 4 + [1.0], "y": [0.0] + [0.5] * 4, "z": [0.5] * 5}
