@@ -20,7 +20,7 @@ def test_copies_and_boilerplate(spark):
 def test_one_form_of_many_rows(spark):
     rows = [(i, "Figure 9 Water balance") for i in range(150)] + [(900, "Figurе 9 Water balance")] + [(1000 + i, f"other text {i}") for i in range(300)]
     df = spark.createDataFrame(rows, "block_id long, text string")
-    got = {(r.a, r.b) for r in lookalikes.alike(lookalikes.forms(df, "block_id", ("text",)), "block_id", 8).collect()}
+    got = {(r.a, r.b) for r in lookalikes.alike(lookalikes.families(lookalikes.hashed(lookalikes.forms(df, "block_id", ("text",)), "block_id", {"text": 8}))).collect()}
     assert got == {(i, 900) for i in range(150)}
 
 
@@ -28,7 +28,11 @@ def test_one_question_and_one_prefix(spark):
     rng = random.Random(9)
     rows = [("hot" if i % 3 == 0 else f"q{i % 40}", f"c{i}", i % 50 + 1, rng.random(), rng.random(), rng.random(), rng.random()) for i in range(900)]
     df = spark.createDataFrame(rows, "root_id string, chunk_id string, prior_rank int, rrf_prior double, retrieval_prior double, cosine_sim double, ce_raw double")
-    placed = leximin.order(leximin.percentiles(df, "root_id", "chunk_id"), "root_id", "chunk_id").filter("root_id = 'hot'")
-    assert sorted(r.place for r in placed.collect()) == list(range(1, 301))
+    # The hot question is ranked over ranges, the others in their tasks; all in their tasks gives the same.
+    vecs = [{(r.root_id, r.chunk_id): r.vec for r in leximin.percentiles(df, "root_id", "chunk_id", one_task=n).collect()} for n in (50, 1000)]
+    assert vecs[0] == vecs[1] and len(vecs[0]) == 900
+    ranked = leximin.percentiles(df, "root_id", "chunk_id", one_task=50)
+    places = [{tuple(r) for r in leximin.order(ranked, "root_id", "chunk_id", one_task=n).collect()} for n in (50, 1000)]
+    assert places[0] == places[1] and sorted(p for q, _, p in places[0] if q == "hot") == list(range(1, 301))
     texts = spark.createDataFrame([("同一个开头" + "甲" * (i % 7) + str(i),) for i in range(400)] + [("同一个开头",)], "x string")
     assert {r.x for r in replies.shortened(texts, "x").collect()} >= {"同一个开头"}
