@@ -7,7 +7,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import materialise
@@ -80,41 +80,46 @@ def tidy(text: str) -> str:
     return BREAKS.sub("\n", BLANKS.sub(" ", text)).strip()
 
 
-def repair_token(token: str, alone: bool = False) -> str | None:
-    """A token of mixed script in Latin, None where that isn't its dominant one.
-
-    The letters that could not be substitutes say which script dominates: where all letters of other scripts have a Latin
-    look-alike it is Latin, else see repairs(). A token of one script only is mended where alone is true and every
-    letter has a Latin look-alike.
-    """
-    bare = [c for c in unicodedata.normalize("NFD", token) if not unicodedata.combining(c)]
+def scripts(token: str) -> dict[str, int]:
+    """Letters of each script in a token, accents aside."""
     counts: dict[str, int] = {}
-    for c in bare:
-        counts[script(c)] = counts.get(script(c), 0) + 1
-    latin = unicodedata.normalize("NFC", "".join(TO_LATIN.get(c, c) for c in token))
-    foreign = [c for c in bare if script(c) != "LATIN"]
-    if not foreign or not all(c in TO_LATIN for c in foreign):
-        return None
-    if len(counts) == 1:
-        return latin if alone else None
-    return latin
+    for c in unicodedata.normalize("NFD", token):
+        if not unicodedata.combining(c):
+            counts[script(c)] = counts.get(script(c), 0) + 1
+    return counts
+
+
+def towards(token: str, target: str) -> str | None:
+    """The token with every letter of another script replaced by its look-alike in the target; None where one has none."""
+    to, out = FROM_LATIN.get(target, {}), []
+    for c in unicodedata.normalize("NFD", token):
+        new = TO_LATIN.get(c, c)
+        if unicodedata.combining(c) or script(c) == target != "LATIN":
+            new = c
+        elif target != "LATIN":
+            new = to.get(new)
+        elif script(new) != "LATIN":
+            new = None
+        if new is None:
+            return None
+        out.append(new)
+    return unicodedata.normalize("NFC", "".join(out))
 
 
 def repairs(token: str, alone: bool = False) -> list[str]:
-    """What a token may stand for, the likeliest first: its Latin form, then that in each of its other scripts.
+    """What a token may stand for, its dominant script first.
 
-    A script is left out where a letter of another one has no look-alike in it, so firm letters decide; a token of
-    look-alikes only may have several forms, and the vocabulary decides.
+    The dominant script of a token of mixed script is the one most of its letters have; firm letters, which have no
+    look-alike in another script, rule that one out, and of equal shares Latin goes first. The forms in the other
+    scripts of the token, and in Latin, follow: the vocabulary decides which of them is a word. A token of one script is mended, towards
+    Latin, only where alone is true.
     """
-    out = [latin] if (latin := repair_token(token, alone)) else []
-    marks = unicodedata.normalize("NFD", token)
-    bare = [c for c in marks if not unicodedata.combining(c)]
-    found = {script(c) for c in bare}
-    for target in sorted(found & FROM_LATIN.keys()) if len(found) > 1 else ():
-        to = FROM_LATIN[target]
-        if all(script(c) == target or TO_LATIN.get(c, c) in to for c in bare):
-            out.append(unicodedata.normalize("NFC", "".join(c if unicodedata.combining(c) or script(c) == target else to[TO_LATIN.get(c, c)] for c in marks)))
-    return out
+    counts = scripts(token)
+    if len(counts) == 1:
+        new = towards(token, "LATIN") if alone and "LATIN" not in counts else None
+        return [new] if new else []
+    order = sorted({**counts, "LATIN": counts.get("LATIN", 0)}, key=lambda x: (-counts.get(x, 0), x != "LATIN", x))
+    return [new for target in order if (target == "LATIN" or target in FROM_LATIN) and (new := towards(token, target))]
 
 
 def one_script(token: str) -> bool:
@@ -137,7 +142,7 @@ def forms(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
 
     Widths, accents, invisible characters and spaces are settled value by value. Letters of another script inside a
     token are replaced by look-alikes of its dominant script, Latin or not, only where the result is a token of the
-    corpus vocabulary, which all values make up; where letters alone leave several scripts, Latin goes first. A token of
+    corpus vocabulary, which all values make up; where that isn't one, its other scripts are tried by their share. A token of
     one script all of whose letters have Latin look-alikes is treated the same way, towards Latin only, in values that
     have no firm letters of that script. Null and blank values give no row; repeated rows each give one.
     """
@@ -156,9 +161,10 @@ def forms(df: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
                         continue
                     tokens: list = []
                     every = set() if PLAIN.fullmatch(tidied) else set(LETTERS.findall(tidied))
-                    words.update(x for x in every if not x.isascii() and one_script(x))
+                    # Scripts that the value surely has; a word of look-alikes alone counts for the vocabulary only there.
+                    firm = {script(c) for x in every if not x.isascii() for c in x if c not in TO_LATIN} & FROM_LATIN.keys()
+                    words.update(x for x in every if not x.isascii() and one_script(x) and script(x[0]) in firm)
                     if found := foreign_tokens(every):
-                        firm = {script(c) for x in found for c in x if c not in TO_LATIN and not unicodedata.combining(c)} | {script(c) for x in every for c in x if c not in TO_LATIN and script(c) in ("CYRILLIC", "GREEK", "ARMENIAN")}
                         for x in found:
                             for at, new in enumerate(repairs(x, alone=script(x[0]) not in firm)):
                                 if new != x:
@@ -197,18 +203,31 @@ def _swap(text: str, swap: str):
     return run(F.col(text), F.col(swap))
 
 
-def alike(formed: DataFrame, key: str, least: int = 0) -> DataFrame:
-    """(a, b, field): pairs of rows, a < b, with the same form but different stored strings.
+def hashed(formed: DataFrame, key: str, least: dict[str, int] | None = None) -> DataFrame:
+    """(k, field, h, f, o) of every value, written once: two hashes of its form and one of its stored string. Values of a
+    field with fewer visible characters than `least` says are left out."""
+    enough = None
+    for name, n in (least or {}).items():
+        enough = F.when(F.col("field") == name, n) if enough is None else enough.when(F.col("field") == name, n)
+    rows = formed.filter(F.length(F.translate("form", " \n", "")) >= F.coalesce(enough, F.lit(0))) if enough is not None else formed
+    return materialise(rows.select(F.col(key).alias("k"), "field", F.xxhash64("field", "form").alias("h"), F.xxhash64(F.lit("form"), "form").alias("f"), F.xxhash64("original").alias("o")), "hashed")
 
-    Only forms with several stored strings go on. Their strings are paired first and rows joined to these pairs, so the
-    work is that of the rows returned: equal strings, however many, are never compared.
-    """
-    rows = formed.filter(F.length(F.translate("form", " \n", "")) >= least).select(
-        F.col(key).alias("k"), "field", F.xxhash64("field", "form").alias("h"), F.xxhash64(F.lit("form"), "form").alias("f"), F.xxhash64("original").alias("o"))
+
+def families(rows: DataFrame) -> DataFrame:
+    """(k, field, h, f, o) of hashed values, without repeats, whose form has several stored strings; written, as it is a small part."""
     group = ["h", "f", "field"]
     several = rows.groupBy(*group).agg(F.min("o").alias("lo"), F.max("o").alias("hi")).filter("lo <> hi").select(*group)
-    kept = rows.join(several, group, "left_semi").distinct()
-    strings = kept.select(*group, "o").distinct()
+    return materialise(rows.join(several, group, "left_semi").distinct(), "families")
+
+
+def alike(kept: DataFrame) -> DataFrame:
+    """(a, b, field): pairs of rows of families(), a < b, with the same form but different stored strings.
+
+    Strings of a form are paired first and rows joined to these pairs, so the work is that of the rows returned: equal
+    strings, however many, are never compared.
+    """
+    group = ["h", "f", "field"]
+    strings = materialise(kept.select(*group, "o").distinct(), "strings")
     pairs = strings.withColumnRenamed("o", "o1").join(strings.withColumnRenamed("o", "o2"), group).filter("o1 < o2")
     one, two = kept.select(*group, F.col("o").alias("o1"), F.col("k").alias("k1")), kept.select(*group, F.col("o").alias("o2"), F.col("k").alias("k2"))
     both = pairs.join(one, [*group, "o1"]).join(two, [*group, "o2"]).filter("k1 <> k2")

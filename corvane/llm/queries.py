@@ -30,13 +30,21 @@ def p2_order(spark: SparkSession, d: str) -> DataFrame:
     return leximin.order(materialise(_percentiles(spark, d), "percentiles"), "root_id", "chunk_id")
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
+def _families(spark: SparkSession, d: str) -> DataFrame:
     blocks = table(spark, d, "blocks").select("block_id", "doc_id", "text", "source")
     # One value of source for each doc_id; those of other rows take no part.
     first = lookalikes.smallest_of(blocks, "doc_id", "block_id", "source")
-    texts = lookalikes.alike(lookalikes.forms(blocks, "block_id", ("text",)), "block_id", 8)
-    sources = lookalikes.alike(lookalikes.forms(first, "block_id", ("source",)), "block_id")
-    return texts.unionByName(sources).select(F.col("a").alias("block_a"), F.col("b").alias("block_b"), "field")
+    values = blocks.select("block_id", "text").unionByName(first, allowMissingColumns=True)
+    return lookalikes.families(lookalikes.hashed(lookalikes.forms(values, "block_id", ("text", "source")), "block_id", {"text": 8}))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.alike(_families(spark, d)).select(F.col("a").alias("block_a"), F.col("b").alias("block_b"), "field")
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The same without pairs: each value that looks like another stored string, with the class of its form."""
+    return _families(spark, d).select(F.col("k").alias("block_id"), "field", F.concat_ws("-", F.hex("h"), F.hex("f")).alias("class"))
 
 
 def p3_forms(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +89,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("subject").agg(F.countDistinct("doc_id").alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_mix, p2_found, p2_order, p3_found, p3_forms, p4_found, p4_pieces, p5_found, p6_found, p6_restored, p7_ids, p8_found, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_mix, p2_found, p2_order, p3_found, p3_groups, p3_forms, p4_found, p4_pieces, p5_found, p6_found, p6_restored, p7_ids, p8_found, p9_found, p9_composition)}
 
 #: p4_found's definition in SQL; the others are tested against brute force.
 SQL = {

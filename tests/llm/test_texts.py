@@ -16,20 +16,22 @@ def test_tidy():
 
 
 def test_repair_token():
-    assert lookalikes.repair_token("Fіgurе") == "Figure" and lookalikes.repair_token("ΝDVΙ") == "NDVI"
-    assert lookalikes.repair_token("слово") is None and lookalikes.repair_token("словоQ") is None
-    assert lookalikes.repair_token("А", alone=True) == "A" and lookalikes.repair_token("А") is None
+    assert lookalikes.repairs("Fіgurе") == ["Figure"] and lookalikes.repairs("ΝDVΙ") == ["NDVI"]
+    assert lookalikes.repairs("слово") == [] and lookalikes.repairs("словоf") == []
+    assert lookalikes.repairs("А", alone=True) == ["A"] and lookalikes.repairs("А") == []
+    # Letters that fit both scripts: the one with more of them goes first.
+    assert lookalikes.repairs("сoрае") == ["сорае", "copae"] and lookalikes.repairs("copаe") == ["copae", "сорае"]
 
 
 def test_accent_on_a_look_alike():
-    assert lookalikes.repair_token("Bе\u0301randol") == "Bérandol"
+    assert lookalikes.repairs("Bе\u0301randol") == ["Bérandol"]
 
 
 def test_alike_pairs(spark):
     a = "Figure 3 Water balance"
     rows = [(1, a), (2, a), (3, "Fіgurе 3 Wаter balance"), (4, "Ｆｉｇｕｒｅ ３ Water balance"), (5, "figure 3 water balance"), (6, None), (7, ""), (8, "Figure 3 Wa​ter balance"), (9, "слово русское целое"), (10, "short"), (11, "ѕhort"), (8, "Figure 3 Wa​ter balance")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "block_id long, text string, form string")
-    got = {(r.a, r.b) for r in lookalikes.alike(lookalikes.forms(df, "block_id", ("text",)), "block_id", 8).collect()}
+    got = {(r.a, r.b) for r in lookalikes.alike(lookalikes.families(lookalikes.hashed(lookalikes.forms(df, "block_id", ("text",)), "block_id", {"text": 8}))).collect()}
     assert got == {(i, j) for i, j in combinations((1, 2, 3, 4, 8), 2)} - {(1, 2)}
     assert lookalikes.forms(df.limit(0), "block_id", ("text",)).count() == 0
 
