@@ -25,12 +25,15 @@ HEADING = "^(?:" + "|".join(HEADING_FORMS) + ")"
 TOC_LINE = r"[.…]{3,}\s*\d+\s*$|\t{2,}\d+\s*$|\s{4,}\d+\s*$|^###\s+\d[\d.]*\s+\S.*\d"
 DEFINITION = "是指|即|公式|定义"
 LIST_ITEM = r"^\s*(?:[（(]?\d+[）).、]|[一二三四五六七八九十]+[、．]|[-•·*])"
-CAPTION = r"^表\s*[0-9一二三四五六七八九十]+"
 UNIT = "℃|°C|mm|毫米|cm|厘米|米|km|%|％|kg|g|t|hm²|亩|≥|≤|>|<"
-TRANSITIONS = ("包括以下", "主要包括", "如下", "分别为", "分为", "以下几个方面", "以下方面", "主要措施", "对策建议")
+TRANSITIONS = ("包括以下", "主要包括", "如下", "具体如下", "分别为", "分为", "以下几个方面", "以下方面", "主要措施", "对策建议")
 TEMPLATE_NOTES = ("不用删除", "标红内容为示例", "仅供参考")
+DOMAIN = "区划|风险|作物|指标|气候|农业|气象|品种|种植|产量|品质|灾害|温度|降水|干旱|冷害|渍涝|霜冻|病虫害|土壤|光照|积温|日照|海拔|高原|地形|地势|地貌|丘陵|平原|山地|盆地|谷地|高程|纬度|经度"
 #: White space that text() trims, in Java's and RE2's syntax alike.
 BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+CAPTION = rf"^表{BLANK}*[0-9一二三四五六七八九十]+"
+#: A number that stands alone, as a word: digits within letters, Han ones included, are none.
+NUMBER_WORD = r"(?:^|[^\p{L}\p{N}_])\p{Nd}+(?:[^\p{L}\p{N}_]|$)"
 
 
 def strip(c: Column) -> Column:
@@ -84,38 +87,36 @@ def is_toc_page(c: Column) -> Column:
     return F.coalesce(F.exists(every, lambda x: strip(x).rlike("^[IVX]+$")) | (leaders > F.size(every) * 0.4), F.lit(False))
 
 
-def numeric_lines(c: Column) -> Column:
-    return F.transform(lines(c), lambda x: x.rlike(r"\d"))
+def table_marks(c: Column) -> Column:
+    """Struct (n_lines, n_numeric, longest, is_table) of a text, from one pass over its lines.
 
+    A line that isn't blank is numeric where a number stands alone in it; longest is the longest run of numeric lines.
+    A table has over three pipes, else at least two lines of which over 60 % are numeric or four points: a caption among
+    the first five lines 2, numeric lines 2 from .6 or 1 from .5, two units 1, five numeric lines in a row 1.
+    """
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("num"), F.lit(0).alias("now"), F.lit(0).alias("best"), F.lit(False).alias("cap"))
 
-def longest_true_run(flags: Column) -> Column:
-    """Length of the longest run of true in an array of booleans."""
-    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"))
+    def step(acc, line):
+        number = line.rlike(NUMBER_WORD)
+        now = F.when(number, acc["now"] + 1).otherwise(0)
+        return F.when(strip(line) == "", acc).otherwise(F.struct(
+            (acc["n"] + 1).alias("n"), (acc["num"] + number.cast("int")).alias("num"), now.alias("now"), F.greatest(acc["best"], now).alias("best"),
+            (acc["cap"] | ((acc["n"] < 5) & strip(line).rlike(CAPTION))).alias("cap")))
 
-    def step(acc, f):
-        now = F.when(f, acc["now"] + 1).otherwise(F.lit(0))
-        return F.struct(now.alias("now"), F.greatest(acc["best"], now).alias("best"))
+    def done(acc):
+        ratio = acc["num"] / F.nullif(acc["n"], F.lit(0))
+        points = (
+            acc["cap"].cast("int") * 2 + F.when(ratio >= 0.6, 2).when(ratio >= 0.5, 1).otherwise(0)
+            + (F.regexp_count(c, F.lit(UNIT)) >= 2).cast("int") + (acc["best"] >= 5).cast("int")
+        )
+        table = (F.regexp_count(c, F.lit(r"\|")) > 3) | ((acc["n"] >= 2) & ((ratio > 0.6) | (points >= 4)))
+        return F.struct(acc["n"].alias("n_lines"), acc["num"].alias("n_numeric"), acc["best"].alias("longest"), F.coalesce(table, F.lit(False)).alias("is_table"))
 
-    return F.aggregate(flags, zero, step, lambda acc: acc["best"])
-
-
-def table_score(c: Column) -> Column:
-    """Points of a body without pipes: caption among five lines 2, numeric lines 2 from .6 or 1 from .5, two units 1, five numeric lines in a row 1."""
-    rows, flags = lines(c), numeric_lines(c)
-    ratio = F.size(F.filter(flags, lambda x: x)) / F.nullif(F.size(rows), F.lit(0))
-    return (
-        F.when(F.exists(F.slice(rows, 1, 5), lambda x: x.rlike(CAPTION)), 2).otherwise(0)
-        + F.when(ratio >= 0.6, 2).when(ratio >= 0.5, 1).otherwise(0)
-        + F.when(F.regexp_count(c, F.lit(UNIT)) >= 2, 1).otherwise(0)
-        + F.when(longest_true_run(flags) >= 5, 1).otherwise(0)
-    )
+    return F.aggregate(F.split(c, "\n"), zero, step, done)
 
 
 def is_table(c: Column) -> Column:
-    """Over three pipes, else over 60 % numeric lines of at least two, else four points."""
-    flags = numeric_lines(c)
-    ratio = F.size(F.filter(flags, lambda x: x)) / F.nullif(F.size(flags), F.lit(0))
-    return F.coalesce((F.regexp_count(c, F.lit(r"\|")) > 3) | ((F.size(flags) >= 2) & ((ratio > 0.6) | (table_score(c) >= 4))), F.lit(False))
+    return F.coalesce(table_marks(c)["is_table"], F.lit(False))
 
 
 def is_transition(c: Column) -> Column:
@@ -171,7 +172,7 @@ def clean_cell(c: Column) -> Column:
     return F.regexp_replace(c, "[～~]", "至")
 
 
-def ordered_match(c: Column, pairs: list[tuple[str, str]], default: str = "") -> Column:
+def ordered_match(c: Column, pairs: tuple[tuple[str, str], ...], default: str = "") -> Column:
     """Value of the first key that the text contains, in the order given."""
     out = None
     for key, value in pairs:
@@ -179,8 +180,20 @@ def ordered_match(c: Column, pairs: list[tuple[str, str]], default: str = "") ->
     return F.coalesce(out, F.lit(default)) if out is not None else F.lit(default)
 
 
-def is_value_line(c: Column) -> Column:
-    """A line with a digit or comparison of which under 30 % are Han characters."""
-    n = F.length(strip(c))
-    han = F.regexp_count(c, F.lit("[一-鿿]"))
-    return (n > 0) & c.rlike(r"[\d≥≤<>＜＞]") & (han < n * 0.3)
+# What a file name tells, in the order tried; a null value leaves the field empty.
+PROVINCES = (("内蒙古", "内蒙古"), ("黑龙江", "黑龙江"), ("河南", "河南"), ("江西", "江西"), ("陕西", "陕西"), ("新疆", "新疆"), ("辽宁", "辽宁"), ("气科院", "全国"))
+CROPS = (
+    ("大豆", "大豆"), ("小麦", "冬小麦"), ("冬小麦", "冬小麦"), ("柑橘", "柑橘"), ("苹果", "苹果"), ("猕猴桃", "猕猴桃"), ("桃", "桃"), ("梨", "梨"),
+    ("品质", ""), ("病害", ""), ("区划", ""),
+)
+ZONINGS = (
+    ("产量", "产量区划"), ("品质", "品质区划"), ("种植", "种植区划"), ("干旱", "干旱风险区划"), ("冷害", "冷害风险区划"), ("渍涝", "渍涝风险区划"), ("霜冻", "霜冻风险区划"),
+    ("病虫害", "病虫害风险区划"), ("食心虫", "病虫害风险区划"), ("气候区划", "气候区划"), ("气候风险", "气候风险区划"), ("算法", "算法说明"), ("技术规范", "技术规范"),
+    ("普查", "资源普查"), ("指标", "区划指标"),
+)
+ZONING = "农业气候区划"
+
+
+def file_meta(name: Column) -> Column:
+    """Struct (province, crop, zoning_type) that a file name tells."""
+    return F.struct(ordered_match(name, PROVINCES).alias("province"), ordered_match(name, CROPS).alias("crop"), ordered_match(name, ZONINGS, ZONING).alias("zoning_type"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..tables import running
 
 #: Separators of the recursive splitter, coarse to fine.
 SEPARATORS = ("\n\n", "\n", "。", "；", "，", " ", "")
@@ -62,10 +63,10 @@ def parts(df: DataFrame, text: str = "content", size: int = 800, overlap: int =
     return whole.unionByName(long)
 
 
-def numbered(df: DataFrame, section: str, order: list) -> DataFrame:
-    """Adds chunk_index from 0 and chunk_count within each section."""
-    w = Window.partitionBy(section)
-    return df.withColumn("chunk_index", F.row_number().over(w.orderBy(*order)) - 1).withColumn("chunk_count", F.count("*").over(w))
+def numbered(df: DataFrame, section: str, order: list[str]) -> DataFrame:
+    """Adds chunk_index from 0 and chunk_count within each section, of any size."""
+    rows = running(df.withColumn("_one", F.lit(1)), [section], order, sums=("_one",))
+    return rows.join(df.groupBy(section).agg(F.count("*").alias("chunk_count")), section).withColumn("chunk_index", F.col("sum__one") - 1).drop("_one", "sum__one")
 
 
 def unique_id(base: Column, index: Column, count: Column) -> Column:
@@ -87,10 +88,10 @@ def entities(text: Column, families: list[tuple[str, str]], most: int = 5) -> Co
     return F.slice(F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for _, p in families]))), 1, most)
 
 
-def heading_split(df: DataFrame, key: str, text: str, least: int = 3000) -> DataFrame:
-    """(key, sub, title, body): contents over `least` characters cut before each third-level heading; others whole."""
+def heading_split(df: DataFrame, key: str, text: str, least: int = 3000, marks: str = "{3,4}") -> DataFrame:
+    """(key, sub, title, body): contents over `least` characters cut before each heading of third level (or of `marks` signs); others whole."""
     long = df.filter(F.length(text) > least).select(key, F.posexplode(F.split(text, "\n")).alias("at", "line"))
-    head = F.col("line").rlike(r"^#{3,4}\s+\S")
+    head = F.col("line").rlike(rf"^#{marks}\s+\S")
     w = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     long = long.withColumn("sub", F.sum(head.cast("int")).over(w).cast("int")).withColumn("head", head)
     cut = long.groupBy(key, "sub").agg(F.min(F.when(F.col("head"), F.regexp_replace("line", r"^#+\s+", ""))).alias("title"), F.array_join(F.array_compact(F.transform(F.array_sort(F.collect_list(F.struct("at", F.when(~F.col("head"), F.col("line")).alias("v")))), lambda x: x["v"])), "\n").alias("body"))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import sqltext as S
 from .functions import text as T
 from .operators import chunks, evaluation, linearise, search, structure
-from .tables import materialise, table
+from .sqltext import lines, strip
+from .tables import materialise, running, table
 
 QUERIES: dict = {}
 SQL: dict = {}
-W = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+W = S.W
 
 
 def query(sql: str | None = None):
@@ -26,14 +28,6 @@ def query(sql: str | None = None):
     return add
 
 
-def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^{W}+|{W}+$', '', 'g')"
-
-
-def lines(x: str) -> str:
-    return f"list_filter(list_transform(string_split({x}, chr(10)), lambda x: {strip('x')}), lambda x: x <> '')"
-
-
 HEADING = T.HEADING
 R6 = lambda c: F.round(c, 6)
 
@@ -63,23 +57,13 @@ def sentence_predicates(spark, d):
 @query(f"""WITH b AS (SELECT block_id, doc_id, seq, {strip('text')} AS t FROM blocks), n AS (SELECT block_id, t, lead(t) OVER (PARTITION BY doc_id ORDER BY seq, block_id) AS f FROM b)
     SELECT block_id, coalesce(f = '' OR regexp_matches(f, '^[\\p{{Ll}}\\p{{Nd}}\\x{{4e00}}-\\x{{9fff}}]'), true) AS goes_on FROM n""")
 def continuation(spark, d):
-    w = Window.partitionBy("doc_id").orderBy("seq", "block_id")
-    b = table(spark, d, "blocks").select("block_id", "doc_id", "seq", "text").withColumn("f", F.lead("text").over(w))
-    return b.select("block_id", T.starts_continuation(F.col("f")).alias("goes_on"))
-
-
-@query(f"""WITH l AS (SELECT doc_id, {lines('text')} AS ls, text FROM documents WHERE text IS NOT NULL),
-    f AS (SELECT doc_id, ls, text, list_transform(ls, lambda x: regexp_matches(x, '\\d')) AS fl FROM l),
-    r AS (SELECT doc_id, text, ls, len(ls) AS n_lines, len(list_filter(fl, lambda x: x)) AS n_numeric, list_transform(fl, lambda x: CASE WHEN x THEN '1' ELSE '0' END) AS bits FROM f)
-    SELECT doc_id, n_lines, n_numeric, coalesce(list_max(list_transform(string_split(array_to_string(bits, ''), '0'), lambda x: length(x))), 0)::INT AS longest,
-    length(text) - length(replace(text, '|', '')) > 3 OR (n_lines >= 2 AND (n_numeric / n_lines > 0.6 OR
-      (CASE WHEN len(list_filter(ls[1:5], lambda x: regexp_matches(x, '{T.CAPTION}'))) > 0 THEN 2 ELSE 0 END + CASE WHEN n_numeric / n_lines >= 0.6 THEN 2 WHEN n_numeric / n_lines >= 0.5 THEN 1 ELSE 0 END
-       + CASE WHEN len(regexp_extract_all(text, '{T.UNIT}')) >= 2 THEN 1 ELSE 0 END
-       + CASE WHEN coalesce(list_max(list_transform(string_split(array_to_string(bits, ''), '0'), lambda x: length(x))), 0) >= 5 THEN 1 ELSE 0 END) >= 4)) AS is_table FROM r""")
+    b = running(table(spark, d, "blocks").select("block_id", "doc_id", "seq", "text"), ["doc_id"], ["seq", "block_id"], following=("text",))
+    return b.select("block_id", T.starts_continuation(F.col("next_text")).alias("goes_on"))
+
+
+@query(f"WITH m AS (SELECT doc_id, {S.table_marks('text')} AS m FROM documents WHERE text IS NOT NULL) SELECT doc_id, m.n_lines::INT AS n_lines, m.n_numeric::INT AS n_numeric, m.longest::INT AS longest, m.is_table AS is_table FROM m")
 def table_blocks(spark, d):
-    t = table(spark, d, "documents").filter("text is not null")
-    flags = T.numeric_lines(F.col("text"))
-    return t.select("doc_id", F.size(flags).cast("long").alias("n_lines"), F.size(F.filter(flags, lambda x: x)).cast("long").alias("n_numeric"), T.longest_true_run(flags).alias("longest"), T.is_table(F.col("text")).alias("is_table"))
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", T.table_marks(F.col("text")).alias("m")).select("doc_id", "m.*")
 
 
 @query(f"""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)
@@ -129,9 +113,15 @@ def page_header_footer(spark, d):
     return structure.header_footer_noise(table(spark, d, "blocks"))
 
 
-@query()
+@query(f"""WITH b AS (SELECT doc_id, block_id, page, {strip('text')} AS t, y0 FROM blocks WHERE page IS NOT NULL AND y0 IS NOT NULL AND text IS NOT NULL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, block_id) AS u, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0 DESC, block_id DESC) AS v FROM b),
+    e AS (SELECT doc_id, page, block_id, md5(substring(t, 1, 100)) AS h, length(t) AS n FROM r WHERE u <= 2 OR v <= 2),
+    p AS (SELECT doc_id, count(DISTINCT page) AS n_pages FROM blocks WHERE page IS NOT NULL GROUP BY 1),
+    c AS (SELECT c.doc_id, h FROM (SELECT doc_id, h, count(DISTINCT page) AS pages FROM e WHERE n < 100 GROUP BY 1, 2) c JOIN p ON c.doc_id = p.doc_id WHERE n_pages >= 3 AND pages > greatest(3.0::DOUBLE, n_pages * 0.4::DOUBLE)),
+    g AS (SELECT DISTINCT block_id FROM e JOIN c USING (doc_id, h))
+    SELECT doc_id, count(*) AS n, CAST(sum(block_id) AS BIGINT) AS ids FROM blocks b WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.block_id = b.block_id) GROUP BY 1""")
 def headers_removed(spark, d):
-    return structure.without_headers_footers(table(spark, d, "blocks")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return structure.without_headers_footers(table(spark, d, "blocks")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("block_id").alias("ids"))
 
 
 @query("""WITH f AS (SELECT doc_id, list_sort(list(font_size)) AS s FROM blocks WHERE font_size > 0 GROUP BY 1),
@@ -156,24 +146,49 @@ def _sections(spark, d) -> DataFrame:
     return structure.sections(structure.latest_parse(table(spark, d, "blocks").filter("doc_id is not null")))
 
 
-@query()
+MD5 = "md5(array_to_string(heading_path, '/') || '#' || array_to_string(blocks, chr(10)))"
+
+
+@query(f"WITH {S.SECTIONS} SELECT doc_id, tier, sec_ord, len(heading_path)::INT AS depth, {MD5} AS h FROM s")
 def document_sections(spark, d):
-    return _sections(spark, d).groupBy("doc_id", "tier").agg(F.count("*").alias("n"))
+    h = F.md5(F.concat(F.array_join("heading_path", "/"), F.lit("#"), F.array_join("blocks", "\n")))
+    return _sections(spark, d).select("doc_id", "tier", "sec_ord", F.size("heading_path").alias("depth"), h.alias("h"))
 
 
-@query()
+@query(f"""WITH {S.SECTIONS}, x AS (SELECT doc_id, sec_ord, {strip("array_to_string(blocks, chr(10))")} AS b FROM s), y AS (SELECT *, lead(b) OVER (PARTITION BY doc_id ORDER BY sec_ord) AS f FROM x)
+    SELECT doc_id, sec_ord, CASE WHEN {S.junk('b')} THEN 'drop_junk' WHEN {S.is_toc('b')} THEN 'drop_toc' WHEN {S.is_table('b')} THEN 'table' WHEN length(b) < 50 THEN 'merge_title' WHEN {S.transition('b')} THEN 'merge_transition'
+      WHEN regexp_matches(b, '[。！？]$') AND length(b) < 200 THEN 'keep_sentence' WHEN f IS NOT NULL AND {S.fragment('b', 'f')} THEN 'merge_fragment' WHEN {S.short_fragment('b')} THEN 'merge_short' ELSE 'keep' END AS verdict FROM y""")
 def section_verdicts(spark, d):
-    return structure.judged_sections(_sections(spark, d), "区划|风险|作物|指标|气候").groupBy("verdict").agg(F.count("*").alias("n"))
+    return structure.judged_sections(_sections(spark, d)).select("doc_id", "sec_ord", "verdict")
 
 
-@query()
+@query(f"""WITH {S.SECTIONS}, t AS (SELECT *, {S.is_table("array_to_string(blocks, chr(10))")} AS tab FROM s), o AS (SELECT *, CASE WHEN tab AND lag(tab, 1, false) OVER (PARTITION BY doc_id ORDER BY sec_ord) THEN 0 ELSE 1 END AS opens FROM t),
+    i AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY sec_ord ROWS UNBOUNDED PRECEDING) AS island FROM o)
+    SELECT doc_id, min(sec_ord) AS sec_ord, count(*) AS merged, md5(string_agg(array_to_string(blocks, chr(10)), chr(10) ORDER BY sec_ord)) AS h FROM i GROUP BY doc_id, island""")
+def merged_tables(spark, d):
+    return structure.merge_tables(_sections(spark, d)).select("doc_id", "sec_ord", "merged", F.md5(F.array_join("blocks", "\n")).alias("h"))
+
+
+@query(f"WITH {S.SECTIONS}, {S.FILTERED} SELECT doc_id, sec_ord, md5({strip('body')}) AS h FROM f")
 def filtered_sections(spark, d):
-    return structure.chunks_of(structure.filter_sections(structure.merge_tables(_sections(spark, d)), "区划|风险|作物|指标|气候")).select("id", "doc_id", "type", F.length("content").alias("n"))
+    return structure.filter_sections(_sections(spark, d)).select("doc_id", "sec_ord", F.md5(T.strip(F.array_join("blocks", "\n"))).alias("h"))
 
 
-@query()
+@query(f"""WITH {S.SECTIONS}, c AS (SELECT doc_id, sec_ord, {strip("array_to_string(blocks, chr(10) || chr(10))")} AS content, {S.is_table("array_to_string(blocks, chr(10))")} AS tab FROM s)
+    SELECT doc_id || '_s' || sec_ord AS id, length(content)::INT AS n, CASE WHEN tab THEN 'table' WHEN length(content) < 60 AND {S.heading('content')} THEN 'heading' ELSE 'text' END AS type FROM c WHERE length(content) >= 20""")
+def section_chunks(spark, d):
+    return structure.chunks_of(_sections(spark, d)).select("id", F.length("content").alias("n"), "type")
+
+
+@query(f"""WITH pa AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS para, p FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS p FROM documents WHERE text IS NOT NULL)),
+    l0 AS (SELECT doc_id, para, string_split(p[para], chr(10)) AS l FROM pa), l1 AS (SELECT doc_id, para, unnest(range(1, len(l) + 1)) AS i, l FROM l0),
+    l2 AS (SELECT doc_id, para, i, {strip("l[i]")} AS line FROM l1), l3 AS (SELECT *, {S.heading('line')} AS head FROM l2 WHERE line <> ''),
+    l4 AS (SELECT *, CASE WHEN head OR lag(head, 1, true) OVER (PARTITION BY doc_id, para ORDER BY i) THEN 1 ELSE 0 END AS o FROM l3), l5 AS (SELECT *, sum(o) OVER (PARTITION BY doc_id, para ORDER BY i ROWS UNBOUNDED PRECEDING) AS part FROM l4),
+    bl AS (SELECT doc_id, para, part, bool_or(head) AS head, string_agg(line, '' ORDER BY i) AS t FROM l5 GROUP BY 1, 2, 3)
+    SELECT doc_id, count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS chars, min(md5(t)) AS h FROM bl WHERE head OR length(t) >= 20 GROUP BY 1""")
 def page_text_blocks(spark, d):
-    return structure.page_blocks(table(spark, d, "documents").filter("text is not null"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    b = structure.page_blocks(table(spark, d, "documents").filter("text is not null"), "doc_id", "text")
+    return b.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.min(F.md5("text")).alias("h"))
 
 
 @query("""SELECT source, lang, count(*) AS n, round(avg(length(text)), 6) AS mean_chars FROM documents GROUP BY 1, 2""")
@@ -181,16 +196,26 @@ def corpus_counts(spark, d):
     return table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), R6(F.avg(F.length("text"))).alias("mean_chars"))
 
 
-@query("""SELECT block_id, CASE WHEN contains(source, '年鉴') THEN 'yearbook' WHEN contains(source, '区划') THEN 'zoning' WHEN contains(source, 'Field') THEN 'field' ELSE 'other' END AS kind FROM blocks WHERE source IS NOT NULL""")
+def _first_of(x: str, pairs, default: str = "") -> str:
+    return "CASE " + " ".join(f"WHEN contains({x}, '{k}') THEN '{v}'" for k, v in pairs) + f" ELSE '{default}' END"
+
+
+@query(f"SELECT block_id, {_first_of('source', T.PROVINCES)} AS province, {_first_of('source', T.CROPS)} AS crop, {_first_of('source', T.ZONINGS, T.ZONING)} AS zoning_type FROM blocks WHERE source IS NOT NULL")
 def source_kinds(spark, d):
-    return table(spark, d, "blocks").filter("source is not null").select("block_id", T.ordered_match(F.col("source"), [("年鉴", "yearbook"), ("区划", "zoning"), ("Field", "field")], "other").alias("kind"))
+    return table(spark, d, "blocks").filter("source is not null").select("block_id", T.file_meta(F.col("source")).alias("m")).select("block_id", "m.*")
+
+
+@query("SELECT chunk_id, min(ins_ord) AS ins_ord, min_by(root_id, struct_pack(o := ins_ord, r := root_id)) AS root_id FROM candidates GROUP BY 1")
+def first_by_id(spark, d):
+    c = table(spark, d, "candidates").select("chunk_id", "root_id", "ins_ord")
+    return structure.first_of(c, ["chunk_id"], ["ins_ord", "root_id"])
 
 
 # Chunks -------------------------------------------------------------------------------------------------------------
-@query()
+@query(f"WITH p AS (SELECT doc_id, {S.packed('text')} AS p FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(p)::INT AS n, list_max(list_transform(p, lambda x: length(x)))::INT AS longest, md5(array_to_string(p, '|')) AS h FROM p")
 def sentence_packs(spark, d):
-    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", F.posexplode(structure.pack_sentences(F.col("text"))).alias("part", "t"))
-    return docs.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("t")).alias("longest"))
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", structure.pack_sentences(F.col("text")).alias("p"))
+    return docs.select("doc_id", F.size("p").alias("n"), F.array_max(F.transform("p", F.length)).alias("longest"), F.md5(F.array_join("p", "|")).alias("h"))
 
 
 def _chunks(spark, d) -> DataFrame:
@@ -206,7 +231,7 @@ def recursive_chunks(spark, d):
     CASE WHEN count(*) OVER (PARTITION BY doc_id) > 1 THEN doc_id || '_p' || (row_number() OVER (PARTITION BY doc_id ORDER BY seq, block_id) - 1) ELSE doc_id END AS id FROM blocks WHERE doc_id IS NOT NULL""")
 def chunk_numbers(spark, d):
     b = chunks.numbered(table(spark, d, "blocks").filter("doc_id is not null").select("doc_id", "seq", "block_id"), "doc_id", ["seq", "block_id"])
-    return b.withColumn("chunk_index", F.col("chunk_index").cast("long")).withColumn("id", chunks.unique_id(F.col("doc_id"), F.col("chunk_index"), F.col("chunk_count")))
+    return b.withColumn("id", chunks.unique_id(F.col("doc_id"), F.col("chunk_index"), F.col("chunk_count")))
 
 
 FAMILIES = [("frost", "霜冻|倒春寒|frost"), ("drought", "干旱|旱|drought"), ("heat", "积温|temperature"), ("imagery", "NDVI|影像|pixels"), ("zoning", "区划|zoning|suitab"), ("soil", "土壤|topsoil|irrigation")]
@@ -239,15 +264,42 @@ def compact_headers(spark, d):
     return table(spark, d, "golden_items").select("item_id", T.compact_header(F.col("province"), F.col("crop"), F.col("zoning_type")).alias("header"))
 
 
-@query()
+@query(r"""WITH o AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE length(text) > 1000), e AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, l FROM o),
+    m AS (SELECT doc_id, i, l[i] AS line, regexp_matches(l[i], '^#{2,4}\s+\S') AS head FROM e), s AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS sub FROM m)
+    SELECT doc_id, CAST(sub AS INT) AS sub, min(CASE WHEN head THEN regexp_replace(line, '^#+\s+', '') END) AS title, md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT head), '')) AS h FROM s GROUP BY 1, 2
+    UNION ALL SELECT doc_id, 0, NULL, md5(text) FROM documents WHERE length(text) <= 1000""")
 def heading_splits(spark, d):
-    return chunks.heading_split(table(spark, d, "documents").filter("text is not null"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("chars"))
+    """Documents of over 1,000 characters cut at their headings of any level: third-level ones are rare in these texts."""
+    return chunks.heading_split(table(spark, d, "documents").filter("text is not null"), "doc_id", "text", 1000, "{2,4}").select("doc_id", "sub", "title", F.md5("body").alias("h"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT block_id, list_transform(string_split(text, chr(10))[2:], lambda x: regexp_extract(x, '^\| ([^|]+) \| (\d{4}) \| ([^|]+) \|$', ['a', 'y', 'v'])) AS r FROM blocks WHERE regexp_full_match(text, '\| 站点 \| 年份 \| 指标 \|(?:\n\| [^|\n]+ \| \d{4} \| [^|\n]+ \|)+')),
+    n AS (SELECT *, list_filter(list_transform(range(1, len(r) + 1), lambda i: CASE WHEN list_position(list_transform(r, lambda x: x.a), r[i].a) = i THEN r[i].a END), lambda x: x IS NOT NULL)[1:4] AS ns FROM t)
+    SELECT block_id, '该表格列出' || array_to_string(ns, '、') || '等' || len(ns) || '项指标的具体数值。' || CASE WHEN len(r) <= 6 THEN array_to_string(w, '。') ELSE array_to_string(w, '；') END AS linear FROM (SELECT *, list_transform(r, lambda x: x.a || '：年份 ' || x.y || '年，指标 ' || x.v) AS w FROM n)""")
 def linear_tables(spark, d):
-    b = table(spark, d, "blocks")
-    return linearise.linearise(b.select("block_id", "text"), "text").select("block_id", (~F.col("linear").eqNullSafe(F.col("text"))).alias("changed"), F.length("linear").alias("n"))
+    """Tables of the blocks, given the rule below their heading that they lack, and years that aren't taken for numbering."""
+    b = table(spark, d, "blocks").filter(F.col("text").rlike(r"^\| 站点 \| 年份 \| 指标 \|(?:\n\| [^|\n]+ \| \d{4} \| [^|\n]+ \|)+$"))
+    ruled = F.regexp_replace(F.regexp_replace("text", r"\| (\d{4}) \|", "| $1年 |"), r"^([^\n]+)\n", "$1\n| --- | --- | --- |\n")
+    return linearise.linearise(b.select("block_id", ruled.alias("text")), "text").select("block_id", "linear")
+
+
+SEGMENTS = """WITH g AS (SELECT n_name, c_mktsegment AS s, printf('%.2f', min(c_acctbal)) AS a, printf('%.2f', max(c_acctbal)) AS m FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
+    l AS (SELECT *, row_number() OVER (PARTITION BY n_name ORDER BY s) AS k FROM g), c AS (SELECT n_name, count(*) AS n, string_agg(s, '、' ORDER BY s) FILTER (WHERE k <= 4) AS ns, string_agg('风险' || s, '、' ORDER BY s) FILTER (WHERE k <= 4) AS rs FROM l GROUP BY 1)"""
+
+
+@query(SEGMENTS + """ SELECT n_name, 'wide' AS form, n_name || '中，该表格列出' || any_value(ns) || '等' || least(any_value(n), 4) || '项指标的具体数值。' || string_agg(s || '：最低 ' || a || '，最高 ' || m, '。' ORDER BY s) AS said FROM l JOIN c USING (n_name) GROUP BY n_name
+    UNION ALL SELECT n_name, 'pair', n_name || '中，该表格为区划指标体系，列出' || any_value(rs) || '等' || least(any_value(n), 4) || '项因子的余额分级阈值。' || '等级：' || string_agg('风险' || s || '的余额为' || a, '；' ORDER BY s) FROM l JOIN c USING (n_name) GROUP BY n_name""")
+def table_sentences(spark, d):
+    """Balances by market segment of each nation written as pipe tables of three and two columns, and read as sentences."""
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    g = c.groupBy("n_name", F.col("c_mktsegment").alias("s")).agg(F.format_string("%.2f", F.min("c_acctbal")).alias("a"), F.format_string("%.2f", F.max("c_acctbal")).alias("m"))
+    line = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    forms = {"wide": ("| 类别 | 最低 | 最高 |\n| --- | --- | --- |", line("s", "a", "m")), "pair": ("| 等级 | 余额 |\n| --- | --- |", line(F.concat(F.lit("风险"), "s"), "a"))}
+    tables = None
+    for form, (head, row) in forms.items():
+        t = g.withColumn("row", row).groupBy("n_name").agg(F.concat_ws("\n", F.lit(head), structure.gathered("row", "s")).alias("text")).withColumn("form", F.lit(form))
+        tables = t if tables is None else tables.unionByName(t)
+    return linearise.linearise(tables.withColumn("province", F.col("n_name")), "text", "said").select("n_name", "form", "said")
 
 
 @query(f"""SELECT DISTINCT cell, regexp_replace(regexp_replace(translate(CASE WHEN cell IN ('——', '—', '---', '--', '…', '...', '/', '无') THEN '' ELSE cell END, '０１２３４５６７８９', '0123456789'), '[\\[（(]([^\\]）)]+)[\\]）)]', '\\1', 'g'), '[～~]', '至', 'g') AS clean
