@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 RUN_HAN, RUN_LATIN = 30, 80
 #: Edits that the search step tolerates in a run; the final step asks for the exact run.
 BUDGET = 1
-#: Items sent to every task; beyond this the items must be split into several calls.
+#: Items sent to every task at once; more are taken in several passes over the documents.
 MOST_ITEMS = 50_000
+#: Edits that near_leaks tolerates in a run.
+NEAR_BUDGET = 2
 
 
 def _counted(ch: str) -> str:
@@ -60,16 +62,17 @@ def pieces(text: str, run: int, budget: int = BUDGET) -> list[tuple[str, int]]:
     return [(text[k : k + size], k) for k in range(0, len(text) - size + 1, size)] if len(text) >= run else []
 
 
-def bounded_distance(pattern: str, text: str, most: int) -> bool:
-    """Whether some substring of text is within `most` edits of pattern: Myers' bit-parallel scan."""
+def distance(pattern: str, text: str, most: int) -> int | None:
+    """Fewest edits between pattern and some substring of text, None if more than `most`: Myers' bit-parallel scan."""
     m = len(pattern)
     if not m:
-        return True
+        return 0
     masks: dict[str, int] = {}
     for i, c in enumerate(pattern):
         masks[c] = masks.get(c, 0) | (1 << i)
     full, top = (1 << m) - 1, 1 << (m - 1)
     plus, minus, score = full, 0, m
+    best = most + 1
     for c in text:
         eq = masks.get(c, 0)
         x = eq | minus
@@ -82,9 +85,11 @@ def bounded_distance(pattern: str, text: str, most: int) -> bool:
             score -= 1
         ph, mh = (ph << 1) & full, (mh << 1) & full
         plus, minus = mh | ~(d | ph) & full, ph & d
-        if score <= most:
-            return True
-    return False
+        if score < best:
+            best = score
+            if not best:
+                break
+    return best if best <= most else None
 
 
 def stretch(item: str, at: int, text: str, pos: int, size: int) -> tuple[int, int]:
@@ -174,42 +179,109 @@ class Index:
         """Whether a run of the item that holds the piece occurs in the text around the hit within the budget."""
         for a in range(max(0, at + size - run), min(at, len(item) - run) + 1):
             b = max(0, pos - (at - a) - self.budget)
-            if bounded_distance(item[a : a + run], text[b : pos - (at - a) + run + self.budget], self.budget):
+            if distance(item[a : a + run], text[b : pos - (at - a) + run + self.budget], self.budget) is not None:
                 return True
         return False
 
+    def near(self, raw: str | None) -> dict:
+        """Item -> fewest edits between a run of it and the text, at most the budget."""
+        text = fold(raw)
+        found: dict = {}
+        if self.empty or not text:
+            return found
+        done: set = set()
+        for end, (size, places) in self.automaton.iter(text):
+            pos = end - size + 1
+            for k, at in places:
+                key, item, run, _ = self.texts[k]
+                if found.get(key) == 0 or (k, at, pos) in done:
+                    continue
+                left, right = stretch(item, at, text, pos, size)
+                # Pieces within one common stretch have the same windows but for their place in them.
+                done.update((k, p, pos - at + p) for p in range(at, right - size + 1, size))
+                edits = 0 if right - left >= run else self._edits(item, left, right, text, left + pos - at, run, found.get(key, self.budget + 1) - 1)
+                if edits is not None:
+                    found[key] = edits
+        return found
+
+    def _edits(self, item: str, left: int, right: int, text: str, start: int, run: int, most: int) -> int | None:
+        """Fewest edits, at most `most`, of a run of the item that holds item[left:right], found at text[start:]."""
+        best, q = None, 3
+        near = text[max(0, start - run - most) : start + run + right - left + most]
+        grams = {near[i : i + q] for i in range(len(near) - q + 1)}
+        shared = [0]
+        first, last = max(0, right - run), min(left, len(item) - run)
+        for i in range(first, max(first, last + run - q + 1)):
+            shared.append(shared[-1] + (item[i : i + q] in grams))
+        for a in range(first, last + 1):
+            if most < 0:
+                break
+            # An edit spoils at most q grams of the window.
+            if shared[a - first + run - q + 1] - shared[a - first] < run - q + 1 - q * most:
+                continue
+            at = start - (left - a)
+            edits = distance(item[a : a + run], text[max(0, at - most) : at + run + most], most)
+            if edits is not None:
+                best, most = edits, edits - 1
+        return best
+
 
 _INDEX: dict = {}
 
 
-def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", passages: tuple[str, ...] = ("question", "answer"), budget: int = BUDGET) -> DataFrame:
+def _passes(documents: DataFrame, items: DataFrame, key: str, text: str, item_key: str, passages: tuple[str, ...], budget: int, most: int, schema: str, find) -> DataFrame:
+    """Documents mapped against all items, at most about `most` of them sent to every task in one pass."""
+    distinct = items.filter(F.col(item_key).isNotNull()).select(item_key, *passages).distinct()
+    n = distinct.count()
+    parts = 1 if n <= most else -(-2 * n // most)
+    source = documents.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text)
+    out = None
+    for part in range(parts):
+        held_out = distinct.filter(F.pmod(F.xxhash64(item_key, *passages), F.lit(parts)) == part).collect()  # bounded: a hashed share
+        rows = [(r[0], p) for r in held_out for p in r[1:] if p]
+        token = hash((tuple(rows), budget))
+        shared = documents.sparkSession.sparkContext.broadcast(rows)
+
+        def run(batches, shared=shared, token=token):
+            index = _INDEX.get(token)
+            if index is None:
+                _INDEX.clear()
+                index = _INDEX[token] = Index(shared.value, budget)
+            for batch in batches:
+                yield find(index, batch[key].tolist(), batch[text].tolist())
+
+        found = source.mapInPandas(run, schema)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", passages: tuple[str, ...] = ("question", "answer"), budget: int = BUDGET, most: int = MOST_ITEMS) -> DataFrame:
     """(key, item_key): each document that shares a run with a passage of an item, once for each such item.
 
     A run has 30 counted characters for items with Han characters and 80 for others; letters, digits and Han characters
-    count, case and width do not. Null and shorter passages match nothing. The items are a held-out set of checked size
-    that every task gets; documents are read once, whole, and never shuffled. Repeated documents of one key give a row
-    once per text.
+    count, case and width do not. Null and shorter passages match nothing; items without a key are left out. Up to
+    `most` items go to every task and documents are read once, whole, and never shuffled; more items are taken in hashed
+    shares, with a pass over the documents for each. Repeated documents of one key give a row once per text.
     """
-    held_out = items.select(item_key, *passages).limit(MOST_ITEMS + 1).collect()
-    if len(held_out) > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} items: split them")
-    rows = [(r[0], p) for r in held_out for p in r[1:] if p]
-    token = hash((tuple(rows), budget))
-    shared = documents.sparkSession.sparkContext.broadcast(rows)
-    kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields} | {f.name: f.dataType.simpleString() for f in items.schema.fields}
-
-    def run(batches):
-        index = _INDEX.get(token)
-        if index is None:
-            _INDEX.clear()
-            index = _INDEX[token] = Index(shared.value, budget)
-        for batch in batches:
-            a, b = [], []
-            for k, t in zip(batch[key].tolist(), batch[text].tolist()):
-                for item in sorted(index.leaked(t)):
-                    a.append(k)
-                    b.append(item)
-            yield pd.DataFrame({key: a, item_key: b})
+    kinds = dict(documents.dtypes) | dict(items.dtypes)
 
-    source = documents.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(key, text)
-    return source.mapInPandas(run, f"`{key}` {kinds[key]}, `{item_key}` {kinds[item_key]}")
+    def find(index, keys, texts):
+        rows = [(k, item) for k, t in zip(keys, texts) for item in sorted(index.leaked(t))]
+        return pd.DataFrame(rows, columns=[key, item_key])
+
+    found = _passes(documents, items, key, text, item_key, passages, budget, most, f"`{key}` {kinds[key]}, `{item_key}` {kinds[item_key]}", find)
+    return found
+
+
+def near_leaks(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", passages: tuple[str, ...] = ("question", "answer"), budget: int = NEAR_BUDGET, most: int = MOST_ITEMS) -> DataFrame:
+    """(key, item_key, edits): as leaks(), but a run may differ by up to `budget` edits; edits is the fewest of any run.
+
+    Every run with that few edits keeps one of its budget + 1 pieces, which the search finds; Myers' scan decides.
+    """
+    kinds = dict(documents.dtypes) | dict(items.dtypes)
+
+    def find(index, keys, texts):
+        rows = [(k, item, e) for k, t in zip(keys, texts) for item, e in sorted(index.near(t).items())]
+        return pd.DataFrame(rows, columns=[key, item_key, "edits"]).astype({"edits": "int32"})
+
+    return _passes(documents, items, key, text, item_key, passages, budget, most, f"`{key}` {kinds[key]}, `{item_key}` {kinds[item_key]}, edits int", find)

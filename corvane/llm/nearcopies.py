@@ -154,11 +154,14 @@ def rare_shingle_pairs(texts: DataFrame, similarity: float) -> DataFrame:
     return a.join(b, "s").filter(fits).select("a", "b")
 
 
-def candidates(classes: DataFrame, texts: DataFrame, similarity: float, rows: int, count: int, bucket: int) -> DataFrame:
-    """(a, b): distinct pairs that share a band and agree in enough coordinates; members of oversized buckets are paired by rare shingles instead."""
+def candidates(classes: DataFrame, texts: DataFrame, similarity: float, rows: int, count: int, bucket: int, cuts: bool = True) -> DataFrame:
+    """(a, b): distinct pairs that share a band and agree in enough coordinates; members of oversized buckets are paired
+    by rare shingles instead. Without `cuts` every pair that shares a band goes on to be verified."""
     t = rows * count
     scale = min(1.0, max(0.0, (similarity - 0.2) / 0.5))
-    bits, nibbles = int(SAME_BITS * (1 + similarity) / 1.7), int(SAME_NIBBLES * scale * t / 96)
+    if not cuts:
+        scale = 0.0
+    bits, nibbles = int(cuts * SAME_BITS * (1 + similarity) / 1.7), int(SAME_NIBBLES * scale * t / 96)
     banded = classes.select("rep", F.explode("bands").alias("band"))
     sizes = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     shared = materialise(banded.join(sizes, "band"), "bands")  # what shares a band with anything: a small part
@@ -207,7 +210,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return both.mapInPandas(run, f"a {kind}, b {kind}, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
 
 
-def near_copies(df: DataFrame, key: str = "block_id", text: str = "text", similarity: float = SIMILARITY, least: int = LEAST_CHARS, rows: int = ROWS, count: int = BANDS, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+def near_copies(df: DataFrame, key: str = "block_id", text: str = "text", similarity: float = SIMILARITY, least: int = LEAST_CHARS, rows: int = ROWS, count: int = BANDS, bucket: int = BUCKET, cuts: bool = True) -> tuple[DataFrame, DataFrame]:
     """Members (key, rep) of classes of equal texts, and pairs (a, b, similarity) of class representatives.
 
     Texts are taken as stored; those shorter than `least` characters, and null ones, take no part. Similarity is the
@@ -222,7 +225,7 @@ def near_copies(df: DataFrame, key: str = "block_id", text: str = "text", simila
     # Copies leave before the sketches travel; written first, so that a small set of them is seen to be small.
     copies = materialise(table.select("k", "h1", "h2").join(named, ["h1", "h2"]).filter("k <> rep").select("k", "h1").distinct(), "copies")
     classes = table.join(copies, ["k", "h1"], "left_anti").select(F.col("k").alias("rep"), "bit", "nib", "bands")
-    pairs = materialise(candidates(classes, source, similarity, rows, count, bucket), "pairs")
+    pairs = materialise(candidates(classes, source, similarity, rows, count, bucket, cuts), "pairs")
     return members, verified(pairs, source, similarity)
 
 
@@ -233,3 +236,37 @@ def all_pairs(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
     several = members.groupBy("rep").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     within = several.join(x, "a").join(y, "b").filter("k1 < k2")
     return across.select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).unionByName(within.select(F.col("k1").alias("a"), F.col("k2").alias("b"))).filter("a < b").distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root): connected components of links (a, b), each named by its smallest node.
+
+    Alternating large and small stars: every node's larger neighbours, then its smaller ones, are hung on the smallest
+    node it knows, until the links no longer change. A round is a grouping that combines map-side, a join and a
+    distinct, and no node's neighbours are ever gathered; the number of rounds grows with the logarithm of the size.
+    """
+    edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
+    state = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = materialise(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        edges = materialise(small.filter("u <> v").distinct(), "links")
+        new = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if new == state:
+            break
+        state = new
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def groups(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """(key, class, group, links): rows with a near copy, their class of equal texts, the group that links connect, and
+    the number of other rows each is near. Copies are counted, never paired."""
+    sizes = materialise(members.groupBy("rep").agg(F.count("*").alias("n")), "sizes")
+    both = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+    near = both.join(sizes.select(F.col("rep").alias("other"), "n"), "other").groupBy("rep").agg(F.sum("n").alias("across"))
+    roots = components(links).select(F.col("node").alias("rep"), "root")
+    classes = sizes.join(near, "rep", "left").join(roots, "rep", "left").withColumn("links", F.col("n") - 1 + F.coalesce("across", F.lit(0))).filter("links > 0")
+    return members.join(classes.select("rep", F.coalesce("root", "rep").alias("group"), "links"), "rep").select(key, F.col("rep").alias("class"), "group", "links")

@@ -64,6 +64,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return nearcopies.all_pairs(members, links, "block_id").select(F.col("a").alias("block_a"), F.col("b").alias("block_b"))
 
 
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The same without pairs: blocks with a near copy, their class of equal texts, their group and number of links."""
+    members, links = nearcopies.near_copies(table(spark, d, "blocks"))
+    return nearcopies.groups(members, materialise(links, "verified"), "block_id")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.repaired(table(spark, d, "blocks")).select("block_id", "field")
 
@@ -80,6 +86,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "golden_items"))
 
 
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of held-out items with up to two edits, decided by Myers' scan; p8_found are those without."""
+    return leakage.near_leaks(table(spark, d, "documents"), table(spark, d, "golden_items"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.assign(table(spark, d, "documents"), table(spark, d, "subject_areas"), table(spark, d, "subject_labels")).select("doc_id", "subject")
 
@@ -89,7 +100,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("subject").agg(F.countDistinct("doc_id").alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_mix, p2_found, p2_order, p3_found, p3_groups, p3_forms, p4_found, p4_pieces, p5_found, p6_found, p6_restored, p7_ids, p8_found, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_mix, p2_found, p2_order, p3_found, p3_groups, p3_forms, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_restored, p7_ids, p8_found, p8_near, p9_found, p9_composition)}
 
 #: p4_found's definition in SQL; the others are tested against brute force.
 SQL = {

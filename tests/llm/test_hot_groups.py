@@ -36,3 +36,25 @@ def test_one_question_and_one_prefix(spark):
     assert places[0] == places[1] and sorted(p for q, _, p in places[0] if q == "hot") == list(range(1, 301))
     texts = spark.createDataFrame([("同一个开头" + "甲" * (i % 7) + str(i),) for i in range(400)] + [("同一个开头",)], "x string")
     assert {r.x for r in replies.shortened(texts, "x").collect()} >= {"同一个开头"}
+
+
+def test_groups_of_links(spark):
+    rng = random.Random(10)
+    chain = [(i, i + 1) for i in range(40)]
+    star = [(100, 100 + i) for i in range(1, 60)]
+    random_links = [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    links = [(a, b) for a, b in chain + star + random_links if a != b]
+    root = {n: n for ab in links for n in ab}
+    for _ in range(100):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.root for r in nearcopies.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == root
+    assert nearcopies.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_groups_count_copies(spark):
+    members = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 5)], "block_id long, rep long")
+    links = spark.createDataFrame([(1, 3)], "a long, b long")
+    got = {tuple(r) for r in nearcopies.groups(members, links, "block_id").collect()}
+    assert got == {(1, 1, 1, 2), (2, 1, 1, 2), (3, 3, 1, 2), (5, 5, 5, 1), (6, 5, 5, 1)}
