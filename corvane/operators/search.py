@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from operator import add
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import materialise
+from ..tables import materialise, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 # Technical tokens kept whole.
@@ -22,9 +23,10 @@ def tokens(text: str | None, technical: bool = True) -> list[str]:
     if not text:
         return []
     text = text.replace("\n", " ").strip()
-    single = [c for c in text if not c.isspace()]
-    pairs = [a + b for a, b in zip(text, text[1:]) if not a.isspace() and not b.isspace()]
-    out = single + pairs
+    runs = text.split()
+    out = list("".join(runs))
+    for run in runs:
+        out.extend(map(add, run, run[1:]))
     if technical:
         seen = set(out)
         for t in TECHNICAL.findall(text):
@@ -46,7 +48,7 @@ def postings(df: DataFrame, key: str, text: str, technical: bool = True) -> Data
                 n = [len(c) for c in counts]
                 yield pd.DataFrame({key: np.repeat(part[key].to_numpy(), n), "term": pd.Series([t for c in counts for t in c], dtype=object), "tf": np.array([v for c in counts for v in c.values()], np.int32), "dl": np.repeat(np.array([sum(c.values()) for c in counts], np.int32), n)})
 
-    return df.select(key, text).mapInPandas(run, f"`{key}` {kind}, term string, tf int, dl int")
+    return spread(df.select(key, text)).mapInPandas(run, f"`{key}` {kind}, term string, tf int, dl int")
 
 
 def okapi_weights(post: DataFrame, key: str, n_docs: DataFrame) -> DataFrame:
@@ -57,22 +59,90 @@ def okapi_weights(post: DataFrame, key: str, n_docs: DataFrame) -> DataFrame:
     return raw.crossJoin(mean).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+#: Terms counted in one Python worker before they are handed on, (question, term) weights sent to every task in one pass, and questions scored together.
+TERMS_HELD, WEIGHTS_SENT, GROUP = 500_000, 1_000_000, 256
+
+
+def term_counts(docs: DataFrame, text: str, technical: bool = True) -> DataFrame:
+    """(term, df, dl): texts that hold each term, counted in each task before the shuffle; the row without a term has the number of rows and of all terms."""
+
+    def run(batches):
+        df: Counter = Counter()
+        rows = total = 0
+        for b in batches:
+            for t in b[text].tolist():
+                found = tokens(t, technical)
+                rows, total = rows + 1, total + len(found)
+                df.update(set(found))
+            if len(df) > TERMS_HELD:
+                yield pd.DataFrame({"term": list(df), "df": np.fromiter(df.values(), np.int64, len(df)), "dl": 0})
+                df = Counter()
+        yield pd.DataFrame({"term": [*df, None], "df": [*df.values(), rows], "dl": [0] * len(df) + [total]}).astype({"df": "int64", "dl": "int64"})
+
+    return spread(docs.select(text)).mapInPandas(run, "term string, df long, dl long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl"))
+
+
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query: str, query_text: str, k: int = 10, technical: bool = True) -> DataFrame:
-    """(query, key, score, rank): Okapi top k of each query, ties to the smaller key; zero scores are left out.
+    """(query, key, score, rank): Okapi top k of each query, ties (at nine places) to the smaller key; zero scores are left out.
 
-    A term occurring twice in a query counts twice. Documents meet queries only on terms both have.
+    A term occurring twice in a query counts twice; negative weights become EPSILON times the mean over all terms. One
+    pass counts terms; the queries' weighted terms then go to every task, which scores each text as it is read, whole,
+    and keeps the best k of each query: only those are shuffled. More weights than WEIGHTS_SENT are taken in several passes.
     """
-    post = materialise(postings(docs, key, text, technical), "postings")
-    lengths = post.groupBy(key).agg(F.max("dl").alias("dl"))
-    corpus = docs.agg(F.count("*").alias("n")).crossJoin(lengths.agg(F.sum("dl").alias("total"))).select("n", (F.col("total") / F.col("n")).alias("avgdl"))
-    weights = okapi_weights(post, key, corpus)
-    asked = postings(queries, query, query_text, technical).select(F.col(query).alias("q"), "term", F.col("tf").alias("qtf"))
-    wanted = weights.join(asked.select("term").distinct(), "term", "left_semi")
-    hits = post.join(wanted, "term").crossJoin(corpus.select("avgdl"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.withColumn("part", part).select(key, "term", "part").join(asked, "term").groupBy("q", key).agg(F.sum(F.col("part") * F.col("qtf")).alias("score"))
-    w = Window.partitionBy("q").orderBy(F.desc("score"), key)
-    return scored.filter(F.abs("score") > 1e-12).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("q").alias(query), key, "score", "rank")
+    kind, qkind = dict(docs.dtypes)[key], dict(queries.dtypes)[query]
+    counts = materialise(term_counts(docs, text, technical), "terms")
+    n, total = next(iter(counts.filter("term is null").select("df", "dl").collect()), (0, 0))
+    known = counts.filter("term is not null")
+    raw = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    mean = known.agg(F.avg(raw).alias("m")).first()["m"] or 0.0
+    asked = postings(queries.filter(F.col(query).isNotNull()), query, query_text, technical).groupBy(F.col(query).alias("q"), "term").agg(F.sum("tf").alias("qtf"))
+    weighted = materialise(asked.join(known, "term").select("q", "term", (F.col("qtf") * F.when(raw < 0, EPSILON * mean).otherwise(raw) * (K1 + 1)).alias("w")), "weights")
+    rows = weighted.count()
+    parts = max(1, -(-rows // WEIGHTS_SENT))
+    mean_length = total / n if n else 0.0
+    out = None
+    for part in range(parts):
+        sent = weighted.filter(F.pmod(F.xxhash64("q"), F.lit(parts)) == part).toPandas()  # a bounded share
+        names, index = pd.factorize(sent["q"])[::-1]
+        groups = []  # of questions, each with its terms and a dense matrix of weights
+        for lo in range(0, len(names), GROUP):
+            at = np.flatnonzero((index >= lo) & (index < lo + GROUP))
+            code, terms = pd.factorize(sent["term"].to_numpy()[at])
+            weights = np.zeros((len(terms), min(GROUP, len(names) - lo)))
+            weights[code, index[at] - lo] = sent["w"].to_numpy()[at]
+            groups.append((lo, {t: i for i, t in enumerate(terms)}, weights))
+        shared = docs.sparkSession.sparkContext.broadcast((names.tolist(), groups))
+
+        def run(batches, shared=shared):
+            names, groups = shared.value
+            wanted = set().union(*(terms for _, terms, _ in groups))
+            best: pd.DataFrame | None = None
+            for b in batches:
+                for at in range(0, len(b), 256):
+                    keys = b[key].iloc[at : at + 256].to_numpy()
+                    counts = [tokens(t, technical) for t in b[text].iloc[at : at + 256].tolist()]
+                    norms = np.array([K1 * (1 - B + B * len(x) / mean_length) for x in counts]) if mean_length else np.zeros(len(counts))
+                    tfs = [Counter(filter(wanted.__contains__, x)) for x in counts]
+                    for lo, terms, weights in groups:
+                        x = np.zeros((len(keys), len(terms)))
+                        for i, tf in enumerate(tfs):
+                            hit = [t for t in tf if t in terms]
+                            x[i, [terms[t] for t in hit]] = [tf[t] for t in hit]
+                        scores = np.divide(x, x + norms[:, None], out=x, where=x > 0) @ weights
+                        # Only a query's k best of the slice, ties at the k-th place included, are set in order.
+                        rounded = np.round(scores, 9)
+                        bar = np.partition(rounded, -k, axis=0)[-k] if len(keys) > k else np.full(scores.shape[1], -np.inf)
+                        i, j = np.nonzero((rounded >= bar) & (np.abs(scores) > 1e-12))
+                        found = pd.DataFrame({"q": lo + j, "key": keys[i], "score": scores[i, j], "r": -rounded[i, j]})
+                        best = found if best is None else pd.concat([best, found])
+                    best = best.sort_values(["q", "r", "key"], kind="stable").groupby("q", sort=False).head(k)
+            if best is not None and len(best):
+                yield pd.DataFrame({query: [names[q] for q in best["q"]], key: best["key"].to_numpy(), "score": best["score"].to_numpy()})
+
+        found = spread(docs.filter(F.col(key).isNotNull()).select(key, text)).mapInPandas(run, f"`{query}` {qkind}, `{key}` {kind}, score double")
+        out = found if out is None else out.unionByName(found)
+    w = Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), key)
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def blocks_of(df: DataFrame, key: str, vector: str, size: int, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -188,11 +258,3 @@ def label_ranks(rows: DataFrame, key: str, vector: str, label: str, asked: DataF
     counts = pairs(again, (label, "g")).mapInPandas(ahead, f"{query} {kind}, ahead long").groupBy(query).agg(F.sum("ahead").alias("ahead"))
     top = F.when(F.col("t") > -2, F.col("t"))
     return tops.join(counts, query).select(query, (F.col("ahead") + 1).alias("gold_rank"), "n", F.col("g").alias("gold_sim"), top.alias("top_sim"), (F.col("g") - top).alias("margin"))
-
-
-def oracle_rank(sims: DataFrame, query: str, item: str, sim: str, gold: str) -> DataFrame:
-    """(query, gold_rank, n, gold_sim, top_sim, margin): where the best gold item stands among all, 1 being the head."""
-    g = F.max(F.when(F.col(gold), F.col(sim)))
-    best = sims.groupBy(query).agg(g.alias("gold_sim"), F.max(F.when(~F.col(gold), F.col(sim))).alias("top_sim"), F.count("*").alias("n"))
-    ahead = sims.join(best, query).filter(~F.col(gold) & (F.col(sim) > F.col("gold_sim"))).groupBy(query).agg(F.count("*").alias("ahead"))
-    return best.join(ahead, query, "left").select(query, (F.coalesce("ahead", F.lit(0)) + 1).alias("gold_rank"), "n", "gold_sim", "top_sim", (F.col("gold_sim") - F.col("top_sim")).alias("margin")).filter("gold_sim is not null")

@@ -310,15 +310,23 @@ def clean_cells(spark, d):
 
 
 # Search -------------------------------------------------------------------------------------------------------------
-TERMS = r"""c AS (SELECT doc_id, regexp_extract_all(regexp_replace(replace(text, chr(10), ' '), '^{W}+|{W}+$', '', 'g'), '(?s).') AS cs FROM documents WHERE text IS NOT NULL),
-    tk AS (SELECT doc_id, unnest(list_concat(cs, list_transform(range(1, len(cs)), lambda i: CASE WHEN regexp_matches(cs[i], '{W}') OR regexp_matches(cs[i + 1], '{W}') THEN ' ' ELSE cs[i] || cs[i + 1] END))) AS term FROM c),
-    post AS (SELECT doc_id, term, count(*) AS tf FROM tk WHERE NOT regexp_matches(term, '^{W}$') GROUP BY 1, 2),
-    dl AS (SELECT doc_id, sum(tf) AS dl FROM post GROUP BY 1)"""
+TECHNICAL = search.TECHNICAL.pattern.replace(r"\d", r"\p{Nd}")
+
+
+def _tokens(key: str, text: str, source: str, to: str) -> str:
+    """to(key, term): characters, neighbouring pairs and technical tokens of each text, with repeats."""
+    return f"""{to}c AS (SELECT {key}, t, regexp_extract_all(t, '(?s).') AS cs FROM (SELECT {key}, {S.strip(f"replace({text}, chr(10), ' ')")} AS t FROM {source} WHERE {text} IS NOT NULL)),
+    {to}b AS (SELECT *, list_transform(range(1, len(cs)), lambda i: CASE WHEN regexp_matches(cs[i], '{W}') OR regexp_matches(cs[i + 1], '{W}') THEN ' ' ELSE cs[i] || cs[i + 1] END) AS bs FROM {to}c),
+    {to} AS (SELECT {key}, unnest(list_concat(cs, bs, list_filter(list_distinct(regexp_extract_all(t, '{TECHNICAL}')), lambda x: length(x) > 1 AND NOT list_contains(cs, x) AND NOT list_contains(bs, x)))) AS term FROM {to}b)"""
+
+
+TERMS = _tokens("doc_id", "text", "documents", "tk") + f""",
+    post AS (SELECT doc_id, term, count(*) AS tf FROM tk WHERE NOT regexp_matches(term, '^{W}$') GROUP BY 1, 2), dl AS (SELECT doc_id, sum(tf) AS dl FROM post GROUP BY 1)"""
 
 
 @query("WITH " + TERMS + " SELECT doc_id, CAST(count(*) AS BIGINT) AS n_terms, CAST(sum(tf) AS BIGINT) AS dl FROM post GROUP BY 1")
 def postings_stats(spark, d):
-    p = search.postings(table(spark, d, "documents"), "doc_id", "text", technical=False)
+    p = search.postings(table(spark, d, "documents"), "doc_id", "text")
     return p.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.sum("tf").alias("dl"))
 
 
@@ -326,20 +334,19 @@ def postings_stats(spark, d):
     SELECT term, df, round(CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM r) ELSE raw END, 6) AS idf FROM r""")
 def term_weights(spark, d):
     docs = table(spark, d, "documents")
-    p = materialise(search.postings(docs, "doc_id", "text", technical=False), "postings")
+    p = materialise(search.postings(docs, "doc_id", "text"), "postings")
     return search.okapi_weights(p, "doc_id", docs.agg(F.count("*").alias("n"))).withColumn("idf", R6("idf"))
 
 
 @query("WITH " + TERMS + r""", n AS (SELECT count(*) AS n, (SELECT sum(dl) FROM dl)::DOUBLE / count(*) AS avgdl FROM documents), f AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
     r AS (SELECT term, df, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS raw FROM f, n), w AS (SELECT term, CASE WHEN raw < 0 THEN 0.25::DOUBLE * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r),
-    qc AS (SELECT item_id, regexp_extract_all(regexp_replace(replace(question, chr(10), ' '), '^{W}+|{W}+$', '', 'g'), '(?s).') AS cs FROM golden_items WHERE question IS NOT NULL),
-    qt AS (SELECT item_id, unnest(list_concat(cs, list_transform(range(1, len(cs)), lambda i: CASE WHEN regexp_matches(cs[i], '{W}') OR regexp_matches(cs[i + 1], '{W}') THEN ' ' ELSE cs[i] || cs[i + 1] END))) AS term FROM qc),
+    """ + _tokens("item_id", "question", "golden_items", "qt") + r""",
     q AS (SELECT item_id, term, count(*) AS qtf FROM qt WHERE NOT regexp_matches(term, '^{W}$') GROUP BY 1, 2),
     s AS (SELECT q.item_id, p.doc_id, sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl.dl / avgdl))) AS score FROM q JOIN post p USING (term) JOIN w USING (term) JOIN dl ON dl.doc_id = p.doc_id, n GROUP BY 1, 2),
     k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE abs(score) > 1e-12)
     SELECT item_id, doc_id, round(score, 6) AS score, rank FROM k WHERE rank <= 10""")
 def bm25_topk(spark, d):
-    return search.bm25(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "golden_items"), "item_id", "question", 10, technical=False).withColumn("score", R6("score")).withColumn("rank", F.col("rank").cast("long"))
+    return search.bm25(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "golden_items"), "item_id", "question").withColumn("score", R6("score")).withColumn("rank", F.col("rank").cast("long"))
 
 
 def _asked(spark, d) -> DataFrame:

@@ -82,6 +82,13 @@ def below_counts(df: DataFrame, group: list[str], value: str, parts: int | None
     return local.join(before, [*group, "_part"]).select(*group, value, "n", (F.col("_in") + F.col("_before")).alias("below"))
 
 
+def spread(df: DataFrame, task_bytes: int = 64 << 20) -> DataFrame:
+    """A small table over all cores, before work that costs far more than its bytes tell; larger ones keep their partitions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < task_bytes * cores else df
+
+
 #: Rows of a group that one task takes; larger groups are spread over range partitions, with the same result.
 ONE_TASK = 100_000
 
