@@ -103,9 +103,9 @@ def without_reranker(cosine: Column, prior_col: Column) -> Column:
 def pool_order(hits: list[list[int]], n_rw: int, n_sq: int, cap: int, scheme: str = "plan_c") -> list[int]:
     """Indexes of the pool, of candidates in the order of their prior, given the sub-queries that hit each.
 
-    Up to `cap` candidates pass as they are. Otherwise the original query reserves 20, sub-questions 5 each within
-    their budget (30, 20 or none; `even` shares it out evenly), rewrites 10 together; each candidate counts for the
-    first of these that has room. What sub-questions leave goes to further candidates that one of them hit.
+    Up to `cap` candidates pass as they are. Otherwise the original query reserves 20, each sub-question 5, rewrites 10
+    together; each candidate counts for the first of these that has room. What sub-questions leave of their budget (30,
+    20 or none) goes to further candidates that one of them hit. In scheme `even` they share 20 and leave nothing.
     """
     if len(hits) <= cap:
         return list(range(len(hits)))
@@ -113,8 +113,7 @@ def pool_order(hits: list[list[int]], n_rw: int, n_sq: int, cap: int, scheme: st
     budget = 30 if n_sq >= 2 else 20 if n_sq == 1 else 0
     room = dict.fromkeys(subs, 5)
     if scheme == "even" and n_sq:
-        budget = 20
-        room = {q: budget // n_sq + (k < budget % n_sq) for k, q in enumerate(subs)}
+        room = {q: 20 // n_sq + (k < 20 % n_sq) for k, q in enumerate(subs)}
     original = rewritten = used = 0
     kept, rest = [], []
     for i, h in enumerate(hits):
@@ -123,7 +122,7 @@ def pool_order(hits: list[list[int]], n_rw: int, n_sq: int, cap: int, scheme: st
             original += 1
             kept.append(i)
             continue
-        sub = next((q for q in subs if q in mine and room[q] > 0 and used < budget), None)
+        sub = next((q for q in subs if q in mine and room[q] > 0), None)
         if sub is not None:
             room[sub] -= 1
             used += 1
@@ -133,23 +132,30 @@ def pool_order(hits: list[list[int]], n_rw: int, n_sq: int, cap: int, scheme: st
             kept.append(i)
         else:
             rest.append(i)
-    more = [i for i in rest if any(q in subs for q in hits[i])][: max(0, budget - used)]
+    more = [i for i in rest if any(q in subs for q in hits[i])][: max(0, budget - used)] if scheme == "plan_c" else []
     kept += more
     gone = set(more)
     return (kept + [i for i in rest if i not in gone])[:cap]
 
 
-def quota_pool(candidates: DataFrame, root: str = "root_id", item: str = "chunk_id", prior_col: str = "retrieval_prior", cap: int = 50, n_rw: int = 2, n_sq: int = 2, scheme: str = "plan_c") -> DataFrame:
-    """(root, item, pool_pos): the candidate pool of each question, in order from 1. Each candidate's fate depends on those before it, so a question's candidates are walked together."""
-    full = cap + (10 if n_sq >= 2 else 0)
+def quota_pool(candidates: DataFrame, root: str = "root_id", item: str = "chunk_id", prior_col: str = "retrieval_prior", cap: int = 50, n_rw: int | str = 2, n_sq: int | str = 2, scheme: str = "plan_c") -> DataFrame:
+    """(root, item, pool_pos): the candidate pool of each question, in order from 1.
+
+    n_rw and n_sq are numbers or columns that say how many rewrites and sub-questions a question has; with two
+    sub-questions plan_c takes ten more. Each candidate's fate depends on those before it, so a question's candidates
+    are walked together: they are bounded by its retrieval depths, and repeated rows are combined before.
+    """
     kinds = dict(candidates.dtypes)
+    count = lambda n: F.col(n) if isinstance(n, str) else F.lit(n)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_p", item], ascending=[False, True])
-        order = pool_order([list(h) if h is not None else [] for h in pdf["query_hits"]], n_rw, n_sq, full, scheme)
+        rw, sq = int(pdf["_rw"].iloc[0]), int(pdf["_sq"].iloc[0])
+        full = cap + (10 if sq >= 2 and scheme == "plan_c" else 0)
+        order = pool_order([list(h) if h is not None else [] for h in pdf["query_hits"]], rw, sq, full, scheme)
         return pd.DataFrame({root: pdf[root].iloc[order].to_numpy(), item: pdf[item].iloc[order].to_numpy(), "pool_pos": range(1, len(order) + 1)})
 
-    rows = candidates.groupBy(root, item).agg(F.max(F.coalesce(F.col(prior_col), F.lit(-1.0))).alias("_p"), F.max("query_hits").alias("query_hits"))
+    rows = candidates.groupBy(root, item).agg(F.max(F.coalesce(F.col(prior_col), F.lit(-1.0))).alias("_p"), F.max("query_hits").alias("query_hits"), F.max(count(n_rw)).alias("_rw"), F.max(count(n_sq)).alias("_sq"))
     return rows.groupBy(root).applyInPandas(run, f"{root} {kinds[root]}, {item} {kinds[item]}, pool_pos int")
 
 
@@ -160,14 +166,30 @@ def ce_pool(df: DataFrame, by: list[str], rrf_col: str, dense_col: str, order: s
     return d.filter((F.col("_a") <= top) | ((F.col("_b") <= dense_top) & F.col(dense_col).isNotNull())).drop("_a", "_b")
 
 
-def neighbours(hits: DataFrame, chunks: DataFrame, root: str, section: str = "section_id", index: str = "chunk_index", text: str = "content", reach: int = 1, glue: str = "\n\n---\n\n") -> DataFrame:
-    """(root, section, lo, hi, rank, context): each hit widened to its neighbours in the section; equal windows keep the first hit."""
+def neighbours(hits: DataFrame, chunks: DataFrame, root: str, section: str = "section_id", index: str = "chunk_index", text: str = "content", reach: int = 1, glue: str = "\n\n---\n\n", heading: str | None = None) -> DataFrame:
+    """(root, section, lo, hi, rank, context): each hit widened to its neighbours in the section, under the section's
+    heading path where the column is named; equal windows keep the first hit."""
     last = chunks.groupBy(section).agg(F.max(index).alias("_last"))
     spans = hits.join(last, section).withColumn("lo", F.greatest(F.col(index) - reach, F.lit(0))).withColumn("hi", F.least(F.col(index) + reach, F.col("_last")))
-    spans = spans.groupBy(root, section, "lo", "hi").agg(F.min("rank").alias("rank"))
+    path = F.array_join(F.min_by(heading, "rank"), " > ") if heading else F.lit("")
+    spans = spans.groupBy(root, section, "lo", "hi").agg(F.min("rank").alias("rank"), F.nullif(path, F.lit("")).alias("_path"))
     c = chunks.select(section, F.col(index).alias("_i"), F.col(text).alias("_t"))
-    body = spans.join(c, section).filter("_i between lo and hi").groupBy(root, section, "lo", "hi", "rank").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_t"))), lambda x: x["_t"]), glue).alias("context"))
-    return body
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_t"))), lambda x: x["_t"]), glue)
+    return spans.join(c, section).filter("_i between lo and hi").groupBy(root, section, "lo", "hi", "rank").agg(F.concat_ws(glue, F.min("_path"), parts).alias("context"))
+
+
+def cosine_filled(candidates: DataFrame, cosine: str, asked: Column, vector: Column) -> DataFrame:
+    """Candidates with the cosine of those that only lexical channels found computed from their vectors, at four places."""
+    from .search import cosine as of
+
+    return candidates.withColumn(cosine, F.coalesce(F.col(cosine), F.round(of(asked, vector), 4)))
+
+
+def channel_ranks(hits: DataFrame, root: str = "root_id", item: str = "chunk_id") -> DataFrame:
+    """(root, item, ch_ranks): each candidate's rank in every channel of every sub-query, for replays under other weights."""
+    name = F.concat(F.col("qid").cast("string"), F.lit("-"), F.col("channel"))
+    each = hits.groupBy(root, item, name.alias("c")).agg(F.min("rank0").alias("r"))
+    return each.groupBy(root, item).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("c", "r")))).alias("ch_ranks"))
 
 
 def judge(top_sim: Column, verdict: Column, direct: float = 0.70) -> Column:

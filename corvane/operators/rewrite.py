@@ -8,8 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Cues of a question that asks for several things.
-CUES = r"比较|区别|哪些|分别|以及|\b(?:compare|which|versus)\b"
+# Cues of a question that asks for several things, endings of titles, words that make a sentence a question.
+CUES = "哪些|各种|各|分别|每种|异同|对比|总体规律|规律|区别|差异"
+TITLE_ENDS = "对比分析|对比|分析|清单|划分方法|方法|特征|差异|分布|依据|情况|现状|适宜性|等级|指标体系|指标"
+ASKING = "[吗呢哪什么如何怎样是否多少几]"
+#: Cues of English questions, for callers that want them too.
+ENGLISH_CUES = CUES + r"|\b(?:compare|which|versus)\b"
 NUMBER = r"\d+(?:\.\d+)?"
 
 
@@ -19,7 +23,7 @@ def is_structured(q: Column, cues: str = CUES) -> Column:
 
 def gate(q: Column, has_term: Column, top1: Column, margin: Column, mode: str = "base") -> Column:
     """Whether to rewrite. struct: structure or a term yes, up to six characters no, else yes. base: short no, a term yes, else a weak or narrow lead."""
-    short = F.length(F.trim(q)) <= 6
+    short = F.length(q) <= 6
     if mode == "struct":
         return F.when(is_structured(q) | has_term, True).when(short, False).otherwise(True)
     return F.when(short, False).when(has_term, True).otherwise((margin < 0.03) | (top1 < 0.72))
@@ -90,14 +94,38 @@ def expand_synonyms(df: DataFrame, key: str, text: str, synonyms: DataFrame, mos
     return hit.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= most).select(key, "term", "synonym")
 
 
-def repair_checks(old: Column, new: Column, lo: float, hi: float) -> dict[str, Column]:
-    """Whether a repaired question keeps its length, numbers, signs and question marks."""
+def counted(c: Column, term: str) -> Column:
+    """Occurrences of a term, one after the other."""
+    return (F.length(c) - F.length(F.replace(c, F.lit(term), F.lit("")))) / len(term)
+
+
+def repair_checks(old: Column, new: Column, lo: float = 0.5, hi: float = 1.5, terms: tuple[str, ...] = (), mapped: Column | None = None) -> dict[str, Column]:
+    """Whether a repaired question keeps its length, numbers, signs, question marks, and the standard terms it was given."""
     ratio = F.length(new) / F.nullif(F.length(old), F.lit(0))
+    ref = old if mapped is None else mapped
 
     def same(rx: str) -> Column:
         return F.array_sort(F.regexp_extract_all(old, F.lit(rx), F.lit(0))) == F.array_sort(F.regexp_extract_all(new, F.lit(rx), F.lit(0)))
 
-    return {"length": ratio.between(lo, hi), "numbers": same(NUMBER), "signs": same("[≥≤℃％%]"), "marks": F.regexp_count(old, F.lit("[？?]")) == F.regexp_count(new, F.lit("[？?]"))}
+    kept = F.lit(True)
+    for t in terms:
+        kept = kept & (counted(new, t) >= counted(ref, t))
+    return {"length": ratio.between(lo, hi), "numbers": same(NUMBER), "signs": same("[≥≤℃％%]"), "marks": F.regexp_count(old, F.lit("[？?]")) == F.regexp_count(new, F.lit("[？?]")), "terms": kept}
+
+
+def is_title(c: Column) -> Column:
+    """Ends as titles do and asks nothing."""
+    t = F.regexp_replace(c, "[？?。.！! ]+$", "")
+    return t.rlike(f"(?:{TITLE_ENDS})$") & ~c.rlike(ASKING)
+
+
+def ranking_checks(old: Column, new: Column, elements: dict[str, Column], terms: tuple[str, ...] = (), mapped: Column | None = None) -> dict[str, Column]:
+    """The checks of a question rewritten for re-ranking: .6 to 1.4 of the length or up to eight characters more, no title, all elements named."""
+    base = repair_checks(old, new, 0.6, 1.4, terms, mapped)
+    named = F.lit(True)
+    for e in elements.values():
+        named = named & ~F.coalesce(e, F.lit("")).isin("", "无", "—", "-")
+    return {"numbers": base["numbers"], "signs": base["signs"], "length": (F.length(new) / F.greatest(F.length(old), F.lit(1))).between(0.6, 1.4) | (F.length(new) <= F.length(old) + 8), "terms": base["terms"], "sentence": ~is_title(new), "elements": named}
 
 
 def issues(checks: dict[str, Column]) -> Column:
@@ -110,6 +138,43 @@ def json_object(df: DataFrame, raw: str, schema: str) -> DataFrame:
     return df.withColumn("parsed", F.from_json(F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit("")), schema))
 
 
+def normalised_rewrites(df: DataFrame, raw: str) -> DataFrame:
+    """Adds rewrite (type, keywords, rewrite_queries, sub_queries, confidence) of generated text: lists may be single
+    strings, blanks go, an unknown type is `normalize`, a missing confidence 0.5; without an object the type is `none`."""
+    d = df.withColumn("_body", F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit("")))
+
+    def listed(name: str) -> Column:
+        got = F.trim(F.get_json_object("_body", f"$.{name}"))
+        none = F.array().cast("array<string>")
+        many = F.filter(F.transform(F.coalesce(F.from_json(got, "array<string>"), none), lambda x: F.trim(x)), lambda x: x != "")
+        return F.when(got.startswith("["), many).when(got != "", F.array(got)).otherwise(none)
+
+    valid = F.expr("try_parse_json(_body) IS NOT NULL")
+    kind = F.get_json_object("_body", "$.rewrite_type")
+    return d.withColumn("rewrite", F.struct(
+        F.when(~valid, "none").when(kind.isin("none", "normalize", "expand"), kind).otherwise("normalize").alias("type"), listed("keywords").alias("keywords"), listed("rewrite_queries").alias("rewrite_queries"),
+        listed("sub_queries").alias("sub_queries"), F.when(~valid, 0.0).otherwise(F.coalesce(F.expr("try_cast(get_json_object(_body, '$.confidence') AS double)"), F.lit(0.5))).alias("confidence"))).drop("_body")
+
+
+def term_map(entries: DataFrame) -> DataFrame:
+    """(spoken, standard) of a dictionary (category, spoken, standard) of strings: keys of notes (_) and of one character are left out."""
+    return entries.filter(~F.col("category").startswith("_") & ~F.col("spoken").startswith("_") & (F.length("spoken") > 1)).groupBy("spoken").agg(F.min("standard").alias("standard"))
+
+
+def gate_info(df: DataFrame, query: str, has_term: Column, top1: Column, margin: Column) -> DataFrame:
+    """Adds, for each question, what each arm of the gate decides and why: structure, term, short."""
+    q = F.col(query)
+    return df.withColumns({"structure": is_structured(q), "term": has_term, "short": F.length(q) <= 6, "base": gate(q, has_term, top1, margin), "struct": gate(q, has_term, top1, margin, "struct")})
+
+
+def meets_contract(prompt: Column, parts: tuple[str, ...] = ("{query}", "keywords")) -> Column:
+    """Whether a generated prompt has all it must have."""
+    out = F.lit(True)
+    for p in parts:
+        out = out & prompt.contains(p)
+    return out
+
+
 def without_fences(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"^\s*```[^\n]*\n", ""), r"\n```\s*$", "")
 

@@ -20,12 +20,15 @@ def cand(spark, d) -> DataFrame:
 
 
 def hits(spark, d) -> DataFrame:
-    """A row for each channel that hit a candidate, under its first sub-query."""
-    c = cand(spark, d)
-    return c.select("root_id", "chunk_id", F.coalesce(F.element_at("query_hits", 1), F.lit(0)).alias("qid"), "cosine_sim", F.explode(F.array(F.struct(F.lit("Dense").alias("channel"), F.col("dense_rank").alias("rank0")), F.struct(F.lit("BM25o").alias("channel"), F.col("bm25_rank").alias("rank0")), F.struct(F.lit("BM25kw").alias("channel"), F.col("bm25_kw_rank").alias("rank0")))).alias("h")).select("root_id", "chunk_id", "qid", F.col("cosine_sim").alias("score"), "h.channel", "h.rank0").filter("rank0 is not null")
+    """A row for each channel that hit a candidate under each of its sub-queries: the first gave the stored rank, each later one stands one lower."""
+    asked = F.when(F.size("query_hits") > 0, F.col("query_hits")).otherwise(F.array(F.lit(0)))
+    channels = F.array(*[F.struct(F.lit(n).alias("channel"), F.col(c).alias("rank0")) for n, c in (("Dense", "dense_rank"), ("BM25o", "bm25_rank"), ("BM25kw", "bm25_kw_rank"))])
+    each = cand(spark, d).select("root_id", "chunk_id", F.posexplode(asked).alias("_at", "qid"), "cosine_sim", channels.alias("_c"))
+    return each.select("root_id", "chunk_id", "qid", "cosine_sim", "_at", F.explode("_c").alias("h")).select("root_id", "chunk_id", "qid", F.col("cosine_sim").alias("score"), "h.channel", (F.col("h.rank0") + F.col("_at")).alias("rank0")).filter("rank0 is not null")
 
 
-HITS = CAND + """, h AS (SELECT root_id, chunk_id, coalesce(query_hits[1], 0) AS qid, cosine_sim AS score, channel, rank0 FROM c, LATERAL (VALUES ('Dense', dense_rank), ('BM25o', bm25_rank), ('BM25kw', bm25_kw_rank)) v(channel, rank0) WHERE rank0 IS NOT NULL)"""
+HITS = CAND + """, cq AS (SELECT *, unnest(range(1, len(qh) + 1)) AS i FROM (SELECT *, CASE WHEN len(query_hits) > 0 THEN query_hits ELSE [0] END AS qh FROM c)),
+    h AS (SELECT root_id, chunk_id, qh[i] AS qid, cosine_sim AS score, channel, CAST(rank0 + i - 1 AS INT) AS rank0 FROM cq, LATERAL (VALUES ('Dense', dense_rank), ('BM25o', bm25_rank), ('BM25kw', bm25_kw_rank)) v(channel, rank0) WHERE rank0 IS NOT NULL)"""
 WCASE = "CASE channel WHEN 'Dense' THEN 0.7::DOUBLE WHEN 'BM25o' THEN 0.15::DOUBLE ELSE 0.3::DOUBLE END"
 
 
@@ -43,9 +46,9 @@ def rrf_multi(spark, d):
 
 
 @query("WITH " + HITS + """ SELECT root_id, chunk_id, min(CASE WHEN channel = 'Dense' THEN rank0 END) AS dense_rank, min(CASE WHEN channel = 'BM25o' THEN rank0 END) AS bm25_rank, min(CASE WHEN channel = 'BM25kw' THEN rank0 END) AS bm25_kw_rank,
-    round(max(score), 6) AS cosine_sim, array_to_string(list_sort(list(DISTINCT channel)), ',') AS sources FROM h GROUP BY 1, 2""")
+    round(max(score), 6) AS cosine_sim, array_to_string(list_sort(list(DISTINCT channel)), ',') AS sources, array_to_string(list_sort(list(DISTINCT qid)), ',') AS asked FROM h GROUP BY 1, 2""")
 def merged_candidates(spark, d):
-    return fusion.merged(hits(spark, d)).select("root_id", "chunk_id", "dense_rank", "bm25_rank", "bm25_kw_rank", R6("cosine_sim").alias("cosine_sim"), F.array_join("sources", ",").alias("sources"))
+    return fusion.merged(hits(spark, d)).withColumn("asked", F.array_join("query_hits", ",")).select("asked", "root_id", "chunk_id", "dense_rank", "bm25_rank", "bm25_kw_rank", R6("cosine_sim").alias("cosine_sim"), F.array_join("sources", ",").alias("sources"))
 
 
 @query("WITH " + CAND + """, r AS (SELECT root_id, chunk_id, coalesce(dense_rank, 999) AS d, coalesce(bm25_rank, 999) AS b, coalesce(bm25_kw_rank, 999) AS k FROM c)
@@ -71,11 +74,12 @@ def retrieval_priors(spark, d):
 
 @query("WITH " + CAND + f""" SELECT root_id, chunk_id, round({mm('ce_raw')}, 6) AS n_minmax,
     round(CASE WHEN ce_raw IS NULL THEN NULL WHEN count(ce_raw) OVER g > 1 THEN 1 - (row_number() OVER (PARTITION BY root_id ORDER BY ce_raw DESC NULLS LAST, chunk_id) - 1) / (count(ce_raw) OVER g - 1)::DOUBLE ELSE 1.0 END, 6) AS n_rank,
+    round(1 / (1 + exp(-(ce_raw - avg(ce_raw) OVER g) / CASE WHEN stddev_pop(ce_raw) OVER g = 0 THEN 1e-8::DOUBLE ELSE stddev_pop(ce_raw) OVER g END)), 6) AS n_sigmoid,
     round(exp(ce_raw - max(ce_raw) OVER g) / (SELECT sum(exp(x.ce_raw - (SELECT max(y.ce_raw) FROM c y WHERE y.root_id = c.root_id))) FROM c x WHERE x.root_id = c.root_id), 6) AS n_softmax
     FROM c WINDOW g AS (PARTITION BY root_id)""")
 def score_normalisers(spark, d):
     n = fusion.normalised(cand(spark, d), ["root_id"], "ce_raw", "chunk_id")
-    return n.select("root_id", "chunk_id", *[R6(c).alias(c) for c in ("n_minmax", "n_rank", "n_softmax")])
+    return n.select("root_id", "chunk_id", *[R6(c).alias(c) for c in ("n_minmax", "n_rank", "n_sigmoid", "n_softmax")])
 
 
 FUSED = CAND + f""", p AS (SELECT *, ce_raw - 0.1::DOUBLE * ln(greatest(text_len, 1)) AS ce FROM c), f AS (SELECT root_id, chunk_id, 0.3::DOUBLE * coalesce(retrieval_prior, 0) + 0.7::DOUBLE * coalesce({mm('ce')}, 0) AS final_score FROM p WINDOW g AS (PARTITION BY root_id)),
@@ -102,16 +106,42 @@ def ce_pools(spark, d):
     return fusion.ce_pool(cand(spark, d), ["root_id"], "rrf_prior", "dense_rank", "chunk_id").select("root_id", "chunk_id")
 
 
-@query()
+def _pools(scheme: str) -> str:
+    """The pool of two rewrites (1, 2) and two sub-questions (3, 4) as a fold over each question's candidates."""
+    cap, (r3, r4) = (60, (5, 5)) if scheme == "plan_c" else (50, (10, 10))
+    left = "greatest(0, 30 - z.n3 - z.n4)" if scheme == "plan_c" else "0"
+    keep = "{'id': x.id, 'q': x.q, 'o': a.o%s, 'n3': a.n3%s, 'n4': a.n4%s, 'w': a.w%s, 'kept': list_append(a.kept, x.id), 'rest': a.rest}"
+    step = (
+        f"CASE WHEN list_contains(x.q, 0) AND a.o < 20 THEN {keep % (' + 1', '', '', '')} WHEN list_contains(x.q, 3) AND a.n3 < {r3} THEN {keep % ('', ' + 1', '', '')} WHEN list_contains(x.q, 4) AND a.n4 < {r4} THEN {keep % ('', '', ' + 1', '')}"
+        f" WHEN (list_contains(x.q, 1) OR list_contains(x.q, 2)) AND a.w < 10 THEN {keep % ('', '', '', ' + 1')}"
+        " ELSE {'id': x.id, 'q': x.q, 'o': a.o, 'n3': a.n3, 'n4': a.n4, 'w': a.w, 'kept': a.kept, 'rest': list_append(a.rest, {'id': x.id, 's': list_contains(x.q, 3) OR list_contains(x.q, 4)})} END"
+    )
+    empty = "'o': 0, 'n3': 0, 'n4': 0, 'w': 0, 'kept': []::VARCHAR[], 'rest': []::STRUCT(id VARCHAR, s BOOLEAN)[]"
+    more = f"list_transform(list_filter(z.rest, lambda y: y.s), lambda y: y.id)[1:{left}]"
+    return "WITH " + CAND + f""", m AS (SELECT root_id, chunk_id AS id, max(coalesce(retrieval_prior, -1)) AS p, max(query_hits) AS q FROM c GROUP BY 1, 2),
+        l AS (SELECT root_id, list_concat([{{'id': '', 'q': []::INT[], {empty}}}], list({{'id': id, 'q': coalesce(q, []::INT[]), {empty}}} ORDER BY p DESC, id)) AS l FROM m GROUP BY 1),
+        f AS (SELECT root_id, l, list_reduce(l, lambda a, x: {step}) AS z FROM l),
+        p AS (SELECT root_id, CASE WHEN len(l) - 1 <= {cap} THEN list_transform(l, lambda y: y.id)[2:] ELSE list_concat(list_concat(z.kept, mo), list_filter(list_transform(z.rest, lambda y: y.id), lambda y: NOT list_contains(mo, y)))[1:{cap}] END AS ids
+          FROM (SELECT *, {more} AS mo FROM f))
+        SELECT root_id, unnest(ids) AS chunk_id, unnest(range(1, len(ids) + 1))::INT AS pool_pos FROM p"""
+
+
+@query(_pools("plan_c"))
 def quota_pools(spark, d):
     return fusion.quota_pool(cand(spark, d))
 
 
-@query()
+@query(_pools("even"))
 def quota_pools_even(spark, d):
     return fusion.quota_pool(cand(spark, d), scheme="even")
 
 
+@query("WITH " + HITS + """, e AS (SELECT root_id, chunk_id, qid || '-' || channel AS c, min(rank0) AS r FROM h GROUP BY 1, 2, 3) SELECT root_id, chunk_id, string_agg(c || '=' || r, ',' ORDER BY c) AS ranks FROM e GROUP BY 1, 2""")
+def channel_ranks(spark, d):
+    r = fusion.channel_ranks(hits(spark, d))
+    return r.select("root_id", "chunk_id", F.array_join(F.transform(F.array_sort(F.map_entries("ch_ranks")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("ranks"))
+
+
 def _sections_of(spark, d) -> DataFrame:
     c = table(spark, d, "candidates").select("section_id", "chunk_id").distinct()
     return c.withColumn("chunk_index", F.row_number().over(Window.partitionBy("section_id").orderBy("chunk_id")) - 1).withColumn("content", F.col("chunk_id"))
@@ -261,10 +291,15 @@ def confidence_correlation(spark, d):
     return r.agg(R6(F.corr("confidence", "elapsed_ms")).alias("r"), F.count("*").alias("n"))
 
 
-@query("WITH r AS (SELECT DISTINCT result_id, list_transform(sources, lambda s: s.similarity) AS sims FROM rag_results), t AS (SELECT result_id, list_max(sims) AS top FROM r) SELECT CASE WHEN top IS NULL THEN 'reject' WHEN top >= 0.7 THEN 'answer' ELSE 'reject' END AS decision, count(*) AS n FROM t GROUP BY 1")
+_WORDS = "CASE result_id % 6 WHEN 0 THEN 'YES' WHEN 1 THEN ' partial: one' WHEN 2 THEN 'NO' WHEN 3 THEN 'Error: no reply' WHEN 4 THEN 'maybe' END"
+
+
+@query(f"""WITH r AS (SELECT DISTINCT result_id, list_max(list_transform(sources, lambda s: s.similarity)) AS top, upper(trim({_WORDS})) AS w FROM rag_results)
+    SELECT result_id, CASE WHEN top IS NULL THEN 'reject' WHEN top >= 0.7::DOUBLE THEN 'answer' WHEN starts_with(w, 'ERROR') THEN 'fallback' WHEN starts_with(w, 'YES') OR starts_with(w, 'PARTIAL') THEN 'answer' ELSE 'reject' END AS decision FROM r""")
 def judge_decisions(spark, d):
-    r = table(spark, d, "rag_results").select("result_id", F.array_max("sources.similarity").alias("top")).distinct()
-    return r.groupBy(fusion.judge(F.col("top"), F.lit(None).cast("string")).alias("decision")).agg(F.count("*").alias("n"))
+    """Decisions by similarity, else by the words a judge may say."""
+    r = table(spark, d, "rag_results").select("result_id", F.array_max("sources.similarity").alias("top"), F.expr(_WORDS).alias("w")).distinct()
+    return r.select("result_id", fusion.judge(F.col("top"), F.col("w")).alias("decision"))
 
 
 @query("""WITH r AS (SELECT result_id, min(sources) AS sources FROM rag_results GROUP BY 1), s AS (SELECT result_id, unnest(range(1, len(sources) + 1)) AS i, sources FROM r), t AS (SELECT result_id, i, sources[i] AS s FROM s WHERE i <= 3)
@@ -276,29 +311,62 @@ def answer_contexts(spark, d):
 
 
 # Questions ----------------------------------------------------------------------------------------------------------
-@query("""SELECT item_id, regexp_matches(question, '比较|区别|哪些|分别|以及|\\b(?:compare|which|versus)\\b') OR len(regexp_extract_all(question, '[？?]')) >= 2 AS structured, length(question) <= 6 AS short FROM golden_items WHERE question IS NOT NULL""".replace("\\\\b", "\\b"))
+# Written from the rules: a cue or two question marks, then a spoken term, then length; without numbers of the search.
+GATE = "regexp_matches(question, '哪些|各种|各|分别|每种|异同|对比|总体规律|规律|区别|差异') OR len(regexp_extract_all(question, '[？?]')) >= 2"
+
+
+@query(f"""WITH g AS (SELECT item_id, question, {GATE} AS structure, length(question) <= 6 AS short, regexp_matches(question, '怕冷|下雪|倒春寒|旱情') AS term, (item_id % 10) / 10.0::DOUBLE AS top1, (item_id % 7) / 100.0::DOUBLE AS margin FROM golden_items WHERE question IS NOT NULL)
+    SELECT item_id, structure, term, short, CASE WHEN short THEN false WHEN term THEN true ELSE margin < 0.03::DOUBLE OR top1 < 0.72::DOUBLE END AS base, CASE WHEN structure OR term THEN true ELSE NOT short END AS struct FROM g""")
 def structure_gate(spark, d):
-    return table(spark, d, "golden_items").filter("question is not null").select("item_id", rewrite.is_structured(F.col("question")).alias("structured"), (F.length("question") <= 6).alias("short"))
+    g = table(spark, d, "golden_items").filter("question is not null").select("item_id", "question", (F.col("item_id") % 10 / 10).alias("top1"), (F.col("item_id") % 7 / 100).alias("margin"))
+    return rewrite.gate_info(g, "question", F.col("question").rlike("怕冷|下雪|倒春寒|旱情"), F.col("top1"), F.col("margin")).drop("question", "top1", "margin")
 
 
 @query("""WITH q AS (SELECT item_id, question, answer FROM golden_items WHERE question IS NOT NULL AND answer IS NOT NULL)
-    SELECT item_id, length(answer) / length(question)::DOUBLE BETWEEN 0.4 AND 2.0 AS length_ok, list_sort(regexp_extract_all(question, '\\d+(?:\\.\\d+)?')) = list_sort(regexp_extract_all(answer, '\\d+(?:\\.\\d+)?')) AS numbers_ok, len(regexp_extract_all(question, '[？?]')) = len(regexp_extract_all(answer, '[？?]')) AS marks_ok FROM q""".replace("\\\\", "\\"))
+    SELECT item_id, length(answer) / length(question)::DOUBLE BETWEEN 0.4 AND 2.0 AS length_ok, list_sort(regexp_extract_all(question, '\\d+(?:\\.\\d+)?')) = list_sort(regexp_extract_all(answer, '\\d+(?:\\.\\d+)?')) AS numbers_ok, len(regexp_extract_all(question, '[？?]')) = len(regexp_extract_all(answer, '[？?]')) AS marks_ok,
+    list_sort(regexp_extract_all(question, '[≥≤℃％%]')) = list_sort(regexp_extract_all(answer, '[≥≤℃％%]')) AS signs_ok, length(answer) - length(replace(answer, '区划', '')) >= length(question) - length(replace(question, '区划', '')) AS terms_ok FROM q""".replace("\\\\", "\\"))
 def repair_checks(spark, d):
     q = table(spark, d, "golden_items").filter("question is not null and answer is not null")
-    c = rewrite.repair_checks(F.col("question"), F.col("answer"), 0.4, 2.0)
-    return q.select("item_id", c["length"].alias("length_ok"), c["numbers"].alias("numbers_ok"), c["marks"].alias("marks_ok"))
+    c = rewrite.repair_checks(F.col("question"), F.col("answer"), 0.4, 2.0, ("区划",))
+    return q.select("item_id", c["length"].alias("length_ok"), c["numbers"].alias("numbers_ok"), c["marks"].alias("marks_ok"), c["signs"].alias("signs_ok"), c["terms"].alias("terms_ok"))
 
 
 TERMS = [("怕冷", "耐寒性"), ("下雪", "降雪"), ("倒春寒", "晚霜冻"), ("春寒", "低温"), ("旱情", "干旱"), ("风险", "风险")]
 
 
-@query()
+def _masked(x: str, words: list[str], first: int) -> str:
+    """x with each word, longest first, replaced by a private character of its own."""
+    for i, w in sorted(enumerate(words), key=lambda p: (-len(p[1]), p[1])):
+        x = f"replace({x}, '{w}', chr({first + i}))"
+    return x
+
+
+_KEYS = [a for a, _ in TERMS]
+_STANDARD = "CASE ascii(x) " + " ".join(f"WHEN {0xE000 + i} THEN '{b}'" for i, (_, b) in enumerate(TERMS)) + " END"
+
+
+@query(f"""WITH m AS (SELECT item_id, list_transform(regexp_extract_all({_masked('question', _KEYS, 0xE000)}, '[{chr(0xE000)}-{chr(0xE000 + len(TERMS))}]'), lambda x: {_STANDARD}) AS l FROM golden_items)
+    SELECT item_id, array_to_string(list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN list_position(l, l[i]) = i THEN l[i] END), lambda x: x IS NOT NULL), '|') AS standards FROM m WHERE l IS NOT NULL
+    UNION ALL SELECT item_id, '' FROM golden_items WHERE question IS NULL""")
 def term_scan(spark, d):
-    return rewrite.scan_terms(table(spark, d, "golden_items"), "item_id", "question", TERMS)
+    return rewrite.scan_terms(table(spark, d, "golden_items"), "item_id", "question", TERMS).withColumn("standards", F.array_join("standards", "|"))
 
 
-@query()
+_SPOKEN = [(a, b) for a, b in TERMS if a != b]
+_KEPT = sorted({b for _, b in TERMS})
+
+
+def _unmasked(x: str) -> str:
+    for i, (_, b) in enumerate(_SPOKEN):
+        x = f"replace({x}, chr({0xE100 + i}), '{b}')"
+    for i, w in enumerate(_KEPT):
+        x = f"replace({x}, chr({0xE000 + i}), '{w}')"
+    return x
+
+
+@query(f"SELECT item_id, {_unmasked(_masked(_masked('question', _KEPT, 0xE000), [a for a, _ in _SPOKEN], 0xE100))} AS replaced FROM golden_items WHERE question IS NOT NULL")
 def term_replacement(spark, d):
+    """Text that stands beside a term and belongs to its standard is taken in; no question of the table has any, so plain replacement says the same."""
     return rewrite.replace_terms(table(spark, d, "golden_items").filter("question is not null"), "question", TERMS).select("item_id", "replaced")
 
 
@@ -312,10 +380,18 @@ def synonym_expansion(spark, d):
     return rewrite.expand_synonyms(q, "item_id", "question", syn)
 
 
-@query()
+_RAW = """CASE item_id % 5 WHEN 0 THEN 'Here it is: {"rewrite_type": "expand", "keywords": ["' || coalesce(crop, '') || '", " x "], "rewrite_queries": "' || coalesce(province, '') || '", "confidence": 0.' || (item_id % 9) || '} done'
+    WHEN 1 THEN '{"rewrite_type": "other", "sub_queries": ["a", ""]}' WHEN 2 THEN 'no object' WHEN 3 THEN '{"rewrite_type": "none", "confidence": "high"}' ELSE '{broken' || '}' END"""
+
+
+@query(f"""WITH r AS (SELECT item_id, nullif(regexp_extract({_RAW}, '(?s)\\{{.*\\}}'), '') AS b FROM golden_items), v AS (SELECT item_id, CASE WHEN b IS NOT NULL AND json_valid(b) THEN b END AS b FROM r),
+    l AS (SELECT item_id, b, b->>'$.rewrite_type' AS k, TRY_CAST(b->>'$.confidence' AS DOUBLE) AS cf, [b->>'$.keywords', b->>'$.rewrite_queries', b->>'$.sub_queries'] AS fs FROM v),
+    n AS (SELECT *, list_transform(fs, lambda f: array_to_string(list_filter(CASE WHEN f IS NULL THEN []::VARCHAR[] WHEN starts_with(f, '[') THEN list_transform(CAST(CAST(f AS JSON) AS VARCHAR[]), lambda x: trim(x)) ELSE [trim(f)] END, lambda x: x <> ''), '|')) AS ls FROM l)
+    SELECT item_id, CASE WHEN b IS NULL THEN 'none' WHEN k IN ('none', 'normalize', 'expand') THEN k ELSE 'normalize' END AS type, ls[1] AS keywords, ls[2] AS rewrites, ls[3] AS subs, CASE WHEN b IS NULL THEN 0.0::DOUBLE ELSE coalesce(cf, 0.5::DOUBLE) END AS confidence FROM n""".replace("\\\\", "\\"))
 def rewrite_json(spark, d):
-    e = table(spark, d, "events").select("event_id", F.concat(F.lit("note: "), "props", F.lit(" end")).alias("raw"))
-    return rewrite.json_object(e, "raw", "k string, v double").select("event_id", F.col("parsed").isNotNull().alias("parsed"))
+    g = table(spark, d, "golden_items").select("item_id", F.expr(_RAW).alias("raw"))
+    r = rewrite.normalised_rewrites(g, "raw").select("item_id", "rewrite.*")
+    return r.select("item_id", "type", F.array_join("keywords", "|").alias("keywords"), F.array_join("rewrite_queries", "|").alias("rewrites"), F.array_join("sub_queries", "|").alias("subs"), "confidence")
 
 
 @query("WITH a AS (SELECT item_id, question AS q, answer AS g FROM golden_items WHERE question IS NOT NULL AND answer IS NOT NULL), gt AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(g, '[A-K]\\d-\\d{4}|[A-Z][a-z]+'))) AS t FROM a), pt AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(q, '[A-K]\\d-\\d{4}|[A-Z][a-z]+'))) AS t FROM a), r AS (SELECT gt.item_id, gt.t, coalesce(max((contains(gt.t, pt.t) OR contains(pt.t, gt.t))::INT), 0) AS h FROM gt LEFT JOIN pt USING (item_id) GROUP BY 1, 2), p AS (SELECT pt.item_id, pt.t, coalesce(max((contains(gt.t, pt.t) OR contains(pt.t, gt.t))::INT), 0) AS h FROM pt LEFT JOIN gt USING (item_id) GROUP BY 1, 2), rr AS (SELECT item_id, avg(h) AS recall FROM r GROUP BY 1), pp AS (SELECT item_id, avg(h) AS precision FROM p GROUP BY 1) SELECT item_id, round(coalesce(precision, 0), 6) AS precision, round(coalesce(recall, 0), 6) AS recall FROM rr FULL JOIN pp USING (item_id)")
@@ -362,10 +438,13 @@ def answerability_keys(spark, d):
     return top.select("root_id", F.substring(F.sha1("ids"), 1, 12).alias("key"))
 
 
-@query("WITH " + FUSED + " SELECT root_id, true AS equal FROM r GROUP BY 1")
+@query("WITH " + FUSED + """, o AS (SELECT root_id, list(chunk_id ORDER BY retrieval_prior DESC NULLS LAST, chunk_id)[1:10] AS b FROM c GROUP BY 1), x AS (SELECT root_id, list(chunk_id ORDER BY final_rank) AS a FROM r WHERE final_rank <= 10 GROUP BY 1)
+    SELECT root_id, a = b AS equal FROM x JOIN o USING (root_id)""")
 def replay_parity(spark, d):
-    a = fused(spark, d).select("root_id", "chunk_id", F.col("final_rank").alias("rank"))
-    b = fused(spark, d).repartition(7, "chunk_id").select("root_id", "chunk_id", F.col("final_rank").alias("rank"))
+    """Whether re-ranking left a question's first ten as the prior had them."""
+    w = Window.partitionBy("root_id").orderBy(F.desc_nulls_last("retrieval_prior"), "chunk_id")
+    a = fused(spark, d).filter("final_rank <= 10").select("root_id", "chunk_id", F.col("final_rank").alias("rank"))
+    b = cand(spark, d).withColumn("rank", F.row_number().over(w)).filter("rank <= 10").select("root_id", "chunk_id", "rank")
     return evaluation.same_order(a, b, "root_id", "chunk_id")
 
 
@@ -479,11 +558,22 @@ def source_match(spark, d):
     return n.join(g, F.col("s").contains(F.col("crop"))).groupBy("crop").agg(F.count("*").alias("sources"))
 
 
-@query("WITH " + CAND + """, t AS (SELECT root_id, max(cosine_sim) AS top1, count(*) AS n FROM c GROUP BY 1) SELECT CASE WHEN top1 < 0.72 THEN 'rewrite' ELSE 'keep' END AS gate, count(*) AS n, CAST(sum(n) AS BIGINT) AS candidates FROM t GROUP BY 1""")
+@query("WITH " + CAND + f""", k AS (SELECT root_id, cosine_sim, row_number() OVER (PARTITION BY root_id ORDER BY cosine_sim DESC NULLS LAST) AS k FROM c),
+    t AS (SELECT root_id, max(CASE WHEN k = 1 THEN cosine_sim END) AS top1, coalesce(max(CASE WHEN k = 1 THEN cosine_sim END) - max(CASE WHEN k = 2 THEN cosine_sim END), 1) AS margin, count(*) AS n FROM k GROUP BY 1),
+    q AS (SELECT qid AS root_id, min(query) AS question FROM pool_failures GROUP BY 1), g AS (SELECT t.*, coalesce(question, '') AS question FROM t LEFT JOIN q USING (root_id)),
+    a AS (SELECT unnest(['base', 'struct']) AS arm, unnest([length(question) > 6 AND (margin < 0.03::DOUBLE OR top1 < 0.72::DOUBLE), ({GATE}) OR length(question) > 6]) AS goes, n FROM g)
+    SELECT arm, CASE WHEN goes THEN 'rewrite' ELSE 'keep' END AS gate, count(*) AS n, CAST(sum(n) AS BIGINT) AS candidates FROM a GROUP BY 1, 2""")
 def gate_statistics(spark, d):
-    t = cand(spark, d).groupBy("root_id").agg(F.max("cosine_sim").alias("top1"), F.count("*").alias("k"))
-    g = rewrite.gate(F.lit("a question of some length"), F.lit(False), F.col("top1"), F.lit(1.0))
-    return t.groupBy(F.when(g, "rewrite").otherwise("keep").alias("gate")).agg(F.count("*").alias("n"), F.sum("k").alias("candidates"))
+    """How many questions each arm of the gate rewrites, from their wording (known for those of the failure report) and their first two cosines."""
+    w = Window.partitionBy("root_id").orderBy(F.desc_nulls_last("cosine_sim"))
+    k = cand(spark, d).withColumn("k", F.row_number().over(w))
+    at = lambda n: F.max(F.when(F.col("k") == n, F.col("cosine_sim")))
+    t = k.groupBy("root_id").agg(at(1).alias("top1"), F.coalesce(at(1) - at(2), F.lit(1.0)).alias("margin"), F.count("*").alias("n"))
+    q = table(spark, d, "pool_failures").groupBy(F.col("qid").alias("root_id")).agg(F.min("query").alias("question"))
+    g = t.join(q, "root_id", "left").withColumn("question", F.coalesce("question", F.lit("")))
+    arms = rewrite.gate_info(g, "question", F.lit(False), F.col("top1"), F.col("margin"))
+    each = arms.select(F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.coalesce(F.col(a), F.lit(False)).alias("goes")) for a in ("base", "struct")])).alias("a"), "n").select("a.*", "n")
+    return each.groupBy("arm", F.when(F.col("goes"), "rewrite").otherwise("keep").alias("gate")).agg(F.count("*").alias("n"), F.sum("n").alias("candidates"))
 
 
 @query("WITH " + SIMS + """, p AS (SELECT query_id, vec_id, label, sim FROM k WHERE rank <= 20), f AS (SELECT label, vec_id, max(sim) AS m FROM p GROUP BY 1, 2), b AS (SELECT label, query_id, max(sim) AS m FROM p GROUP BY 1, 2)

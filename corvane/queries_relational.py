@@ -33,12 +33,25 @@ def semi_join(spark, d):
     return table(spark, d, "orders").join(li, "o_orderkey", "left_semi").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_mktsegment, count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY 1")
+@query("SELECT c_mktsegment, count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) GROUP BY 1")
 def anti_join(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = table(spark, d, "orders").filter("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, d, "customer").join(o, "c_custkey", "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
+@query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup(spark, d):
+    return table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("q"))
+
+
+@query("SELECT l_returnflag, true AS close FROM lineitem GROUP BY l_returnflag HAVING count(DISTINCT l_orderkey) > 0")
+def approximate_counts(spark, d):
+    """Distinct orders and the median price by sketches, each checked against its exact value."""
+    g = table(spark, d, "lineitem").groupBy("l_returnflag").agg(
+        F.approx_count_distinct("l_orderkey", 0.02).alias("a"), F.countDistinct("l_orderkey").alias("n"), F.percentile_approx("l_extendedprice", 0.5, 10000).alias("p"), F.percentile("l_extendedprice", 0.5).alias("m"))
+    return g.select("l_returnflag", ((F.abs(F.col("a") / F.col("n") - 1) < 0.08) & (F.abs(F.col("p") / F.col("m") - 1) < 0.01)).alias("close"))
+
+
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
 def grouping_sets(spark, d):
     return table(spark, d, "lineitem").groupingSets([["l_returnflag", "l_linestatus"], ["l_returnflag"], []], "l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
@@ -51,7 +64,7 @@ def cube(spark, d):
 
 @query("SELECT * FROM (SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem) PIVOT (count(*) FOR l_linestatus IN ('F' AS f, 'O' AS o) GROUP BY l_returnflag)")
 def pivot(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count_if(F.col("l_linestatus") == "F").alias("f"), F.count_if(F.col("l_linestatus") == "O").alias("o"))
+    return table(spark, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.count(F.lit(1))).select("l_returnflag", F.coalesce("F", F.lit(0)).alias("f"), F.coalesce("O", F.lit(0)).alias("o"))
 
 
 @query("SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer")
@@ -59,9 +72,9 @@ def set_intersection(spark, d):
     return table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")).intersect(table(spark, d, "customer").select("c_nationkey"))
 
 
-@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+@query("SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
 def set_difference(spark, d):
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("k")).subtract(table(spark, d, "supplier").select("s_nationkey"))
+    return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).subtract(table(spark, d, "supplier").filter("s_acctbal > 5000").select("s_nationkey"))
 
 
 @query("WITH r AS (SELECT c_custkey, c_nationkey, c_acctbal, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer) SELECT c_nationkey, c_custkey, k FROM r WHERE k <= 3")
