@@ -503,10 +503,19 @@ def final_answers(spark, d):
     return r.select("result_id", diagnosis.answer_or_reason(F.col("decision"), F.col("answer"), F.lit(None).cast("string")).alias("said"))
 
 
+def _questions(spark, d) -> DataFrame:
+    """Held-out questions with a rewrite (place and crop before the question), sub-questions (its clauses) and keywords."""
+    g = table(spark, d, "golden_items").filter("question is not null")
+    clauses = F.filter(F.split("question", "[，,；;]"), lambda x: F.length(F.trim(x)) >= 6)
+    said = F.array_compact(F.array("province", "crop"))
+    return g.select(F.col("item_id").cast("string").alias("root_id"), F.col("question").alias("q"), F.when(F.size(said) == 2, F.array(F.concat_ws(" ", F.array_join(said, " "), F.col("question")))).alias("rewrites"),
+                    F.when(F.size(clauses) > 1, clauses).alias("subs"), said.alias("keywords"))
+
+
 @query()
 def retrieval_pipeline(spark, d):
-    """Chunks of all documents, both channels, fusion and decision for every held-out question."""
-    return pipeline.answer(pipeline.index(table(spark, d, "documents"), "doc_id", "text"), table(spark, d, "golden_items"), "item_id", "question").select("root_id", "section_id", "lo", "hi", "rank", "decision")
+    """Chunks of all documents, all channels of each held-out question and its sub-queries, fusion, pool and decision."""
+    return pipeline.answer(pipeline.index(table(spark, d, "documents"), "doc_id", "text"), _questions(spark, d)).select("root_id", "section_id", "lo", "hi", "rank", "decision")
 
 
 @query("SELECT result_id, confidence, CAST(ntile(8) OVER (ORDER BY result_id) AS INT) AS part FROM (SELECT DISTINCT result_id, confidence FROM rag_results WHERE confidence IS NOT NULL)")

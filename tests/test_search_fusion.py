@@ -141,6 +141,86 @@ def test_note_goes_before_the_last_mark(spark):
     assert [r[0] for r in d.select(rewrite.with_structure_note(F.col("p"), "[n]", "Q:")).collect()] == ["a Q: b [n]Q: c", "none[n]"]
 
 
+QUESTIONS = "root_id string, q string, rewrites array<string>, subs array<string>, keywords array<string>"
+
+
+def small_index(spark):
+    words = ["霜冻指标分级", "干旱风险等级", "冬小麦种植区划", "土壤水分测定", "降水日数统计", "积温带划分"]
+    docs = spark.createDataFrame([(i, words[i % 6] + f"第{i}号" + words[(i * 7 + i // 6) % 6] + "。" + "甲乙丙丁"[i % 4] * (i % 9)) for i in range(90)], "doc_id long, text string")
+    return pipeline.index(docs, "doc_id", "text")
+
+
+def test_channels_of_all_sub_queries(spark):
+    indexed = small_index(spark)
+    rows = [("a", "霜冻指标怎么分级", ["冬小麦霜冻指标分级"], ["霜冻指标", " ", "冬小麦区划"], ["干旱"]), ("b", "土壤水分怎么测定", None, None, ["降水"]), ("c", "积温带", [], None, None), ("d", None, None, None, None)]
+    q = spark.createDataFrame(rows, QUESTIONS)
+    subs = {(r.root_id, r.qid): (r.kind, r.q) for r in pipeline.sub_queries(q.filter("q is not null")).collect()}
+    assert subs == {("a", 0): ("Original", rows[0][1]), ("a", 1): ("Rewrite", "冬小麦霜冻指标分级"), ("a", 2): ("SubQ", "霜冻指标"), ("a", 3): ("SubQ", "冬小麦区划"), ("b", 0): ("Original", rows[1][1]), ("c", 0): ("Original", "积温带")}
+    kw = spark.createDataFrame([("a", "干旱")], "root_id string, q string")
+    hits = pipeline.channel_hits(indexed, pipeline.sub_queries(q.filter("q is not null")), kw)
+    depth = {(r.root_id, r.qid, r.channel): (r.n, r.last) for r in hits.groupBy("root_id", "qid", "channel").agg(F.count("*").alias("n"), F.max("rank0").alias("last")).collect()}
+    assert depth[("a", 0, "Dense")] == (30, 29) and depth[("a", 0, "BM25o")] == (20, 19) and depth[("a", 0, "BM25kw")] == (20, 19)
+    assert depth[("a", 1, "Dense")] == depth[("a", 3, "Dense")] == (20, 19) and depth[("a", 2, "BM25o")] == (10, 9) and ("b", 0, "BM25kw") not in depth
+    seen = []
+
+    def scorer(pairs):
+        assert all(len(t) <= pipeline.PAIR_CHARS for _, t in pairs)
+        return [1.0 if "霜冻" in t and "霜冻" in p else 0.5 if p.startswith("冬小麦") else 0.0 for p, t in pairs]
+
+    judged, merged = pipeline.search_many(indexed, q, scorer)
+    j, m = ({k: [r for r in d.collect() if r.root_id == k] for k in "abcd"} for d in (judged, merged))
+    assert [len(j[k]) for k in "abcd"] == [len(m[k]) for k in "abcd"] == [5, 5, 5, 0] and not seen
+    # Only the question with sub-queries is re-ranked by its rewrite; it and the keywords of the others change the outcome.
+    assert all("霜冻" in r.content for r in m["a"] if r.final_rank <= 3)
+    assert {r.chunk_id for r in j["c"]} == {r.chunk_id for r in m["c"]}
+    plain_kw = pipeline.search_many(indexed, spark.createDataFrame([("b", "土壤水分怎么测定 降水", None, None, None)], QUESTIONS))[0]
+    assert {r.chunk_id for r in plain_kw.collect()} & {r.chunk_id for r in m["b"]}
+
+
+def test_several_is_what_its_parts_say(spark):
+    indexed = small_index(spark)
+    q = spark.createDataFrame([("a", "霜冻指标怎么分级", ["冬小麦霜冻指标分级"], ["霜冻指标", "冬小麦区划"], None)], QUESTIONS)
+    subs = pipeline.sub_queries(q)
+    hits = pipeline.channel_hits(indexed, subs, None)
+    rows = [r.asDict() for r in hits.collect()]
+    weight = {"Dense": .7, "BM25o": .15}
+    prior, asked = {}, {}
+    for c in {r["chunk_id"] for r in rows}:
+        best = {}
+        for r in rows:
+            if r["chunk_id"] == c:
+                best.setdefault(r["qid"], []).append((weight[r["channel"]], r["rank0"]))
+        prior[c] = max(sum(w / (60 + k) for w, k in v) / sum(w for w, _ in v) for v in best.values())
+        asked[c] = set(best)
+    evidence = {c: .004 if len(s) >= 3 else .002 if len(s) == 2 else 0 for c, s in asked.items()}
+    mm = lambda d: {c: (v - min(d.values())) / ((max(d.values()) - min(d.values())) or 1e-8) for c, v in d.items()}
+    p, e = mm(prior), mm(evidence)
+    order = sorted(prior, key=lambda c: (-round(.7 * p[c] + .3 * e[c], 6), c))
+    pool = [order[i] for i in fusion.pool_order([sorted(asked[c]) for c in order], 1, 2, 60)]
+    vec = {r.chunk_id: r.vec for r in indexed.collect()}
+    v = search.hashed_vector("霜冻指标怎么分级")
+    cos = {c: max([r["score"] for r in rows if r["chunk_id"] == c and r["score"] is not None], default=None) for c in pool}
+    score = {c: .7 * (cos[c] if cos[c] is not None else round(float(np.dot(v, vec[c])), 4)) + .3 * round(.7 * p[c] + .3 * e[c], 6) for c in pool}
+    want = sorted(pool, key=lambda c: (-score[c], c))[:5]
+    vectors = search.embed(q.select("root_id", "q"), "q", "vec").select("root_id", "vec")
+    got = [r.chunk_id for r in pipeline.several(hits, indexed, q, vectors).orderBy("final_rank").collect()]
+    assert got == want
+
+
+def test_knowledge_matches(spark):
+    e = spark.createDataFrame([("c1", {"问": ["霜冻指标怎么分级", "霜冻分几级", "多余"]}, ["霜冻"], "指标说明"), ("c2", {"问": ["完全无关的内容"]}, None, None), ("c3", {}, None, None)], "chunk_id string, expressions map<string, array<string>>, concepts array<string>, summary string")
+    q = spark.createDataFrame([("q", "霜冻指标怎么分级")], "root_id string, q string")
+    got = pipeline.knowledge_matches(e, q).collect()
+    assert [r.chunk_id for r in got] == ["c1"] and got[0].context == "霜冻指标怎么分级 霜冻分几级 霜冻 指标说明"
+
+
+def test_load_and_store(spark, tmp_path):
+    d = spark.createDataFrame([(1, True, "high"), (2, None, "low"), (3, False, None)], "i int, excluded boolean, quality string")
+    assert [r.i for r in pipeline.load_filter(d, "excluded", "quality").collect()] == [3]
+    path = f"{tmp_path}/store"
+    assert pipeline.build_store(d, path).count() == 3 and pipeline.build_store(d.limit(1), path).count() == 3 and pipeline.build_store(d.limit(1), path, True).count() == 1
+
+
 def test_lexical_only_chunk_wins(spark):
     question = "霜冻指标"
     v = np.array(search.hashed_vector(question))
@@ -151,8 +231,10 @@ def test_lexical_only_chunk_wins(spark):
     # The dense channel ends before `z`, whose similarity is hardly lower; `y` is like the question only in a word.
     chunks = [(f"f{i:02}", "霜冻" + "乙丙丁" * 5 if i == 0 else "乙丙丁" * 5, at(0.5 - i * 1e-5)) for i in range(30)] + [("z", "霜冻指标", at(0.4996)), ("y", "霜" + "乙丙丁" * 9, at(-0.5))]
     indexed = spark.createDataFrame([(f"{s}_p0", s, 0, t, x) for s, t, x in chunks], "chunk_id string, section_id string, chunk_index int, content string, vec array<double>")
-    asked = spark.createDataFrame([("q", question), ("none", None)], "item_id string, question string")
-    got = {r["rank"]: r for r in pipeline.answer(indexed, asked, "item_id", "question").collect()}
+    asked = spark.createDataFrame([("q", question, None, None, None), ("none", None, None, None, None)], QUESTIONS)
+    indexed = indexed.withColumn("heading_path", F.array(F.lit("书"), F.lit("章")))
+    got = {r["rank"]: r for r in pipeline.answer(indexed, asked, force=True).collect()}
     assert sorted(got) == [1, 2, 3, 4, 5] and got[1].section_id == "z" and got[1].root_id == "q" and got[1].decision == "reject"
+    assert got[1].context == "书 > 章\n\n---\n\n霜冻指标"
     pairs = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     assert [round(r[0], 6) for r in pairs.select(search.cosine(F.col("a"), F.col("b"))).collect()] == [0.707107, 0.0]
