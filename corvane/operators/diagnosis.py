@@ -99,3 +99,24 @@ def page_fallback(pages: DataFrame, key: str, page: str, text: str, least: int =
 
 def answer_or_reason(decision: Column, answer: Column, reason: Column) -> Column:
     return F.when(decision == "answer", answer).when(decision == "fallback", "The answer could not be checked. Please ask again later.").otherwise(F.concat(F.lit("No answer was found in the collection. "), F.coalesce(reason, F.lit(""))))
+
+
+def rank_moves(a: DataFrame, b: DataFrame, query: str, rank: str, by: int = 3) -> DataFrame:
+    """(query, before, after, move) of best ranks in two arms: up or down by at least `by` places, gained, gone, or near."""
+    j = a.select(query, F.col(rank).alias("before")).join(b.select(query, F.col(rank).alias("after")), query, "full")
+    d = F.col("before") - F.col("after")
+    return j.withColumn("move", F.when(F.col("before").isNull() & F.col("after").isNull(), "none").when(F.col("before").isNull(), "gained").when(F.col("after").isNull(), "gone").when(d >= by, "up").when(d <= -by, "down").otherwise("near"))
+
+
+def difficulty(question: Column, answer: Column) -> Column:
+    """easy, medium or hard by features of a question: length, numbers, several marks, length of its answer."""
+    points = (F.length(question) > 40).cast("int") + (F.regexp_count(question, F.lit(r"\d+")) >= 3).cast("int") + (F.regexp_count(question, F.lit("[，,；;]")) >= 2).cast("int") + (F.coalesce(F.length(answer), F.lit(0)) > 150).cast("int")
+    return F.when(points >= 3, "hard").when(points >= 1, "medium").otherwise("easy")
+
+
+def markdown(df: DataFrame, most: int = 50) -> str:
+    """A small result as a Markdown table, for reports at the edge; more rows than `most` are told, not shown."""
+    rows = df.limit(most + 1).collect()
+    cell = lambda x: "" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x).replace("|", "\\|").replace("\n", " ")
+    lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows[:most])]
+    return "\n".join(lines + ["…"] * (len(rows) > most))

@@ -60,10 +60,12 @@ def ab_diff(a: DataFrame, b: DataFrame, query: str) -> DataFrame:
     return j.groupBy(c.alias("change")).agg(F.count("*").alias("n"))
 
 
-def upper_median(values: str) -> Column:
-    """The element at n // 2 of the sorted values."""
-    s = F.array_sort(F.collect_list(values))
-    return F.element_at(s, (F.floor(F.size(s) / 2) + 1).cast("int"))
+def upper_medians(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, median): the element at n // 2 of each group's sorted values, from counts of equal values: no group is gathered."""
+    c = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*by)
+    placed = c.withColumn("_upto", F.sum("_n").over(w.orderBy(value))).withColumn("_all", F.sum("_n").over(w))
+    return placed.filter(F.col("_upto") > F.floor(F.col("_all") / 2)).groupBy(*by).agg(F.min(value).alias("median"))
 
 
 def summary(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -117,3 +119,46 @@ def best_config(rows: DataFrame, config: str, *metrics: str) -> DataFrame:
 def promoted(rows: DataFrame, base_train: float, base_val: float, epsilon: float = 0.005) -> DataFrame:
     """The candidate to promote: best train score above the base with validation no worse than the base by epsilon; no row if none."""
     return rows.filter((F.col("train") > base_train) & (F.col("val") >= base_val - epsilon)).orderBy(F.desc("train"), "name").limit(1)
+
+
+def score_shares(rows: DataFrame, score: str, by: list[str] | None = None, top: int = 3) -> DataFrame:
+    """(n, mean, share_3, share_2, share_low) of judged scores 0 to 3; negative ones are failed judgements and left out."""
+    s = F.col(score)
+    share = lambda c: F.avg(c.cast("double"))
+    return rows.filter(s >= 0).groupBy(*(by or [])).agg(F.count("*").alias("n"), F.avg(s).alias("mean"), share(s == top).alias("share_3"), share(s == top - 1).alias("share_2"), share(s <= top - 2).alias("share_low"))
+
+
+def panels(a: DataFrame, b: DataFrame, of: DataFrame, query: str, panel: str) -> DataFrame:
+    """(panel, n, mrr_a, mrr_b, rescued, lost): two arms compared on parts of the questions; a question may be in several."""
+    j = of.select(query, panel).distinct().join(a.select(query, F.col("rr").alias("x")), query).join(b.select(query, F.col("rr").alias("y")), query)
+    return j.groupBy(panel).agg(F.count("*").alias("n"), F.avg("x").alias("mrr_a"), F.avg("y").alias("mrr_b"), F.count_if((F.col("x") == 0) & (F.col("y") > 0)).alias("rescued"), F.count_if((F.col("x") > 0) & (F.col("y") == 0)).alias("lost"))
+
+
+def rescue_rate(base: DataFrame, other: DataFrame, query: str) -> DataFrame:
+    """(zeros, rescued, rate): questions the base misses, and those of them that the other arm finds."""
+    j = base.filter("rr = 0").select(query).join(other.select(query, "rr"), query)
+    return j.agg(F.count("*").alias("zeros"), F.count_if(F.col("rr") > 0).alias("rescued")).withColumn("rate", F.col("rescued") / F.nullif("zeros", F.lit(0)))
+
+
+def layer_diff(base: DataFrame, other: DataFrame, query: str) -> DataFrame:
+    """(rescued, new_fail, net) of questions found in one arm and not in the other."""
+    j = base.select(query, (F.col("rr") > 0).alias("x")).join(other.select(query, (F.col("rr") > 0).alias("y")), query)
+    d = j.agg(F.count_if(~F.col("x") & F.col("y")).alias("rescued"), F.count_if(F.col("x") & ~F.col("y")).alias("new_fail"))
+    return d.withColumn("net", F.col("rescued") - F.col("new_fail"))
+
+
+def arm_scores(candidates: DataFrame, cache: DataFrame, arm: str, keys: list[str], score: str, to: str) -> DataFrame:
+    """Adds the score that an arm's cache has for a candidate, the base's own elsewhere: only what differs is scored anew."""
+    mine = cache.filter(F.col("arm") == arm).groupBy(*keys).agg(F.max(score).alias("_mine"))
+    return candidates.join(mine, keys, "left").withColumn(to, F.coalesce("_mine", score)).drop("_mine")
+
+
+def root_quotas(rows: DataFrame, stratum: str, key: str, total: int, seed: int = 42) -> DataFrame:
+    """At most `total` rows: each stratum gets one or its share of `total` by the root of its size, rounded down; what is
+    left is filled from all rows in hashed order. The same rows in every run."""
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    sizes = rows.groupBy(stratum).agg(F.count("*").alias("_n"))
+    quotas = sizes.crossJoin(sizes.agg(F.sum(F.sqrt("_n")).alias("_all"))).select(F.col(stratum).alias("_s"), F.greatest(F.floor(F.lit(total) * F.sqrt("_n") / F.col("_all")), F.lit(1)).alias("_q"))
+    placed = rows.withColumn("_o", order).withColumn("_k", F.row_number().over(Window.partitionBy(stratum).orderBy("_o", key)))
+    j = placed.join(quotas, F.col(stratum).eqNullSafe(F.col("_s")))
+    return j.orderBy((F.col("_k") > F.col("_q")).cast("int"), "_o", key).limit(total).drop("_o", "_k", "_q", "_s")

@@ -234,29 +234,34 @@ def chunk_numbers(spark, d):
     return b.withColumn("id", chunks.unique_id(F.col("doc_id"), F.col("chunk_index"), F.col("chunk_count")))
 
 
-FAMILIES = [("frost", "霜冻|倒春寒|frost"), ("drought", "干旱|旱|drought"), ("heat", "积温|temperature"), ("imagery", "NDVI|影像|pixels"), ("zoning", "区划|zoning|suitab"), ("soil", "土壤|topsoil|irrigation")]
+#: What a document is tagged by: its place and crop as its heading, then its text.
+_TAGGED = "concat_ws(' ', province, crop, text)"
+_TOPICS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(x, '{p}') THEN '{n}' END" for n, p in chunks.TOPICS) + "], lambda y: y IS NOT NULL)"
+_TOPIC_CTE = f"d AS (SELECT doc_id, {_TAGGED} AS x FROM documents WHERE text IS NOT NULL), h AS (SELECT *, {_TOPICS} AS h FROM d), t AS (SELECT doc_id, x, CASE WHEN len(h) > 0 THEN h[1:3] ELSE ['{chunks.UNTOLD}'] END AS tp FROM h)"
 
 
-@query("WITH t AS (SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in FAMILIES) + """], lambda x: x IS NOT NULL) AS h FROM documents WHERE text IS NOT NULL)
-    SELECT doc_id, CASE WHEN len(h) > 0 THEN array_to_string(h[1:3], ',') ELSE '(none)' END AS topics FROM t""")
+def _tagged(spark, d):
+    t = table(spark, d, "documents").filter("text is not null").select("doc_id", F.expr(_TAGGED).alias("x"))
+    return t.withColumn("tp", chunks.topics(F.col("x")))
+
+
+@query(f"WITH {_TOPIC_CTE} SELECT doc_id, array_to_string(tp, ',') AS topics FROM t")
 def topic_tags(spark, d):
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.array_join(chunks.topics(F.col("text"), FAMILIES), ",").alias("topics"))
+    return _tagged(spark, d).select("doc_id", F.array_join("tp", ",").alias("topics"))
 
 
-@query("WITH t AS (SELECT doc_id, unnest(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in FAMILIES) + """], lambda x: x IS NOT NULL)[1:3]) AS topic FROM documents WHERE text IS NOT NULL) SELECT topic, count(*) AS n FROM t GROUP BY 1""")
+@query(f"WITH {_TOPIC_CTE} SELECT topic, count(*) AS n FROM (SELECT unnest(tp) AS topic FROM t) GROUP BY 1")
 def topic_counts(spark, d):
-    t = table(spark, d, "documents").filter("text is not null").select(F.explode(chunks.topics(F.col("text"), FAMILIES)).alias("topic"))
-    return t.filter("topic <> '(none)'").groupBy("topic").agg(F.count("*").alias("n"))
+    return _tagged(spark, d).select(F.explode("tp").alias("topic")).groupBy("topic").agg(F.count("*").alias("n"))
 
 
-ENTITIES = [("percent", r"\d+\.\d%"), ("code", r"[A-K]\d-\d{4}")]
+_ENTITIES = "flatten([" + ", ".join(f"CASE WHEN list_contains(tp, '{n}') THEN regexp_extract_all(x, '{p}') ELSE []::VARCHAR[] END" for n, p in chunks.ENTITIES) + f", regexp_extract_all(x, '{chunks.UNIVERSAL}')])"
 
 
-@query(r"""WITH e AS (SELECT doc_id, list_concat(regexp_extract_all(text, '\d+\.\d%'), regexp_extract_all(text, '[A-K]\d-\d{4}')) AS l FROM documents WHERE text IS NOT NULL),
-    u AS (SELECT doc_id, list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN list_position(l, l[i]) = i THEN l[i] END), lambda x: x IS NOT NULL) AS l FROM e)
+@query(f"""WITH {_TOPIC_CTE}, e AS (SELECT doc_id, {_ENTITIES} AS l FROM t), u AS (SELECT doc_id, list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN list_position(l, l[i]) = i THEN l[i] END), lambda y: y IS NOT NULL) AS l FROM e)
     SELECT doc_id, array_to_string(l[1:5], '|') AS entities FROM u""")
 def entity_tags(spark, d):
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.array_join(chunks.entities(F.col("text"), ENTITIES), "|").alias("entities"))
+    return _tagged(spark, d).select("doc_id", F.array_join(chunks.entities(F.col("x"), F.col("tp")), "|").alias("entities"))
 
 
 @query("""SELECT item_id, CASE WHEN coalesce(nullif(province, ''), nullif(crop, ''), nullif(zoning_type, '')) IS NULL THEN '' ELSE '[' || concat_ws(' ', nullif(province, ''), nullif(crop, ''), nullif(zoning_type, '')) || '] ' END AS header FROM golden_items""")
@@ -408,4 +413,4 @@ def cosine_bands(spark, d):
     return top.groupBy(F.when(F.col("sim") >= 0.65, "high").when(F.col("sim") >= 0.55, "middle").otherwise("low").alias("band")).agg(F.count("*").alias("n"))
 
 
-from . import queries_ranking, queries_relational  # noqa: E402,F401  they register their queries
+from . import queries_ranking, queries_relational, queries_more  # noqa: E402,F401  they register their queries

@@ -106,9 +106,10 @@ def ce_pools(spark, d):
     return fusion.ce_pool(cand(spark, d), ["root_id"], "rrf_prior", "dense_rank", "chunk_id").select("root_id", "chunk_id")
 
 
-def _pools(scheme: str) -> str:
+def _pools(scheme: str, size: int | None = None) -> str:
     """The pool of two rewrites (1, 2) and two sub-questions (3, 4) as a fold over each question's candidates."""
     cap, (r3, r4) = (60, (5, 5)) if scheme == "plan_c" else (50, (10, 10))
+    cap = size or cap
     left = "greatest(0, 30 - z.n3 - z.n4)" if scheme == "plan_c" else "0"
     keep = "{'id': x.id, 'q': x.q, 'o': a.o%s, 'n3': a.n3%s, 'n4': a.n4%s, 'w': a.w%s, 'kept': list_append(a.kept, x.id), 'rest': a.rest}"
     step = (
@@ -229,7 +230,8 @@ def failure_classes(spark, d):
     SELECT channel, count(*) AS questions, count(CASE WHEN r < 10 THEN 1 END) AS top10, CAST(list_sort(list(r))[CAST(floor(count(*) / 2) AS INT) + 1] AS INT) AS median_rank FROM f GROUP BY 1""")
 def stage_recall(spark, d):
     f = hits(spark, d).join(gold(spark, d), ["root_id", "chunk_id"], "left_semi").groupBy("root_id", "channel").agg(F.min("rank0").alias("r"))
-    return f.groupBy("channel").agg(F.count("*").alias("questions"), F.count_if(F.col("r") < 10).alias("top10"), evaluation.upper_median("r").alias("median_rank"))
+    n = f.groupBy("channel").agg(F.count("*").alias("questions"), F.count_if(F.col("r") < 10).alias("top10"))
+    return n.join(evaluation.upper_medians(f, "r", ["channel"]).withColumnRenamed("median", "median_rank"), "channel")
 
 
 @query("WITH " + HITS + ", " + GOLD + """, f AS (SELECT g.root_id, min(CASE WHEN channel = 'Dense' THEN rank0 END) AS dr, min(CASE WHEN channel = 'BM25o' THEN rank0 END) AS br FROM gold g LEFT JOIN h USING (root_id, chunk_id) GROUP BY 1),

@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..tables import shared_folder
+from ..tables import running, shared_folder
 
 
 def _start(w: str = "w"):
@@ -30,10 +31,10 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str = "user_id", ts: str = "ts", key: str = "event_id") -> DataFrame:
-    """(key, before): for each left row the latest right row of the same user no later than it; of equal times the largest key. One sort by user and time, no range join."""
+    """(key, before): for each left row the latest right row of the same user no later than it; of equal times the largest key. One sort by user and time, no range join, and users of any size."""
     rows = left.select(by, ts, key, F.lit(1).alias("side")).unionByName(right.select(by, ts, key, F.lit(0).alias("side")))
-    w = Window.partitionBy(by).orderBy(ts, "side", key).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("before", F.last(F.when(F.col("side") == 0, F.col(key)), True).over(w)).filter("side = 1").select(key, "before")
+    rows = rows.withColumn("before", F.when(F.col("side") == 0, F.col(key)))
+    return running(rows, [by], [ts, "side", key], lasts=("before",)).filter("side = 1").select(key, F.col("last_before").alias("before"))
 
 
 def watermarked(stream: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -58,8 +59,12 @@ def running_totals(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, total double", "n long, total double", "update", "NoTimeout")
 
 
-def run_stream(spark: SparkSession, path: str, width: str = "1 hour") -> DataFrame:
-    """Reads the files as a stream, counts tumbling windows under a watermark, and returns what the sink holds at the end."""
+def run_stream(spark: SparkSession, path: str, width: str = "1 hour", late: str = "1 day") -> DataFrame:
+    """Reads the files as a stream, counts tumbling windows, and returns what the sink holds at the end.
+
+    Each batch writes the windows it changed, and the last state of a window counts. Windows that end before the
+    watermark, `late` behind the latest event of earlier batches, leave the state, and rows for them are dropped.
+    """
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -67,13 +72,12 @@ def run_stream(spark: SparkSession, path: str, width: str = "1 hour") -> DataFra
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).isFile(at):  # a stream watches folders
         reader, path = reader.option("pathGlobFilter", at.getName()), str(at.getParent())
     source = reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
-    counts = tumbling(watermarked(source, "36500 days"), width)
+    counts = tumbling(watermarked(source, late), width)
 
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/epoch={epoch}")
 
-    q = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q = counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    out = spark.read.parquet(f"{folder}/out")
-    last = out.agg(F.max("epoch")).first()[0]
-    return out.filter(F.col("epoch") == last).drop("epoch")
+    out = spark.read.schema(StructType([*counts.schema.fields, StructField("epoch", LongType())])).parquet(f"{folder}/out")
+    return out.groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "epoch").alias("s")).select("start", "event_type", "s.*")
