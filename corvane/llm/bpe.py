@@ -13,12 +13,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .batches import slices
 
-#: Folder of the vocabulary files; they are read in place.
+#: Folder of the vocabulary files on the driver, which sends the one needed to the executors.
 TOKENIZERS = os.environ.get("CORVANE_TOKENIZERS", "/opt/tokenizers")
 #: Pieces that a worker keeps; older ones are dropped together when the number is passed.
 KEPT_PIECES = 400_000
@@ -231,11 +232,12 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabu
 
     Every row gives one row, repeated keys too. Strings of special tokens are ordinary text.
     """
-    path = os.path.join(folder, f"{vocabulary}.tiktoken")
+    name = f"{vocabulary}.tiktoken"
+    df.sparkSession.sparkContext.addFile(os.path.join(folder, name))
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches):
-        coder = encoder(path)
+        coder = encoder(SparkFiles.get(name))
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for at, stop in slices(texts, 512):

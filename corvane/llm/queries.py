@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import materialise, table
@@ -59,6 +59,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return segments.oversized(p4_pieces(spark, d))
 
 
+def p4_check(spark: SparkSession, d: str) -> DataFrame:
+    """Of each oversized text: whether its pieces cover it in order, each of at most 800 characters, overlapping by at most 150 and never nested."""
+    p = p4_pieces(spark, d)
+    w = Window.partitionBy("block_id").orderBy("piece")
+    before = F.lag("stop").over(w)
+    p = p.withColumn("joined", F.when(F.col("piece") == 0, F.col("start") == 0).otherwise((F.col("start") <= before) & (before - F.col("start") <= 150) & (F.col("stop") > before)))
+    sound = p.groupBy("block_id").agg(F.max("stop").alias("n_chars"), F.every(F.col("joined") & (F.col("stop") - F.col("start") <= 800) & (F.length("text") == F.col("stop") - F.col("start"))).alias("sound"))
+    return sound
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     members, links = nearcopies.near_copies(table(spark, d, "blocks"))
     return nearcopies.all_pairs(members, links, "block_id").select(F.col("a").alias("block_a"), F.col("b").alias("block_b"))
@@ -100,10 +110,11 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("subject").agg(F.countDistinct("doc_id").alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_mix, p2_found, p2_order, p3_found, p3_groups, p3_forms, p4_found, p4_pieces, p5_found, p5_groups, p6_found, p6_restored, p7_ids, p8_found, p8_near, p9_found, p9_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_mix, p2_found, p2_order, p3_found, p3_groups, p3_forms, p4_found, p4_pieces, p4_check, p5_found, p5_groups, p6_found, p6_restored, p7_ids, p8_found, p8_near, p9_found, p9_composition)}
 
-#: p4_found's definition in SQL; the others are tested against brute force.
+#: p4_found's definition and what must hold of the pieces in SQL; the others are tested against brute force.
 SQL = {
+    "p4_check": "SELECT block_id, CAST(length(text) AS INT) AS n_chars, true AS sound FROM blocks WHERE length(text) > 800",
     "p4_found": r"""
         WITH long AS (SELECT block_id, text, coalesce(lower(trim(style)) = 'table', false) AS tab FROM blocks WHERE length(text) > 800),
         cut AS (SELECT block_id, CASE WHEN tab THEN regexp_replace(text, '(\r\n|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}])', '\1' || chr(1), 'g')
