@@ -21,12 +21,16 @@ SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
-def scan(spark: SparkSession, folder: str, skip: tuple[str, ...] = ()) -> DataFrame:
-    """(path, length, content, suffix) of files with a known suffix below a folder, outside the named directories; PDFs only up to a size."""
+def scan(spark: SparkSession, folder: str, skip: tuple[str, ...] = (), nested: str | None = None) -> DataFrame:
+    """(path, length, suffix, content) of files with a known suffix below a folder, outside the named directories and, where
+    given, outside paths that match `nested` (folders copied into themselves); PDFs only up to a size. Files have no
+    order; readers number what they read within each file, and path orders the files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     files = files.withColumn("suffix", F.lower(F.regexp_extract("path", r"(\.\w+)$", 1))).filter(F.col("suffix").isin(*SUFFIXES))
     for name in skip:
         files = files.filter(~F.col("path").contains(f"/{name}/"))
+    if nested:
+        files = files.filter(~F.col("path").rlike(nested))
     return files.filter((F.col("suffix") != ".pdf") | (F.col("length") <= PDF_LIMIT)).select("path", "length", "suffix", "content")
 
 
@@ -128,6 +132,59 @@ def table_cells(files: DataFrame) -> DataFrame:
     return files.filter(F.col("suffix").isin(".xlsx", ".csv")).select("path", "suffix", "content").mapInPandas(run, "path string, sheet string, row int, col int, header string, value string")
 
 
+def numbers(values: list[str]) -> list[float] | None:
+    """The values as numbers, None where one isn't or there are none."""
+    try:
+        return [float(v) for v in values] or None
+    except ValueError:
+        return None
+
+
+def sheet_summary(name: str, rows: list[list[str]]) -> str:
+    """A sheet in words (fixed form): its name, columns, number of rows, ranges and means of columns of numbers, first five rows."""
+    head, data = rows[0], rows[1:]
+    out = [f"表格: {name}", f"列名: {', '.join(h for h in head if h)}", f"数据行数: {len(data)}", ""]
+    stats = []
+    for j, h in enumerate(head):
+        if vals := numbers([r[j] for r in data if j < len(r) and r[j].strip()]):
+            stats.append(f"  {h}: 最小值={min(vals):.4f}, 最大值={max(vals):.4f}, 平均值={sum(vals) / len(vals):.4f}")
+    return "\n".join(out + (["数值列统计:", *stats] if stats else []) + ["\n前5行数据示例:", *(f"  行{i}: {' | '.join(r)}" for i, r in enumerate(data[:5], 2))])
+
+
+def csv_summary(name: str, rows: list[list[str]]) -> str:
+    """The same of a CSV file: its fields, ranges and means of those all of whose values are numbers, first five rows."""
+    head, data = rows[0], [r + [""] * (len(rows[0]) - len(r)) for r in rows[1:]]
+    stats = []
+    for j, h in enumerate(head):
+        if vals := numbers([r[j] for r in data if r[j].strip()]):
+            stats.append(f"  {h}: 范围 [{min(vals):.2f}, {max(vals):.2f}], 均值 {sum(vals) / len(vals):.2f}, 共 {len(vals)} 条")
+    fields = "\n".join(f"- {h}" for h in head)
+    out = [f"CSV 数据文件: {name}", f"总行数: {len(data)}", f"\n字段列表:\n{fields}"] + (["\n数值字段统计:", *stats] if stats else []) + ["\n前5行数据示例:"]
+    return "\n".join(out + [f"  [{i}] {', '.join(f'{h}={v}' for h, v in zip(head, r))}" for i, r in enumerate(data[:5], 1)])
+
+
+def table_summaries(files: DataFrame) -> DataFrame:
+    """(id, doc_id, sheet, content): one chunk for each sheet of xlsx files and each csv file; without rows or broken, none."""
+    import csv
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for path, suffix, data in zip(b["path"], b["suffix"], b["content"]):
+                name = path.rsplit("/", 1)[-1]
+                stem = name.rsplit(".", 1)[0]
+                try:
+                    if suffix == ".xlsx":
+                        out += [(f"{stem}_{n}", stem, n, sheet_summary(n, rows)) for n, rows in xlsx_sheets(bytes(data)) if len(rows) > 1]
+                    elif len(rows := [r for r in csv.reader(io.StringIO(decoded(bytes(data))[0])) if r]) > 1:
+                        out.append((stem, stem, name, csv_summary(name, rows)))
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+                    continue
+            yield pd.DataFrame(out, columns=["id", "doc_id", "sheet", "content"])
+
+    return files.filter(F.col("suffix").isin(".xlsx", ".csv")).select("path", "suffix", "content").mapInPandas(run, "id string, doc_id string, sheet string, content string")
+
+
 def column_stats(cells: DataFrame) -> DataFrame:
     """(path, sheet, col, header, n, lowest, highest, mean) of columns all of whose filled cells are numbers."""
     number = F.expr("try_cast(value AS double)")

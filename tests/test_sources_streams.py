@@ -47,6 +47,42 @@ def test_readers(spark, tmp_path):
     assert {r.text for r in files.first_rows(cells).collect()} == {"站点=甲; 值=1\n站点=乙; 值=2.5", "x=1; y=3\nx=2; y=n"}
 
 
+def test_summaries_and_tables(spark, tmp_path):
+    (tmp_path / "05x/05x").mkdir(parents=True)
+    (tmp_path / "05x/05x/c.csv").write_bytes(b"a,b\n1,2\n")
+    (tmp_path / "t.xlsx").write_bytes(xlsx())
+    (tmp_path / "c.csv").write_bytes("站点,值\n甲,1\n乙,2.5\n丙,\n".encode("gbk"))
+    (tmp_path / "empty.csv").write_bytes(b"a,b\n")
+    got = {r.id: r.content for r in files.table_summaries(files.scan(spark, str(tmp_path), nested="05x/05x")).collect()}
+    assert set(got) == {"t_S", "c"}
+    assert got["t_S"] == "表格: S\n列名: x, y\n数据行数: 2\n\n数值列统计:\n  x: 最小值=1.0000, 最大值=2.0000, 平均值=1.5000\n\n前5行数据示例:\n  行2: 1 |  | 3\n  行3: 2 |  | n"
+    assert got["c"] == "CSV 数据文件: c.csv\n总行数: 3\n\n字段列表:\n- 站点\n- 值\n\n数值字段统计:\n  值: 范围 [1.00, 2.50], 均值 1.75, 共 2 条\n\n前5行数据示例:\n  [1] 站点=甲, 值=1\n  [2] 站点=乙, 值=2.5\n  [3] 站点=丙, 值="
+    files.write_table(spark.createDataFrame([(1, "a"), (2, "b")], "i int, g string"), f"{tmp_path}/out", ["g"])
+    files.write_table(spark.createDataFrame([(3, "a")], "i int, g string"), f"{tmp_path}/out", ["g"])
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("i", "g").collect()] == [(3, "a")]
+
+
+def test_late_rows_leave_the_stream(spark, tmp_path):
+    e = event_rows(spark)
+    late = spark.createDataFrame([(900, 1, "click", 1.0)], "event_id long, user_id long, event_type string, value double").selectExpr("event_id", "timestamp'2023-12-30 00:00:00' ts", "user_id", "event_type", "value")
+    path = str(tmp_path / "in")
+    e.coalesce(1).write.parquet(path)
+    src = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    q = events.tumbling(events.watermarked(src, "1 hour"), "10 minutes").writeStream.format("memory").queryName("late").outputMode("update").start()
+    q.processAllAvailable()
+    late.coalesce(1).write.mode("append").parquet(path)
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("late").agg({"n": "sum"}).first()[0] == 40
+
+
+def test_reports(spark):
+    from corvane.operators import diagnosis
+
+    d = spark.createDataFrame([("a|b", 0.5, None), ("c", 1.0, 2)], "x string, y double, z int").orderBy("x")
+    assert diagnosis.markdown(d, 1) == "| x | y | z |\n| --- | --- | --- |\n| a\\|b | 0.5000 |  |\n…"
+
+
 def test_encodings():
     assert files.decoded("气候".encode("gbk")) == ("气候", "gbk") and files.decoded("气候".encode()) == ("气候", "utf-8")
     assert files.pipe_table([["a"], ["b"]]) == ""
