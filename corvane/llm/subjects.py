@@ -1,4 +1,4 @@
-"""Subject areas of documents from the leaves of a bisecting k-means over their passages."""
+"""Subject areas of documents from the leaves of a bisecting k-means over their passages, labelled by discriminative terms."""
 
 from __future__ import annotations
 
@@ -22,11 +22,13 @@ FIT_DOCUMENTS, FIT_SENTENCES = 3000, 14_000
 STRANGE = 1.15
 #: Most subject areas.
 MOST_SUBJECTS = 1000
-SHARPEN = 3
+#: Terms that label a leaf, and the power that sharpens its mixture.
+TERMS, SHARPEN = 20, 3
 END = re.compile(r"[。！？!?；;]+|(?<!\bcf)(?<!\bvs)(?<!\bNo)\.(?=\s|$)|[\r\n]+")
 MARKUP = re.compile(r"<[^<>]{0,200}>|&[a-z]{2,6};|[*_#`>]+")
 WIDE = re.compile("[\uff21-\uff5a]")
 NO_LETTER, HAN = re.compile(r"[\W\d_]+"), re.compile("[一-鿿]")
+WORD = re.compile("[a-z]{3,}")
 BLANKED = re.compile(r"\([^()]{0,40}\)|\d[\d.,:%—–-]*")
 
 
@@ -161,55 +163,69 @@ class Model:
         return out / np.maximum(total, 1)[:, None]
 
 
-def top_terms(parts: list[str], leaf: np.ndarray, leaves: int, n: int = 8) -> list[list[str]]:
-    """Discriminative terms of each leaf: most above their share in all sentences."""
-    counts: list[dict] = [{} for _ in range(leaves)]
+def terms_of(part: str) -> set[str]:
+    """Terms of a sentence: pairs of neighbouring Han characters, and words of three Latin letters or more."""
+    part = BLANKED.sub(" ", part.lower())
+    return {a + b for a, b in zip(part, part[1:]) if "一" <= a <= "鿿" and "一" <= b <= "鿿"} | set(WORD.findall(part))
+
+
+def label_leaves(parts: list[str], leaf: np.ndarray, leaves: int, votes: np.ndarray, said: list[set[str]]) -> tuple[np.ndarray, list[list[str]]]:
+    """Mixture of subjects of each leaf, from its discriminative terms, and those terms.
+
+    A leaf's terms are those most above their share in all sentences. A term stands for the subjects in whose texts it
+    is more frequent than elsewhere, by the votes of labelled texts, and for those whose description has it; so leaves
+    get subjects without labels too, where descriptions share their words. A leaf whose terms stand for nothing has none.
+    """
+    found = [terms_of(p) for p in parts]
+    usual = votes.mean(0) if votes.any() else np.full(votes.shape[1], 1 / votes.shape[1])
+    usual = np.maximum(usual, 1e-6)
     every: dict[str, int] = {}
-    for p, k in zip(parts, leaf.tolist()):
-        p = BLANKED.sub(" ", p.lower())
-        for t in {a + b for a, b in zip(p, p[1:]) if "一" <= a <= "鿿" and "一" <= b <= "鿿"} | set(re.findall(r"[a-z]{3,}", p)):
-            counts[k][t] = counts[k].get(t, 0) + 1
+    stands: dict[str, np.ndarray] = {}
+    counts: list[dict] = [{} for _ in range(leaves)]
+    for ts, vote, k in zip(found, votes, leaf.tolist()):
+        mine = counts[k]
+        for t in ts:
             every[t] = every.get(t, 0) + 1
-    return [sorted(c, key=lambda t: (-c[t] * c[t] / every[t], t))[:n] for c in counts]
+            mine[t] = mine.get(t, 0) + 1
+            if t in stands:
+                stands[t] += vote
+            else:
+                stands[t] = vote.copy()
+    for i, words in enumerate(said):
+        for t in words & stands.keys():
+            stands[t][i] += usual[i]
+    mixture, top = np.zeros((leaves, votes.shape[1])), []
+    for k, c in enumerate(counts):
+        best = sorted(c, key=lambda t: (-c[t] * c[t] / every[t], t))[:TERMS]
+        top.append(best)
+        for t in best:
+            rate = (stands[t] / every[t] / usual) ** 2
+            if rate.any():
+                mixture[k] += c[t] * c[t] / every[t] * rate / rate.sum()
+    mixture /= np.maximum(mixture.sum(1, keepdims=True), 1e-9)
+    mixture **= SHARPEN  # a leaf of one subject counts for it alone, one of several keeps them
+    return mixture / np.maximum(mixture.sum(1, keepdims=True), 1e-9), top
 
 
 def fit(parts: list[str], labels: list[set[str]], descriptions: dict[str, str], leaves: int = LEAVES) -> Model:
-    """Clusters sentences of labelled texts, given with their texts' labels, and labels each leaf with a mixture of subjects.
+    """Clusters sentences of texts, given with the texts' labels, and labels each leaf by its discriminative terms.
 
-    A leaf starts from the labels of the texts its sentences come from, each text's vote shared among its labels and
-    set against how common the label is, and with the subjects whose description has the leaf's discriminative terms;
-    votes are then shared again by the leaves found, until they settle.
+    A sentence's vote is shared among the labels of its text; sentences of texts without labels have none.
     """
     subjects = sorted(descriptions)
     index = {s: i for i, s in enumerate(subjects)}
-    if not parts:
+    if not parts or not subjects:
         return Model(subjects, np.ones(DIMS, np.float32), np.zeros((1, DIMS), np.float32), np.zeros((1, len(subjects))), 2.0)
     raw = vectors(parts)
     weight = np.log((1 + len(raw)) / (1 + (raw > 0).sum(0))).astype(np.float32)
     x = vectors(parts, weight)
     leaf = bisecting_kmeans(x, min(leaves, max(1, len(parts) // 4)))
     n = int(leaf.max()) + 1
-    allowed = np.zeros((len(parts), len(subjects)))
+    votes = np.zeros((len(parts), len(subjects)))
     for r, names in enumerate(labels):
-        for s in names:
-            if s in index:
-                allowed[r, index[s]] = 1
-    terms = top_terms(parts, leaf, n)
-    prior = np.zeros((n, len(subjects)))
-    for k, found in enumerate(terms):
-        for s, d in descriptions.items():
-            prior[k, index[s]] = sum(t in (s.replace("_", " ") + " " + d).lower() for t in found)
-    mixture = 1 + 0.1 * prior
-    members = np.zeros((n, len(parts)), np.float32)
-    members[leaf, np.arange(len(parts))] = 1
-    for _ in range(30):
-        vote = allowed * mixture[leaf]
-        vote /= np.maximum(vote.sum(1, keepdims=True), 1e-12)
-        mixture = members @ vote + 1e-3
-        mixture = (mixture / mixture.sum(1, keepdims=True)) ** 1.3
-        mixture /= mixture.sum(1, keepdims=True)
-    mixture = mixture**SHARPEN  # a leaf of one subject counts for it alone, one of several keeps them
-    mixture /= mixture.sum(1, keepdims=True)
+        known = [index[s] for s in names if s in index]
+        votes[r, known] = 1 / max(1, len(known))
+    mixture, terms = label_leaves(parts, leaf, n, votes, [set(WORD.findall((s.replace("_", " ") + " " + descriptions[s]).lower())) for s in subjects])
     sums = np.zeros((n, DIMS), np.float32)
     np.add.at(sums, leaf, x)
     centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
@@ -219,9 +235,14 @@ def fit(parts: list[str], labels: list[set[str]], descriptions: dict[str, str],
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", limit: int = FIT_DOCUMENTS, most: int = FIT_SENTENCES) -> list:
-    """At most `most` sentences of at most `limit` labelled documents, those first by hash, with all labels of their documents."""
+    """At most `most` sentences of at most `limit` labelled documents, those first by hash, with all labels of their documents.
+
+    Without any labels, of as many documents of the whole table."""
     sets = labels.filter("doc_id is not null and subject is not null").groupBy(F.col("doc_id").alias("k")).agg(F.array_sort(F.collect_set("subject")).alias("names"))
-    chosen = sets.orderBy(F.xxhash64("k"), "k").limit(limit)
+    chosen = materialise(sets.orderBy(F.xxhash64("k"), "k").limit(limit), "labels")
+    if chosen.isEmpty():
+        keys = documents.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k")).distinct()
+        chosen = materialise(keys.orderBy(F.xxhash64("k"), "k").limit(limit).withColumn("names", F.array().cast("array<string>")), "labels")
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").filter("t is not null")
 
     def run(batches):
@@ -239,7 +260,7 @@ def assign(documents: DataFrame, areas: DataFrame, labels: DataFrame, key: str =
 
     The clusters are fitted on a bounded sample of labelled documents; every document is then read whole. Null, empty
     and blank texts, and texts all of whose sentences lie far from every leaf, have no row. Repeated rows give theirs
-    again. Without labels nothing is assigned. At most MOST_SUBJECTS rows of areas are taken; more are an error.
+    again. Without labels the leaves are those of a sample of all documents, labelled by the words of descriptions alone. At most MOST_SUBJECTS rows of areas are taken; more are an error.
     """
     named = areas.filter("subject is not null").limit(MOST_SUBJECTS + 1).collect()
     if len(named) > MOST_SUBJECTS:

@@ -316,6 +316,16 @@ def test_subjects(spark):
     assert subjects.assign(docs, areas, labels.limit(0)).count() == 0 and subjects.assign(docs.limit(0), areas, labels).count() == 0
 
 
+def test_subjects_without_labels(spark):
+    kinds = {"soil": "soil moisture fell to {} percent so irrigation of the fields began on day {}", "trade": "prices and export trade of apples rose by {} yuan in the markets of {} counties"}
+    docs = [(i, ". ".join(kinds[k].format(i + j, j * 7) for j in range(5)) + ".") for i in range(40) for k in [sorted(kinds)[i % 2]]]
+    areas = [("soil_water", "Soil moisture and irrigation"), ("farm_economy", "Prices, export trade and markets")]
+    d, a = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(areas, "subject string, description string")
+    none = spark.createDataFrame([], "doc_id long, subject string")
+    got = {(r.doc_id, r.subject) for r in subjects.assign(d, a, none).collect()}
+    assert got == {(i, "soil_water" if i % 2 == 0 else "farm_economy") for i in range(40)}
+
+
 def test_too_many_subjects(spark):
     areas = spark.range(subjects.MOST_SUBJECTS + 1).selectExpr("CAST(id AS STRING) AS subject", "'x' AS description")
     docs, labels = spark.createDataFrame([(1, "x")], "doc_id long, text string"), spark.createDataFrame([(1, "0")], "doc_id long, subject string")
