@@ -51,6 +51,7 @@ class Single:
         self.utf8 = re.compile(f"(?:{cls(0xC2, 0xDF)}{tail}|{cls(0xE0, 0xEF)}{tail}{{2}}|{cls(0xF0, 0xF4)}{tail}{{3}})+")
         high, ascii_tail = "".join(re.escape(self.chars[x]) for x in range(0x81, 0xFF)), "".join(re.escape(chr(x)) for x in range(0x40, 0x7F))
         self.gbk = re.compile(f"(?:[{high}][{high}{re.escape(self.chars[0x80])}{ascii_tail}]){{2,}}")
+        self.pair = re.compile(f"[{high}][{high}{re.escape(self.chars[0x80])}{ascii_tail}]")
 
     def back(self, part: str, codec: str) -> str | None:
         try:
@@ -139,7 +140,7 @@ class Repair:
             if len(odd & codec.high) < 0.35 * len(odd):
                 continue
             for pattern, right in ((codec.utf8, "utf-8"), (codec.gbk, "gbk")):
-                gained, parts, at = 0.0, [], 0
+                gained, sure, taken, weak = 0.0, 0, [], []
                 for m in pattern.finditer(text):
                     if all(c in TO_LATIN for c in m.group() if c > "\x7f"):
                         continue  # letters chosen for their looks
@@ -151,17 +152,38 @@ class Repair:
                         if deeper == new:
                             break
                         new = deeper
-                    gain = self.better(m.group(), new) if right != "utf-8" or new and PLAUSIBLE.fullmatch(new) else 0.0
+                    fits = bool(new) and not PRIVATE.search(new) and (right != "utf-8" or bool(PLAUSIBLE.fullmatch(new)))
+                    gain = self.better(m.group(), new) if fits else 0.0
+                    if not gain and fits and self.cost(m.group()) > self.cost(new):
+                        weak.append(m)
                     if (right == "gbk" or codec.letters) and gain and not self.seen(new):
                         gain = 0.0
                     if right == "gbk" and gain and not all("\u3000" <= c <= "\u9fff" or c <= "~" or "\uff00" <= c <= "\uffef" or c in "℃°—–·≥≤“”‘’…ⅠⅡⅢ×" for c in new):
                         gain = 0.0
+                        weak = [w for w in weak if w is not m]
                     if gain:
                         gained += gain
-                        parts += [text[at : m.start()], new]
-                        at = m.end()
-                if gained:
-                    yield gained, "".join(parts) + text[at:]
+                        sure += m.end() - m.start()
+                        taken.append((m, new))
+                if not gained:
+                    continue
+                # Where most of a text was surely read so, its stretches too short to tell alone were too.
+                unsure = sum(m.end() - m.start() for m in weak)
+                if sure >= 2 * unsure:
+                    taken += [(m, new) for m in weak if (new := codec.back(m.group(), right))]
+                parts, at = [], 0
+                for m, new in sorted(taken, key=lambda x: x[0].start()):
+                    parts += [text[at : m.start()], new]
+                    at = m.end()
+                now = "".join(parts) + text[at:]
+                if right == "gbk":
+                    now = codec.pair.sub(lambda m: self._pair(codec, m.group(), sure), now)
+                yield gained, now
+
+    def _pair(self, codec, pair: str, sure: int) -> str:
+        """A pair that stands alone, restored where enough of the text around was and the corpus knows the outcome."""
+        new = codec.back(pair, "gbk") if sure >= 8 and all(c > "\x7f" for c in pair) else None
+        return new if new and len(new) == 1 and self.seen(new) and self.cost(new) < self.cost(pair) else pair
 
     def _utf8_as_gbk(self, text: str):
         raw = text.encode("gb18030", "replace")

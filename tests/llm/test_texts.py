@@ -231,6 +231,17 @@ def test_distance():
             assert not t or (leakage.distance(p, t, k) is not None) == slow(p, t, k)
 
 
+def test_garbled_and_restored():
+    clean = ["送审稿编号G5-4897，征求意见截止1月23日，收到74条意见，河谷与西南部差异显著。", "管理条例自2002年5月7日起废止，过渡期97个月。验收时应提交数据清单14份，缺项不得通过。", "苇寨市晚稻收购价每千克1.76元，同比下跌6.6%，误差不超过7.31。10月11日复测。"]
+    counts: dict = {}
+    for c in "".join(clean * 50):
+        counts[ord(c)] = counts.get(ord(c), 0) + 1
+    repair = mojibake.Repair(counts)
+    ways = [lambda t: t.encode().decode("latin-1"), lambda t: t.encode("gbk").decode("latin-1"), lambda t: t.encode().decode("latin-1").encode().decode("latin-1")]
+    assert [repair.fix(way(t)) for way in ways for t in clean] == [(True, t) for _ in ways for t in clean]
+    assert [repair.fix(t) for t in clean] == [(False, t) for t in clean]
+
+
 @pytest.mark.parametrize("budget", [0, 1, 2])
 def test_leaks_against_brute_force(spark, budget):
     rng = random.Random(4)
