@@ -59,8 +59,8 @@ def okapi_weights(post: DataFrame, key: str, n_docs: DataFrame) -> DataFrame:
     return raw.crossJoin(mean).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-#: Terms counted in one Python worker before they are handed on, (question, term) weights sent to every task in one pass, and questions scored together.
-TERMS_HELD, WEIGHTS_SENT, GROUP = 500_000, 1_000_000, 256
+#: Terms counted in one Python worker before they are handed on, (question, term) weights sent to every task in one pass, and scores held at once.
+TERMS_HELD, WEIGHTS_SENT, SCORES_HELD = 500_000, 5_000_000, 8_000_000
 
 
 def term_counts(docs: DataFrame, text: str, technical: bool = True) -> DataFrame:
@@ -104,38 +104,42 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, query: str, q
     for part in range(parts):
         sent = weighted.filter(F.pmod(F.xxhash64("q"), F.lit(parts)) == part).toPandas()  # a bounded share
         names, index = pd.factorize(sent["q"])[::-1]
-        groups = []  # of questions, each with its terms and a dense matrix of weights
-        for lo in range(0, len(names), GROUP):
-            at = np.flatnonzero((index >= lo) & (index < lo + GROUP))
-            code, terms = pd.factorize(sent["term"].to_numpy()[at])
-            weights = np.zeros((len(terms), min(GROUP, len(names) - lo)))
-            weights[code, index[at] - lo] = sent["w"].to_numpy()[at]
-            groups.append((lo, {t: i for i, t in enumerate(terms)}, weights))
-        shared = docs.sparkSession.sparkContext.broadcast((names.tolist(), groups))
+        code, terms = pd.factorize(sent["term"])
+        order = np.argsort(code, kind="stable")
+        starts = np.concatenate(([0], np.cumsum(np.bincount(code, minlength=len(terms)))))
+        shared = docs.sparkSession.sparkContext.broadcast((names.tolist(), {t: i for i, t in enumerate(terms)}, starts, index[order], sent["w"].to_numpy()[order]))
 
         def run(batches, shared=shared):
-            names, groups = shared.value
-            wanted = set().union(*(terms for _, terms, _ in groups))
+            names, terms, starts, asking, weights = shared.value
+            n = len(names)
+            floor = np.full(n, -np.inf)  # what a score must reach to be among a query's best of this task
             best: pd.DataFrame | None = None
-            for b in batches:
-                for at in range(0, len(b), 256):
-                    keys = b[key].iloc[at : at + 256].to_numpy()
-                    counts = [tokens(t, technical) for t in b[text].iloc[at : at + 256].tolist()]
+            step = max(1, min(256, SCORES_HELD // max(1, n)))
+            for b in batches if n else ():
+                found = [] if best is None else [best]
+                for at in range(0, len(b), step):
+                    keys = b[key].iloc[at : at + step].to_numpy()
+                    counts = [tokens(t, technical) for t in b[text].iloc[at : at + step].tolist()]
                     norms = np.array([K1 * (1 - B + B * len(x) / mean_length) for x in counts]) if mean_length else np.zeros(len(counts))
-                    tfs = [Counter(filter(wanted.__contains__, x)) for x in counts]
-                    for lo, terms, weights in groups:
-                        x = np.zeros((len(keys), len(terms)))
-                        for i, tf in enumerate(tfs):
-                            hit = [t for t in tf if t in terms]
-                            x[i, [terms[t] for t in hit]] = [tf[t] for t in hit]
-                        scores = np.divide(x, x + norms[:, None], out=x, where=x > 0) @ weights
-                        # Only a query's k best of the slice, ties at the k-th place included, are set in order.
-                        rounded = np.round(scores, 9)
-                        bar = np.partition(rounded, -k, axis=0)[-k] if len(keys) > k else np.full(scores.shape[1], -np.inf)
-                        i, j = np.nonzero((rounded >= bar) & (np.abs(scores) > 1e-12))
-                        found = pd.DataFrame({"q": lo + j, "key": keys[i], "score": scores[i, j], "r": -rounded[i, j]})
-                        best = found if best is None else pd.concat([best, found])
-                    best = best.sort_values(["q", "r", "key"], kind="stable").groupby("q", sort=False).head(k)
+                    tfs = [Counter(filter(terms.__contains__, x)) for x in counts]
+                    held = np.fromiter(map(len, tfs), np.int64, len(tfs))
+                    row = np.repeat(np.arange(len(tfs)), held)
+                    term = np.fromiter((terms[t] for tf in tfs for t in tf), np.int64, len(row))
+                    f = np.fromiter((v for tf in tfs for v in tf.values()), np.float64, len(row))
+                    # Every (text, term) meets the queries that have the term.
+                    each = starts[term + 1] - starts[term]
+                    where = np.repeat(starts[term] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+                    cell = np.repeat(row, each) * n + asking[where]
+                    scores = np.bincount(cell, np.repeat(f / (f + norms[row]), each) * weights[where], len(tfs) * n).reshape(len(tfs), n)
+                    rounded = np.round(scores, 9)
+                    if len(keys) > k:
+                        floor = np.maximum(floor, np.partition(rounded, -k, axis=0)[-k])
+                    i, j = np.nonzero((rounded >= floor) & (np.abs(scores) > 1e-12))
+                    found.append(pd.DataFrame({"q": j, "key": keys[i], "score": scores[i, j], "r": -rounded[i, j]}))
+                best = pd.concat(found).sort_values(["q", "r", "key"], kind="stable").groupby("q", sort=False).head(k)
+                last = best.groupby("q")["r"].agg(["max", "size"])
+                full = last.index[last["size"] == k]
+                floor[full] = np.maximum(floor[full], -last["max"][full])
             if best is not None and len(best):
                 yield pd.DataFrame({query: [names[q] for q in best["q"]], key: best["key"].to_numpy(), "score": best["score"].to_numpy()})
 
@@ -183,10 +187,13 @@ def cosine_topk(rows: DataFrame, key: str, vector: str, asked: DataFrame, k: int
                 sim = q @ x.T
                 if not include_self:
                     sim[qids[:, None] == ids[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(ids, sim.shape), -np.round(sim, 12)), axis=1)[:, : k]
-                n = order.shape[1]
-                best = np.take_along_axis(sim, order, 1)
-                yield pd.DataFrame({query: np.repeat(qids, n), key: ids[order].ravel(), "sim": best.ravel()})
+                rounded = np.round(sim, 12)
+                bar = np.partition(rounded, -k, axis=1)[:, -k] if sim.shape[1] > k else np.full(len(qids), -np.inf)
+                i, j = np.nonzero((rounded >= bar[:, None]) & (sim >= -2))
+                found = pd.DataFrame({"i": i, key: ids[j], "sim": sim[i, j], "r": -rounded[i, j]})
+                if len(found) > k * len(qids):  # ties at the last place
+                    found = found.sort_values(["i", "r", key], kind="stable").groupby("i", sort=False).head(k)
+                yield pd.DataFrame({query: qids[found["i"].to_numpy()], key: found[key].to_numpy(), "sim": found["sim"].to_numpy()})
 
     near = pairs.mapInPandas(run, f"{query} {kind}, `{key}` {kind}, sim double").filter("sim >= -2")
     w = Window.partitionBy(query).orderBy(F.desc(F.round("sim", 12)), key)

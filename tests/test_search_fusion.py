@@ -131,6 +131,44 @@ def test_ranks_across_ranges(spark):
     assert got == {("g", v): (10, 10 * v) for v in range(50)} | {("h", 1): (1, 0)}
 
 
+def test_bm25_against_brute_force(spark, monkeypatch):
+    from collections import Counter
+    import random
+
+    rng = random.Random(12)
+    docs = [(i, "".join(rng.choices("霜冻干旱 指标NDVI12", k=rng.randint(0, 30)))) for i in range(60)] + [(60, None), (61, "  "), (62, "霜冻"), (63, "霜冻")]
+    asked = [("a", "霜冻指标 NDVI"), ("b", "干旱干旱"), ("c", ""), ("d", None), ("e", "无关")]
+    tf = {k: Counter(search.tokens(t)) for k, t in docs}
+    n, total = len(docs), sum(sum(c.values()) for c in tf.values())
+    df = Counter(t for c in tf.values() for t in c)
+    raw = {t: math.log((n - v + .5) / (v + .5)) for t, v in df.items()}
+    mean = sum(raw.values()) / len(raw)
+    want = {}
+    for q, text in asked:
+        score = {}
+        for k, c in tf.items():
+            s = sum(w * (raw[t] if raw[t] >= 0 else .25 * mean) * c[t] * 2.5 / (c[t] + 1.5 * (.25 + .75 * sum(c.values()) / (total / n))) for t, w in Counter(search.tokens(text)).items() if t in c)
+            if abs(s) > 1e-12:
+                score[k] = s
+        want[q] = sorted(score, key=lambda k: (-round(score[k], 9), k))[:5]
+    d, q = spark.createDataFrame(docs, "id long, t string"), spark.createDataFrame(asked, "q string, x string")
+    for sent, held in ((10**6, 10**6), (20, 30)):  # several passes, few texts at a time
+        monkeypatch.setattr(search, "WEIGHTS_SENT", sent)
+        monkeypatch.setattr(search, "SCORES_HELD", held)
+        got: dict = {}
+        for r in search.bm25(d, "id", "t", q, "q", "x", 5).orderBy("q", "rank").collect():
+            got.setdefault(r.q, []).append(r.id)
+        assert got == {k: v for k, v in want.items() if v}
+    assert search.bm25(d.limit(0), "id", "t", q, "q", "x").count() == 0 and search.bm25(d, "id", "t", q.limit(0), "q", "x").count() == 0
+
+
+def test_cosine_ties_go_to_the_smaller_key(spark):
+    rows = [(i, [1.0, float(i % 2)]) for i in range(40)] + [(40, [0.0, 0.0]), (41, None)]
+    d = spark.createDataFrame(rows, "id long, v array<double>")
+    got = search.cosine_topk(d, "id", "v", d.filter("id in (0, 40)"), 4, block=16).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.id) for r in got] == [(0, 2), (0, 4), (0, 6), (0, 8), (40, 0), (40, 1), (40, 2), (40, 3)]
+
+
 def test_blank_texts_have_no_postings(spark):
     d = spark.createDataFrame([(1, " "), (2, None)], "id int, t string")
     assert search.postings(d, "id", "t").count() == 0
