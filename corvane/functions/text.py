@@ -97,11 +97,10 @@ def table_marks(c: Column) -> Column:
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("num"), F.lit(0).alias("now"), F.lit(0).alias("best"), F.lit(False).alias("cap"))
 
     def step(acc, line):
-        number = line.rlike(NUMBER_WORD)
-        now = F.when(number, acc["now"] + 1).otherwise(0)
-        return F.when(strip(line) == "", acc).otherwise(F.struct(
-            (acc["n"] + 1).alias("n"), (acc["num"] + number.cast("int")).alias("num"), now.alias("now"), F.greatest(acc["best"], now).alias("best"),
-            (acc["cap"] | ((acc["n"] < 5) & strip(line).rlike(CAPTION))).alias("cap")))
+        caption = (acc["cap"] | ((acc["n"] < 5) & line.rlike(f"^{BLANK}*{CAPTION[1:]}"))).alias("cap")
+        numeric = F.struct((acc["n"] + 1).alias("n"), (acc["num"] + 1).alias("num"), (acc["now"] + 1).alias("now"), F.greatest(acc["best"], acc["now"] + 1).alias("best"), caption)
+        other = F.struct((acc["n"] + 1).alias("n"), acc["num"].alias("num"), F.lit(0).alias("now"), acc["best"].alias("best"), caption)
+        return F.when(~line.rlike(f"[^{BLANK[1:]}"), acc).when(line.rlike(NUMBER_WORD), numeric).otherwise(other)
 
     def done(acc):
         ratio = acc["num"] / F.nullif(acc["n"], F.lit(0))

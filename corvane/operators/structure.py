@@ -42,7 +42,7 @@ def marked_blocks(blocks: DataFrame) -> DataFrame:
     rows = blocks.filter(T.strip(F.col("text")) != "").select("doc_id", "seq", "block_id", "text", "font_size", "is_title", T.strip(F.col("text")).alias("t"), T.style_level(F.col("style")).alias("lv"))
     opens = F.when(F.col("font_size").isNotNull(), F.coalesce("is_title", F.lit(False))).otherwise(T.is_heading(F.col("t")))
     rows = rows.select("doc_id", "seq", "block_id", "text", "t", "lv", opens.alias("opens")).select("*", (F.col("lv") == 2).cast("int").alias("second"), F.col("opens").cast("int").alias("heads"), F.lit(1).alias("one"), F.when(F.col("lv") == 1, F.col("text")).alias("h1"))
-    return running(rows, ["doc_id"], ["seq", "block_id"], sums=("second", "heads", "one"), lasts=("h1",))
+    return running(rows, ["doc_id"], ["seq", "block_id"], sums=("second", "heads", "one"), lasts=("h1",), sized=blocks.select("doc_id"))
 
 
 def sections(blocks: DataFrame, size: int = 800) -> DataFrame:
@@ -113,39 +113,56 @@ def filter_sections(secs: DataFrame, domain: str = T.DOMAIN, mode: str = "carry"
     follows, but only from one fixed point to the next: a section of FULL characters keeps nothing open unless tables
     meet there, so documents are cut at such points and their stretches read side by side.
     """
-    body = T.strip(F.array_join("blocks", "\n"))
-    d = materialise(secs.select("doc_id", "sec_ord", "heading_path", "blocks", (F.length(body) >= FULL).alias("full"), T.is_table(body).alias("tab")), "bodies")
-    d = running(d, ["doc_id"], ["sec_ord"], prev=("full",), most=most).withColumn("cut", (F.coalesce("prev_full", F.lit(False)) & ~F.col("tab")).cast("int")).drop("prev_full", "full")
-    d = running(d, ["doc_id"], ["sec_ord"], sums=("cut",), most=most)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list = []
-        now, tables = None, 0
-        for r in pdf.sort_values("sec_ord").itertuples(index=False):
-            new = (r.doc_id, r.sec_ord, list(r.heading_path), [str(x) for x in r.blocks])
-            if now is None:
-                now, tables = new, 0
-                continue
-            v = "table" if tables else verdict(_body(now), _body(new), domain)
-            if v == "table" and r.tab:
-                now[3].extend(new[3])
-                tables += 1
-                continue
-            if v == "table" and not tables:
-                v = verdict(_body(now), _body(new), domain, tables=False)
-            if v == "merge":
-                if mode == "drop_both":  # the next one is lost with what was merged into it
-                    now = None
+    body = T.strip(F.col("raw"))
+    rows = secs.select("doc_id", "sec_ord", "heading_path", "blocks", F.array_join("blocks", "\n").alias("raw"))
+    d = materialise(rows.select("doc_id", "sec_ord", "heading_path", "blocks", (F.length(body) >= FULL).alias("full"), T.is_table(body).alias("tab"), (T.is_junk(body) | T.is_toc_section(body)).alias("out")), "bodies")
+    keys = d.select("doc_id")
+    cut = running(d, ["doc_id"], ["sec_ord"], prev=("full",), most=most, sized=keys).withColumn("cut", (F.coalesce("prev_full", F.lit(False)) & ~F.col("tab")).cast("int")).drop("prev_full")
+    cut = running(cut, ["doc_id"], ["sec_ord"], sums=("cut",), most=most, sized=keys)
+
+    def run(batches):
+        now, tables, place = None, 0, None
+
+        def left():
+            """What a stretch ends with."""
+            return [now[:4]] if now is not None and (tables or now[4] is False or now[4] is None and verdict(_body(now), None, domain) != "drop") else []
+
+        for b in batches:
+            out: list = []
+            for r in b.itertuples(index=False):
+                if place != (r.doc_id, r.sum_cut):
+                    out += left()
+                    now, tables, place = None, 0, (r.doc_id, r.sum_cut)
+                # The last item says whether the section is to be dropped, as long as nothing was merged into it.
+                new = (r.doc_id, r.sec_ord, list(r.heading_path), [str(x) for x in r.blocks], bool(r.out), r.full, r.tab)
+                if now is None:
+                    now, tables = new, 0
+                    continue
+                if tables:
+                    v = "table"
+                elif now[4] is not None and now[5]:  # long and as it was: its own marks say all
+                    v = "drop" if now[4] else "table" if now[6] else "keep"
+                else:
+                    v = verdict(_body(now), _body(new), domain)
+                if v == "table" and r.tab:
+                    now = (*now[:3], now[3] + new[3], *now[4:])
+                    tables += 1
                     continue
-                new = (*new[:3], now[3] + new[3])
-            elif v != "drop":
-                out.append(now)
-            now, tables = new, 0
-        if now is not None and (tables or verdict(_body(now), None, domain) != "drop"):
-            out.append(now)
-        return pd.DataFrame(out, columns=["doc_id", "sec_ord", "heading_path", "blocks"])
-
-    return d.select("doc_id", "sec_ord", "heading_path", "blocks", "tab", "sum_cut").groupBy("doc_id", "sum_cut").applyInPandas(run, "doc_id string, sec_ord long, heading_path array<string>, blocks array<string>")
+                if v == "table" and not tables:
+                    v = verdict(_body(now), _body(new), domain, tables=False)
+                if v == "merge":
+                    if mode == "drop_both":  # the next one is lost with what was merged into it
+                        now = None
+                        continue
+                    new = (*new[:3], now[3] + new[3], None, None, None)
+                elif v != "drop":
+                    out.append(now[:4])
+                now, tables = new, 0
+            yield pd.DataFrame(out, columns=["doc_id", "sec_ord", "heading_path", "blocks"])
+        yield pd.DataFrame(left(), columns=["doc_id", "sec_ord", "heading_path", "blocks"])
+
+    read = cut.select("doc_id", "sec_ord", "heading_path", "blocks", "tab", "full", "out", "sum_cut").repartition("doc_id", "sum_cut").sortWithinPartitions("doc_id", "sum_cut", "sec_ord")
+    return read.mapInPandas(run, "doc_id string, sec_ord long, heading_path array<string>, blocks array<string>")
 
 
 def _body(section: tuple) -> str:

@@ -143,7 +143,7 @@ def table_islands(spark, d):
 
 
 def _sections(spark, d) -> DataFrame:
-    return structure.sections(structure.latest_parse(table(spark, d, "blocks").filter("doc_id is not null")))
+    return structure.sections(structure.latest_parse(table(spark, d, "blocks").filter("doc_id is not null").select("doc_id", "seq", "block_id", "parsed_at", "text", "style", "font_size", "is_title")))
 
 
 MD5 = "md5(array_to_string(heading_path, '/') || '#' || array_to_string(blocks, chr(10)))"

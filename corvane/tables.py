@@ -93,21 +93,22 @@ def spread(df: DataFrame, task_bytes: int = 64 << 20) -> DataFrame:
 ONE_TASK = 100_000
 
 
-def by_size(df: DataFrame, by: list[str], most: int = ONE_TASK) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of groups of at most `most` rows, and those of larger groups, None if there are none. Rows with a null key are left out of the latter."""
-    large = materialise(df.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(*by), "large")  # a row for each such group
+def by_size(df: DataFrame, by: list[str], most: int = ONE_TASK, sized: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups of at most `most` rows, and those of larger groups, None if there are none. Rows with a null key are
+    left out of the latter. sized is a frame cheaper to count, with at least as many rows of each group."""
+    large = materialise((df if sized is None else sized).groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(*by), "large")  # a row for each such group
     if large.isEmpty():
         return df, None
     return df.join(large, by, "left_anti"), df.join(large, by, "left_semi")
 
 
-def running(df: DataFrame, by: list[str], order: list[str], sums: tuple[str, ...] = (), lasts: tuple[str, ...] = (), prev: tuple[str, ...] = (), following: tuple[str, ...] = (), most: int = ONE_TASK) -> DataFrame:
+def running(df: DataFrame, by: list[str], order: list[str], sums: tuple[str, ...] = (), lasts: tuple[str, ...] = (), prev: tuple[str, ...] = (), following: tuple[str, ...] = (), most: int = ONE_TASK, sized: DataFrame | None = None) -> DataFrame:
     """Adds, in the total order within each group: sum_x up to and with the row, last_x that isn't null up to and with it, prev_x and next_x of its neighbours.
 
     Groups of more than `most` rows are range partitioned; each range is run through on its own, and only its totals and
     ends, a row for each (group, range), are carried from one range to the next.
     """
-    small, large = by_size(df, by, most)
+    small, large = by_size(df, by, most, sized)
 
     def local(d: DataFrame, keys: list[str]) -> DataFrame:
         w = Window.partitionBy(*keys).orderBy(*order)
