@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import below_counts, bounded
+
 # Cues of a question that asks for several things, endings of titles, words that make a sentence a question.
 CUES = "哪些|各种|各|分别|每种|异同|对比|总体规律|规律|区别|差异"
 TITLE_ENDS = "对比分析|对比|分析|清单|划分方法|方法|特征|差异|分布|依据|情况|现状|适宜性|等级|指标体系|指标"
@@ -88,8 +90,8 @@ def replace_terms(df: DataFrame, text: str, pairs: list[tuple[str, str]], protec
 
 
 def expand_synonyms(df: DataFrame, key: str, text: str, synonyms: DataFrame, most: int = 3) -> DataFrame:
-    """(key, term, synonym): up to three synonyms of each term that the text has, without those it has already. The synonym table is a dictionary of bounded size."""
-    hit = df.join(synonyms, F.col(text).contains(F.col("term")) & ~F.col(text).contains(F.col("synonym")))
+    """(key, term, synonym): up to three synonyms of each term that the text has, without those it has already. The synonym table is a dictionary of checked size."""
+    hit = df.join(bounded(synonyms), F.col(text).contains(F.col("term")) & ~F.col(text).contains(F.col("synonym")))
     w = Window.partitionBy(key, "term").orderBy("pos")
     return hit.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= most).select(key, "term", "synonym")
 
@@ -239,7 +241,5 @@ def with_retries(df: DataFrame, text: str, generate, check, tries: int = 2, to:
 
 def batches(df: DataFrame, key: str, size: int) -> DataFrame:
     """(key, batch): numbers batches of `size` by key order, over range partitions."""
-    from ..tables import below_counts
-
     placed = below_counts(df.withColumn("_all", F.lit(1)), ["_all"], key)
     return placed.select(key, F.floor(F.col("below") / size).alias("batch"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .operators import chunks, diagnosis, evaluation, fusion, rewrite
 from .plans import pipeline
 from .queries import R6, SIMS, _ranked, _topk, query, table
-from .tables import below_counts
+from .tables import below_counts, bounded
 
 #: Candidates once, without repeated rows, with a miss as null.
 CAND = """c AS (SELECT DISTINCT root_id, chunk_id, text_len, section_id, sources, query_hits, dense_rank, bm25_rank, bm25_kw_rank, rrf_prior, cosine_sim, evidence_score, retrieval_prior, ce_raw, nullif(prior_rank, 999) AS prior_rank FROM candidates)"""
@@ -566,7 +566,7 @@ def source_match(spark, d):
     clean = F.lower(F.regexp_replace("source", "[《》“”「」 　()（）]", ""))
     n = table(spark, d, "blocks").filter("source is not null").select(clean.alias("s")).distinct()
     g = table(spark, d, "golden_items").filter("crop is not null").select(F.lower("crop").alias("crop")).distinct()  # names of a fixed set
-    return n.join(g, F.col("s").contains(F.col("crop"))).groupBy("crop").agg(F.count("*").alias("sources"))
+    return n.join(bounded(g), F.col("s").contains(F.col("crop"))).groupBy("crop").agg(F.count("*").alias("sources"))
 
 
 @query("WITH " + CAND + f""", k AS (SELECT root_id, cosine_sim, row_number() OVER (PARTITION BY root_id ORDER BY cosine_sim DESC NULLS LAST) AS k FROM c),

@@ -82,6 +82,13 @@ def below_counts(df: DataFrame, group: list[str], value: str, parts: int | None
     return local.join(before, [*group, "_part"]).select(*group, value, "n", (F.col("_in") + F.col("_before")).alias("below"))
 
 
+def bounded(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """The frame itself, a dictionary that is joined without keys; an error where it has more than `most` rows. Runs a job."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows: split the dictionary")
+    return df
+
+
 def spread(df: DataFrame, task_bytes: int = 64 << 20) -> DataFrame:
     """A small table over all cores, before work that costs far more than its bytes tell; larger ones keep their partitions."""
     cores = df.sparkSession.sparkContext.defaultParallelism

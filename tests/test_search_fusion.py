@@ -169,6 +169,15 @@ def test_cosine_ties_go_to_the_smaller_key(spark):
     assert [(r.query_id, r.id) for r in got] == [(0, 2), (0, 4), (0, 6), (0, 8), (40, 0), (40, 1), (40, 2), (40, 3)]
 
 
+def test_dictionaries_are_bounded(spark):
+    import pytest
+    from corvane import tables
+
+    assert tables.bounded(spark.range(5), 5).count() == 5
+    with pytest.raises(ValueError, match="more than"):
+        tables.bounded(spark.range(6), 5)
+
+
 def test_blank_texts_have_no_postings(spark):
     d = spark.createDataFrame([(1, " "), (2, None)], "id int, t string")
     assert search.postings(d, "id", "t").count() == 0
