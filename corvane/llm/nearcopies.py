@@ -6,6 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +18,11 @@ SHINGLE, SIMILARITY, LEAST_CHARS = 5, 0.7, 100
 ROWS, BANDS = 4, 24
 #: Of 64 one-bit coordinates, a pair at 0.7 agrees in 54 on average (deviation 2.9); of all 96 four-bit ones in 69 (4.4).
 SAME_BITS, SAME_NIBBLES = 43, 50
-#: Texts in a bucket that are paired directly; larger buckets go the exact way of rare shingles.
-BUCKET = 1000
+#: Texts in a bucket that are paired directly, in the memory of one task; larger buckets go the exact way of rare
+#: shingles, which writes some 15 KB a text.
+BUCKET = 100_000
+#: Bands whose rows, with all coordinates, are shuffled at a time.
+PASS = 6
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -108,7 +112,7 @@ def packed(coordinates: np.ndarray, bits: int, count: int) -> np.ndarray:
 
 
 def sketched(rows: DataFrame, count: int, per_band: int) -> DataFrame:
-    """(k, h1, h2, bit, nib, bands) of (k, t, h1, h2): the text is read here once and not kept."""
+    """(k, h1, h2, nib, bands) of (k, t, h1, h2): the text is read here once and not kept."""
     kind = dict(rows.dtypes)["k"]
     t = count * per_band
 
@@ -118,9 +122,9 @@ def sketched(rows: DataFrame, count: int, per_band: int) -> DataFrame:
                 part = b.iloc[at:stop]
                 texts = part["t"].tolist()
                 c = sketches(*shingles_of(texts), len(texts), t)
-                yield pd.DataFrame({"k": part["k"].to_numpy(), "h1": part["h1"].to_numpy(), "h2": part["h2"].to_numpy(), "bit": packed(c, 1, 64)[:, 0], "nib": list(packed(c, 4, t - t % 16)), "bands": list(band_keys(c, per_band))})
+                yield pd.DataFrame({"k": part["k"].to_numpy(), "h1": part["h1"].to_numpy(), "h2": part["h2"].to_numpy(), "nib": list(packed(c, 4, t - t % 16)), "bands": list(band_keys(c, per_band))})
 
-    return rows.select("k", "t", "h1", "h2").mapInPandas(run, f"k {kind}, h1 long, h2 long, bit long, nib array<long>, bands array<long>")
+    return rows.select("k", "t", "h1", "h2").mapInPandas(run, f"k {kind}, h1 long, h2 long, nib array<long>, bands array<long>")
 
 
 def equal_nibbles(x: str, y: str, count: int):
@@ -154,26 +158,119 @@ def rare_shingle_pairs(texts: DataFrame, similarity: float) -> DataFrame:
     return a.join(b, "s").filter(fits).select("a", "b")
 
 
+def bucket_pairs(bits: int, nibbles: int, width: int, bucket: int):
+    """A map over rows (band, h1, rep, nib) sorted by the first three: (a, b) of each two texts of a band that agree in
+    enough coordinates, and (a, null) for each text of a band that has more than `bucket` texts. No pair that is not near
+    leaves the task. Of equal texts, which have equal h1, the first stands for all."""
+    ones = np.uint64(0x1111111111111111)
+
+    def low_bits(x: np.ndarray) -> np.ndarray:
+        """The lowest bit of each of the first 64 nibbles."""
+        y = x[:, :4] & ones
+        for shift, mask in ((3, 0x0303030303030303), (6, 0x000F000F000F000F), (12, 0x000000FF000000FF), (24, 0xFFFF)):
+            y = (y | (y >> np.uint64(shift))) & np.uint64(mask)
+        return np.bitwise_or.reduce(y << (np.arange(y.shape[1], dtype=np.uint64) * np.uint64(16)), axis=1)
+
+    def near(band, rep, nib):
+        bit = low_bits(nib)
+        at, d = np.flatnonzero(band[1:] == band[:-1]), 1
+        while len(at):
+            i = at[(np.bitwise_count(bit[at] ^ bit[at + d]) <= 64 - bits) & (rep[at] != rep[at + d])]
+            x = nib[i] ^ nib[i + d]
+            x = (x | (x >> np.uint64(1)) | (x >> np.uint64(2)) | (x >> np.uint64(3))) & ones
+            i = i[16 * width - np.bitwise_count(x).sum(1, dtype=np.int64) >= nibbles]
+            if len(i):
+                yield rep[i], rep[i + d]
+            d += 1
+            at = at[at + d < len(band)]
+            at = at[band[at + d] == band[at]]
+
+    def run(batches):
+        kind, held, hot = None, None, None
+        out, n = [], 0
+
+        def table():
+            a, b = (np.concatenate([x[k] for x in out]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind, from_pandas=True)], ["a", "b"])
+
+        def split(rows):
+            """What whole bands give."""
+            band, _, rep, nib = rows
+            start = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+            large = np.repeat(np.diff(np.r_[start, len(band)]) > bucket, np.diff(np.r_[start, len(band)]))
+            if large.any():
+                yield rep[large], np.full(int(large.sum()), None, object)
+            yield from near(band[~large], rep[~large], nib[~large])
+
+        def found(batches):
+            nonlocal kind, held, hot
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                kind = b.column("rep").type
+                rows = [b.column("band").to_numpy(), b.column("h1").to_numpy(), b.column("rep").to_numpy(zero_copy_only=False), b.column("nib").flatten().to_numpy().view(np.uint64).reshape(-1, width)]
+                if held is not None:
+                    rows = [np.concatenate(x) for x in zip(held, rows)]
+                band, h1 = rows[0], rows[1]
+                first = np.r_[True, (band[1:] != band[:-1]) | (h1[1:] != h1[:-1])]
+                rows = [x[first] for x in rows]
+                if hot is not None:  # its rows that were held are out already, but for the last
+                    more = int(np.searchsorted(rows[0], hot, "right"))
+                    if more > 1:
+                        yield rows[2][1:more], np.full(more - 1, None, object)
+                    if more == len(rows[0]):
+                        held = [x[-1:] for x in rows]
+                        continue
+                    rows, hot = [x[more:] for x in rows], None
+                last = int(np.searchsorted(rows[0], rows[0][-1]))
+                if last:
+                    yield from split([x[:last] for x in rows])
+                held = [x[last:] for x in rows]
+                if len(held[0]) > bucket:
+                    yield held[2], np.full(len(held[2]), None, object)
+                    hot, held = held[0][0], [x[-1:] for x in held]
+            if held is not None and hot is None:
+                yield from split(held)
+
+        for pair in found(batches):
+            out.append(pair)
+            n += len(pair[0])
+            if n > 100_000:
+                yield table()
+                out, n = [], 0
+        if out:
+            yield table()
+
+    return run
+
+
 def candidates(classes: DataFrame, texts: DataFrame, similarity: float, rows: int, count: int, bucket: int, cuts: bool = True) -> DataFrame:
     """(a, b): distinct pairs that share a band and agree in enough coordinates; members of oversized buckets are paired
-    by rare shingles instead. Without `cuts` every pair that shares a band goes on to be verified."""
+    by rare shingles instead. Without `cuts` every pair that shares a band goes on to be verified.
+
+    Pairs that share a band by chance grow as the square of the texts. They are told apart in the task that holds the
+    band, where the coordinates are at hand, so that only near ones are ever written. Bands come in passes, as rows with
+    coordinates of all bands would take several times the input on disk.
+    """
     t = rows * count
     scale = min(1.0, max(0.0, (similarity - 0.2) / 0.5))
     if not cuts:
         scale = 0.0
     bits, nibbles = int(cuts * SAME_BITS * (1 + similarity) / 1.7), int(SAME_NIBBLES * scale * t / 96)
-    banded = classes.select("rep", F.explode("bands").alias("band"))
-    sizes = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = materialise(banded.join(sizes, "band"), "bands")  # what shares a band with anything: a small part
-    small = shared.filter(F.col("n") <= bucket).join(classes.select("rep", "bit"), "rep")
-    a, b = small.select("band", F.col("rep").alias("a"), F.col("bit").alias("x")), small.select("band", F.col("rep").alias("b"), F.col("bit").alias("y"))
-    near = a.join(b, "band").filter((F.col("a") < F.col("b")) & (64 - F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) >= bits)).select("a", "b").distinct()
-    large = shared.filter(F.col("n") > bucket).select("rep")
-    if not large.isEmpty():
-        near = near.unionByName(rare_shingle_pairs(texts.join(large.distinct(), "rep", "left_semi"), similarity)).distinct()
+    kind = dict(classes.dtypes)["rep"]
+    found = None
+    for at in range(0, count, PASS):
+        banded = classes.select(F.explode(F.slice("bands", at + 1, PASS)).alias("band"), "h1", "rep", "nib").repartition("band").sortWithinPartitions("band", "h1", "rep")
+        some = materialise(banded.mapInArrow(bucket_pairs(bits, nibbles, t // 16, bucket), f"a {kind}, b {kind}"), "near", sweep=True)
+        found = some if found is None else found.unionByName(some)
+    near = found.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    large = found.filter("b IS NULL").select(F.col("a").alias("rep")).distinct()
+    if large.isEmpty():
+        return near
     nib = classes.select("rep", "nib")
-    close = near.join(nib.select(F.col("rep").alias("a"), F.col("nib").alias("x")), "a").join(nib.select(F.col("rep").alias("b"), F.col("nib").alias("y")), "b")
-    return close.filter(equal_nibbles("x", "y", t - t % 16) >= nibbles).select("a", "b").distinct()
+    rare = rare_shingle_pairs(texts.join(large, "rep", "left_semi"), similarity).distinct()
+    close = rare.join(nib.select(F.col("rep").alias("a"), F.col("nib").alias("x")), "a").join(nib.select(F.col("rep").alias("b"), F.col("nib").alias("y")), "b")
+    return near.unionByName(close.filter(equal_nibbles("x", "y", t - t % 16) >= nibbles).select("a", "b")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -222,10 +319,7 @@ def near_copies(df: DataFrame, key: str = "block_id", text: str = "text", simila
     table = materialise(sketched(hashed, count, rows), "sketches")
     named = table.groupBy("h1", "h2").agg(F.min("k").alias("rep"))
     members = table.select("k", "h1", "h2").distinct().join(named, ["h1", "h2"]).select(F.col("k").alias(key), "rep")
-    # Copies leave before the sketches travel; written first, so that a small set of them is seen to be small.
-    copies = materialise(table.select("k", "h1", "h2").join(named, ["h1", "h2"]).filter("k <> rep").select("k", "h1").distinct(), "copies")
-    classes = table.join(copies, ["k", "h1"], "left_anti").select(F.col("k").alias("rep"), "bit", "nib", "bands")
-    pairs = materialise(candidates(classes, source, similarity, rows, count, bucket, cuts), "pairs")
+    pairs = materialise(candidates(table.withColumnRenamed("k", "rep"), source, similarity, rows, count, bucket, cuts), "pairs", sweep=True)
     return members, verified(pairs, source, similarity)
 
 

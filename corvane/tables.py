@@ -36,6 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _TEMPORARY: dict[str, str] = {}
 _FOLDERS: set[str] = set()
 
@@ -53,11 +54,19 @@ def release(spark: SparkSession) -> None:
     _delete(spark, shared_folder(spark))
 
 
-def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors. Runs a job."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialise(df: DataFrame, name: str = "stage", sweep: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors. Runs a job.
+
+    With sweep the job's shuffle files are removed at its end, not when the driver happens to collect its garbage.
+    """
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(SWEEP, "false")
+    spark.conf.set(SWEEP, "true" if sweep else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SWEEP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def topk(df: DataFrame, by: list, order: list, k: int, rank: str = "rank") -> DataFrame:

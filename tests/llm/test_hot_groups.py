@@ -1,6 +1,11 @@
 """A third of the rows in one group: copies, one source, one question."""
 
 import random
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+import pytest
 
 from corvane.llm import leximin, lookalikes, nearcopies, replies
 
@@ -58,3 +63,58 @@ def test_groups_count_copies(spark):
     links = spark.createDataFrame([(1, 3)], "a long, b long")
     got = {tuple(r) for r in nearcopies.groups(members, links, "block_id").collect()}
     assert got == {(1, 1, 1, 2), (2, 1, 1, 2), (3, 3, 1, 2), (5, 5, 5, 1), (6, 5, 5, 1)}
+
+
+def test_pairs_by_chance_stay_in_their_tasks(spark):
+    """Texts with a third in common share bands by chance, pairs of them by the square; what is shuffled is not."""
+    rng = random.Random(11)
+    word = lambda n: "".join(chr(rng.randrange(0x4E00, 0x5A00)) for _ in range(n))
+    common = word(120)
+    rows = [(i, common + word(110)) for i in range(1500)]
+    rows += [(2000 + i, t[:-1] + "。") for i, t in rows[:30]]
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        jobs = store.jobsList(None)
+        stages = {jobs.apply(j).stageIds().apply(k) for j in range(jobs.size()) for k in range(jobs.apply(j).stageIds().size())}
+        return sum(store.lastStageAttempt(k).shuffleWriteRecords() for k in stages)
+
+    before = shuffled()
+    members, links = nearcopies.near_copies(spark.createDataFrame(rows, "block_id long, text string"))
+    got = {(r.a, r.b) for r in nearcopies.all_pairs(members, links, "block_id").collect()}
+    assert got == {(i, 2000 + i) for i in range(30)}
+    assert shuffled() - before < 60 * len(rows)
+
+
+@pytest.mark.parametrize("batch", [1, 7, 64, 5000])
+def test_buckets_over_batches(batch):
+    rng = np.random.default_rng(12)
+    base = rng.integers(-(1 << 62), 1 << 62, (12, 6))
+    rows = []
+    for band, n in enumerate((1, 3, 50, 2, 1, 90, 91, 1, 40, 130)):  # those over 90 are oversized
+        for k in range(n):
+            nib = base[k % 12].copy()
+            nib[: k % 7] ^= rng.integers(0, 1 << 62, k % 7)
+            rows.append((band - 4, 1000 * band + k, int(rng.integers(0, 1000)), nib))
+            if k % 5 == 0:  # an equal text
+                rows.append((band - 4, 1000 * band + k, int(rng.integers(1000, 2000)), nib))
+    rows.sort(key=lambda r: r[:3])
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in b]), pa.array([r[1] for r in b]), pa.array([r[2] for r in b]), pa.array([r[3].tolist() for r in b])], ["band", "h1", "rep", "nib"])
+               for b in (rows[i : i + batch] for i in range(0, len(rows), batch))]
+    got = [(a, b) for t in nearcopies.bucket_pairs(43, 50, 6, 90)(iter(batches)) for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist())]
+    want = []
+    for band in range(-4, 6):
+        one = {}
+        for r in rows:
+            if r[0] == band:
+                one.setdefault(r[1], r)
+        if len(one) > 90:
+            want += [(r[2], None) for r in one.values()]
+            continue
+        for x, y in combinations(one.values(), 2):
+            digits = [(int(v) >> 4 * i & 15) == (int(w) >> 4 * i & 15) for v, w in zip(x[3], y[3]) for i in range(16)]
+            bits = [(int(v) >> 4 * i & 1) == (int(w) >> 4 * i & 1) for v, w in zip(x[3][:4], y[3][:4]) for i in range(16)]
+            if sum(digits) >= 50 and sum(bits) >= 43 and x[2] != y[2]:
+                want.append((x[2], y[2]))
+    key = lambda p: (p[0], -1 if p[1] is None else p[1])
+    assert sorted(got, key=key) == sorted(want, key=key) and len(want) > 200
