@@ -21,6 +21,8 @@ SAME_BITS, SAME_NIBBLES = 43, 50
 #: Texts in a bucket that are paired directly, in the memory of one task; larger buckets go the exact way of rare
 #: shingles, which writes some 15 KB a text.
 BUCKET = 100_000
+#: Pairs that are verified at a time.
+VERIFIED = 1_000_000
 #: Bands whose rows, with all coordinates, are shuffled at a time.
 PASS = 6
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -273,8 +275,19 @@ def candidates(classes: DataFrame, texts: DataFrame, similarity: float, rows: in
     return near.unionByName(close.filter(equal_nibbles("x", "y", t - t % 16) >= nibbles).select("a", "b")).distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b, similarity): pairs whose shingle sets reach the similarity exactly."""
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, most: int = VERIFIED) -> DataFrame:
+    """(a, b, similarity): pairs whose shingle sets reach the similarity exactly. About `most` of them meet their texts at
+    a time, whose copies leave the disk with each pass."""
+    passes = -(-pairs.count() // most) or 1
+    out = None
+    for at in range(passes):
+        some = pairs.filter(F.pmod(F.xxhash64("a", "b"), F.lit(passes)) == at)
+        some = materialise(verified_pass(some, texts, similarity), "verified", sweep=True)
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+def verified_pass(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     kind = dict(texts.dtypes)["rep"]
     # Texts meet the pairs' ends once; then only the texts of pairs travel on.
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("rep"))

@@ -118,3 +118,13 @@ def test_buckets_over_batches(batch):
                 want.append((x[2], y[2]))
     key = lambda p: (p[0], -1 if p[1] is None else p[1])
     assert sorted(got, key=key) == sorted(want, key=key) and len(want) > 200
+
+
+def test_verified_in_passes(spark):
+    rng = random.Random(13)
+    texts = [(i, "".join(rng.choices("abcdef ", k=150))) for i in range(20)]
+    texts += [(100 + i, t[:-5] + "#####") for i, t in texts] + [(200, texts[0][1])]
+    pairs = spark.createDataFrame([(i, j) for i in range(20) for j in (100 + i, 100 + (i + 1) % 20, 200)], "a long, b long")
+    df = spark.createDataFrame(texts, "rep long, t string")
+    got = [{tuple(r) for r in nearcopies.verified(pairs, df, most=n).collect()} for n in (7, 1000)]
+    assert got[0] == got[1] and {r[:2] for r in got[0]} == {(i, 100 + i) for i in range(20)} | {(0, 200)}
